@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, piece_codec, token_counts, topk_search
+from . import decontamination, language_id, packing, piece_codec, token_counts, topk_search
 from .common import table
 
 
@@ -15,6 +15,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk_search.integer_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return topk_search.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
@@ -35,7 +39,11 @@ def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_digests(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model")).drop("decoded")
 
 
-QUERIES = {f.__name__: f for f in (op4_topk_search, op5_language_id, op6_token_counts, op8_piece_codec)}
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op3_decontamination, op4_topk_search, op5_language_id, op6_token_counts, op8_piece_codec, op9_packing)}
 
 ORACLES = {
     "op4_topk_search": """
