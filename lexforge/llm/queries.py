@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, packing, piece_codec, token_counts, topk_search
+from . import decontamination, language_id, license_scan, packing, piece_codec, token_counts, topk_search, url_filter
 from .common import table
 
 
@@ -15,6 +15,40 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def dated_entries(pages: DataFrame) -> DataFrame:
+    """List entries made from the table itself: for each host, and the path of its first page, by that page's number."""
+    host, path = url_filter.host_of(F.col("url")), F.regexp_extract("url", r"^[A-Za-z]+://[^/?#]*/([^/?#]+)", 1)
+    hosts = pages.where(F.col("url").isNotNull()).groupBy(host.alias("host")).agg(F.min("page_id").alias("m"), F.min_by(path, "page_id").alias("path")).where(F.col("host") != "")
+    day = lambda n: F.to_date(F.lit("2024-01-01")) + F.lit(n).cast("int") if isinstance(n, int) else F.date_add(F.to_date(F.lit("2024-01-01")), n.cast("int"))
+    entry = lambda name, key, action, n: F.struct(F.lit(name).alias("list_name"), key.alias("key"), F.lit(action).alias("action"), day(n).alias("at"))
+    m, deep = F.col("m"), F.concat("host", F.lit("/"), "path")
+    rows = F.array(
+        entry("hosts", F.col("host"), "block", m % 120), entry("hosts", F.col("host"), "remove", m % 120 + 90), entry("hosts", F.col("host"), "block", m % 120 + 150),
+        entry("paths", deep, "allow", m % 120 + 30), entry("paths", deep, "remove", m % 120 + 200),
+    )
+    return hosts.where((m % 3 == 0) & (F.col("path") != "")).select(F.inline(rows))
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched_at", F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("page_id") % 360).cast("int")))
+    return url_filter.filter_captures(captures, dated_entries(pages)).select("page_id", "url", F.col("fetched_at").cast("string").alias("fetched_at"), "decision", "matched_key", "matched_list")
+
+
+def with_paths(docs: DataFrame) -> DataFrame:
+    """Every fifth document is its directory's license file; directories lie one, two or three levels deep."""
+    i = F.col("doc_id")
+    a, b = F.concat(F.lit("/a"), (i % 3).cast("string")), F.concat(F.lit("/b"), (i % 7).cast("string"))
+    depth = F.when(i % 15 == 0, "").when(i % 10 == 0, a).otherwise(F.concat(a, b))
+    name = F.when(i % 5 == 0, F.concat(F.lit("LICENSE."), i.cast("string"))).otherwise(F.concat(i.cast("string"), F.lit(".txt")))
+    return docs.withColumn("path", F.concat(F.lit("/"), "source", depth, F.lit("/"), name))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_paths(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return license_scan.scan_licenses(docs).select("doc_id", "path", "license", "license_score", "license_via")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -43,9 +77,53 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op3_decontamination, op4_topk_search, op5_language_id, op6_token_counts, op8_piece_codec, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_license_scan, op3_decontamination, op4_topk_search, op5_language_id, op6_token_counts, op8_piece_codec, op9_packing)}
 
 ORACLES = {
+    "op1_url_filter": """
+        WITH c AS (
+            SELECT page_id, url, DATE '2024-01-01' + CAST(page_id % 360 AS INTEGER) AS fetched_at,
+                lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)) AS host,
+                list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda x: x <> '') AS parts FROM pages),
+        h AS (SELECT host, min(page_id) AS m, arg_min(coalesce(parts[1], ''), page_id) AS path FROM c WHERE url IS NOT NULL AND host <> '' GROUP BY host),
+        e AS (
+            SELECT list_name, key, action, DATE '2024-01-01' + CAST(d AS INTEGER) AS since FROM (
+                SELECT 'hosts' AS list_name, host AS key, unnest(['block', 'remove', 'block']) AS action, unnest([m % 120, m % 120 + 90, m % 120 + 150]) AS d FROM h WHERE m % 3 = 0 AND path <> ''
+                UNION ALL SELECT 'paths', host || '/' || path, unnest(['allow', 'remove']), unnest([m % 120 + 30, m % 120 + 200]) FROM h WHERE m % 3 = 0 AND path <> '')),
+        v AS (SELECT *, lead(since) OVER (PARTITION BY list_name, key ORDER BY since) AS until FROM e),
+        k AS (SELECT page_id, fetched_at, host AS key FROM c
+            UNION ALL SELECT page_id, fetched_at, array_to_string(list_slice(string_split(host, '.'), i, 100), '.') FROM (SELECT *, unnest(range(2, len(string_split(host, '.')))) AS i FROM c)
+            UNION ALL SELECT page_id, fetched_at, host || '/' || array_to_string(list_slice(parts, 1, i), '/') FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM c)),
+        b AS (
+            SELECT page_id, arg_max({'key': v.key, 'list': list_name, 'action': action}, length(v.key) * 2 + CAST(action = 'allow' AS INTEGER)) AS best
+            FROM k JOIN v ON k.key = v.key AND action <> 'remove' AND fetched_at >= since AND (until IS NULL OR fetched_at < until) GROUP BY page_id)
+        SELECT page_id, url, CAST(fetched_at AS VARCHAR) AS fetched_at, CASE WHEN best.action = 'block' THEN 'block' ELSE 'keep' END AS decision, best.key AS matched_key, best.list AS matched_list
+        FROM c LEFT JOIN b USING (page_id)""",
+    "op2_license_scan": """
+        WITH d AS (
+            SELECT doc_id, text, '/' || source || CASE WHEN doc_id % 15 = 0 THEN '' WHEN doc_id % 10 = 0 THEN '/a' || doc_id % 3 ELSE '/a' || doc_id % 3 || '/b' || doc_id % 7 END
+                || '/' || CASE WHEN doc_id % 5 = 0 THEN 'LICENSE.' || doc_id ELSE doc_id || '.txt' END AS path FROM documents),
+        s AS (SELECT doc_id, path, trim(line) AS line FROM (SELECT doc_id, path, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '@TRIGGER@')),
+        l AS (SELECT line, count(*) AS n FROM s GROUP BY line),
+        w AS (SELECT line, n, word, count(*) AS tf FROM (SELECT line, n, unnest(list_filter(regexp_split_to_array(lower(line), '[^a-z0-9]+'), lambda x: x <> '')) AS word FROM l) GROUP BY ALL),
+        r AS (SELECT word, sum(n) AS df FROM w GROUP BY word),
+        total AS (SELECT coalesce(sum(n), 0) AS total FROM l),
+        x AS (SELECT line, word, tf * (ln((total + 1) / (df + 1)) + 1) AS w FROM w JOIN r USING (word), total),
+        t AS (SELECT license, word, count(*) AS tf FROM (SELECT license, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS word FROM (VALUES @TEMPLATES@) AS q(license, text)) GROUP BY ALL),
+        tw AS (SELECT license, word, tf * (ln((total + 1) / (coalesce(df, 0) + 1)) + 1) AS tw FROM t LEFT JOIN r USING (word), total),
+        scored AS (
+            SELECT line, license, round(dot / (norm * size), 6) AS score
+            FROM (SELECT line, license, sum(w * tw) AS dot FROM x JOIN tw USING (word) GROUP BY ALL) JOIN (SELECT line, sqrt(sum(w * w)) AS norm FROM x GROUP BY line) USING (line) JOIN (SELECT license, sqrt(sum(tw * tw)) AS size FROM tw GROUP BY license) USING (license)),
+        own AS (
+            SELECT doc_id, path, license, score FROM (SELECT doc_id, path, license, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) AS i FROM s JOIN scored USING (line) WHERE score >= @THRESHOLD@) WHERE i = 1),
+        files AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, arg_min({'license': license, 'score': score}, path) AS f FROM own WHERE doc_id % 5 = 0 GROUP BY 1),
+        near AS (SELECT d.doc_id, arg_max(f, length(dir)) AS f FROM d JOIN files ON starts_with(d.path, dir || '/') GROUP BY d.doc_id)
+        SELECT d.doc_id, d.path, coalesce(own.license, near.f.license) AS license, coalesce(own.score, near.f.score) AS license_score,
+            CASE WHEN own.license IS NOT NULL THEN 'own' WHEN near.f IS NOT NULL THEN 'directory' ELSE 'none' END AS license_via
+        FROM d LEFT JOIN own USING (doc_id) LEFT JOIN near USING (doc_id)"""
+    .replace("@TRIGGER@", license_scan.TRIGGER)
+    .replace("@TEMPLATES@", ", ".join(f"('{name}', '{text}')" for name, text in sorted(license_scan.TEMPLATES.items())))
+    .replace("@THRESHOLD@", str(license_scan.THRESHOLD)),
     "op4_topk_search": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
