@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+
+
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -17,15 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, cut from its lineage by a checkpoint in the folder named in spark.checkpoint.dir.
-
-    Only where the session names no folder (tests in one JVM) is a temporary one set."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-", dir=os.environ.get("TMPDIR")))
-    return df.checkpoint(eager=True)
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, license_scan, packing, piece_codec, token_counts, topk_search, url_filter
+from . import decontamination, language_id, license_scan, near_duplicates, packing, piece_codec, token_counts, topk_search, url_filter
 from .common import table
 
 
@@ -77,7 +77,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_license_scan, op3_decontamination, op4_topk_search, op5_language_id, op6_token_counts, op8_piece_codec, op9_packing)}
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_license_scan, op3_decontamination, op4_topk_search, op5_language_id, op6_token_counts, op8_piece_codec, op9_packing, op10_near_duplicates)}
 
 ORACLES = {
     "op1_url_filter": """
