@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, license_scan, near_duplicates, packing, piece_codec, token_counts, topk_search, url_filter
+from . import decontamination, language_id, license_scan, near_duplicates, packing, piece_codec, substring_dedup, token_counts, topk_search, url_filter
 from .common import table
 
 
@@ -69,6 +69,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removal_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_digests(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model")).drop("decoded")
 
@@ -81,7 +85,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_license_scan, op3_decontamination, op4_topk_search, op5_language_id, op6_token_counts, op8_piece_codec, op9_packing, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_license_scan, op3_decontamination, op4_topk_search, op5_language_id, op6_token_counts, op7_substring_dedup, op8_piece_codec, op9_packing, op10_near_duplicates)}
 
 ORACLES = {
     "op1_url_filter": """
