@@ -51,7 +51,7 @@ def _templates(spark: SparkSession) -> DataFrame:
 
 def statements(docs: DataFrame) -> DataFrame:
     """path and line of every statement of every text."""
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x.rlike(TRIGGER))
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x.rlike(TRIGGER))
     return docs.where(F.col("text").rlike(TRIGGER)).select("path", F.explode(lines).alias("line"))
 
 
