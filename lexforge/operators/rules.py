@@ -31,7 +31,7 @@ def amount(c: Column) -> Column:
 
 
 def shown(c: Column) -> Column:
-    return F.round(c.cast(AMOUNT), 0).cast("decimal(38,0)")
+    return F.round(c.cast(AMOUNT), 0).cast("long")
 
 
 def rates(spark: SparkSession) -> DataFrame:

@@ -281,7 +281,7 @@ def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
 def _versions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf, "documents")
     old = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("number"), F.col("lang").alias("path"), F.col("text").alias("content")).where("id % 5 <> 0")
-    changed = F.when(F.col("doc_id") % 3 == 0, F.concat(F.col("text"), F.lit(" amended text"))).otherwise(F.upper("text"))
+    changed = F.when(F.col("doc_id") % 3 == 0, F.concat(F.col("text"), F.lit(" amended text"))).otherwise(F.concat(F.lit(" "), F.replace("text", F.lit(" "), F.lit("  "))))
     new = docs.select(F.col("doc_id").cast("int").alias("seq"), F.col("doc_id").cast("string").alias("number"), F.col("lang").alias("path"), changed.alias("content")).where("seq % 4 <> 0")
     return new, old
 
@@ -328,28 +328,28 @@ _BASES = "b AS (SELECT o_orderkey AS id, CAST(CAST(o_totalprice * 20 AS DECIMAL(
 
 
 @registered(f"""WITH {_BASES}, c AS (SELECT id, base, base * 0.175 AS principal, base * 0.0175 AS extra FROM b)
-    SELECT id, unnest([1, 2, 3, 4]) AS seq, unnest(['net', 'principal', 'surcharge', 'gross']) AS label, CAST(unnest([round(base, 0), round(principal, 0), round(extra, 0), round(base + principal + extra, 0)]) AS DECIMAL(38,0)) AS amount FROM c""")
+    SELECT id, unnest([1, 2, 3, 4]) AS seq, unnest(['net', 'principal', 'surcharge', 'gross']) AS label, CAST(unnest([round(base, 0), round(principal, 0), round(extra, 0), round(base + principal + extra, 0)]) AS BIGINT) AS amount FROM c""")
 def tax_vat(spark: SparkSession, sf: str) -> DataFrame:
     return rules.vat(_bases(spark, sf))
 
 
 @registered(f"""WITH {_BASES}, c AS (SELECT id, base, base * 0.30 AS principal, base * 0.03 AS extra FROM b)
-    SELECT id, unnest([1, 2, 3, 4]) AS seq, unnest(['base', 'principal', 'surcharge', 'total']) AS label, CAST(unnest([round(base, 0), round(principal, 0), round(extra, 0), round(principal + extra, 0)]) AS DECIMAL(38,0)) AS amount FROM c""")
+    SELECT id, unnest([1, 2, 3, 4]) AS seq, unnest(['base', 'principal', 'surcharge', 'total']) AS label, CAST(unnest([round(base, 0), round(principal, 0), round(extra, 0), round(principal + extra, 0)]) AS BIGINT) AS amount FROM c""")
 def tax_proportional(spark: SparkSession, sf: str) -> DataFrame:
     return rules.proportional(_bases(spark, sf))
 
 
 @registered(f"""WITH {_BASES}, s(seq, floor, ceiling, rate, label) AS (VALUES (1, 0, 2000000, 0.10, 'up to 2 000 000'), (2, 2000000, 3000000, 0.15, 'up to 3 000 000'), (3, 3000000, 5000000, 0.25, 'up to 5 000 000'), (4, 5000000, NULL, 0.35, 'beyond 5 000 000')),
     p AS (SELECT id, seq, label, (least(base, coalesce(ceiling, base)) - floor) * rate AS part FROM b JOIN s ON base > floor)
-    SELECT id, seq, label, CAST(round(part, 0) AS DECIMAL(38,0)) AS amount FROM p
-    UNION ALL SELECT b.id, 0, 'total', CAST(round(coalesce(t, 0) * 1.10, 0) AS DECIMAL(38,0)) FROM b LEFT JOIN (SELECT id, sum(part) AS t FROM p GROUP BY id) USING (id)""")
+    SELECT id, seq, label, CAST(round(part, 0) AS BIGINT) AS amount FROM p
+    UNION ALL SELECT b.id, 0, 'total', CAST(round(coalesce(t, 0) * 1.10, 0) AS BIGINT) FROM b LEFT JOIN (SELECT id, sum(part) AS t FROM p GROUP BY id) USING (id)""")
 def tax_progressive(spark: SparkSession, sf: str) -> DataFrame:
     return rules.progressive(_bases(spark, sf), rules.brackets(spark))
 
 
 @registered("""WITH t(category, rate, low, high) AS (VALUES ('large', 0.00159, 5000000, 2500000000), ('medium', 0.00283, 141500, 4500000), ('small', 0.00494, 50000, 140000)),
     b AS (SELECT o_orderkey AS id, CAST(CAST(o_totalprice * 200 AS DECIMAL(20,2)) AS DECIMAL(38,10)) AS base, ['large', 'medium', 'small'][o_orderkey % 3 + 1] AS category FROM orders)
-    SELECT id, category, CAST(round(base * rate, 0) AS DECIMAL(38,0)) AS theoretical, CAST(round(least(greatest(base * rate, low), high), 0) AS DECIMAL(38,0)) AS due, CASE WHEN base * rate < low THEN 'low' WHEN base * rate > high THEN 'high' END AS bound FROM b JOIN t USING (category)""")
+    SELECT id, category, CAST(round(base * rate, 0) AS BIGINT) AS theoretical, CAST(round(least(greatest(base * rate, low), high), 0) AS BIGINT) AS due, CASE WHEN base * rate < low THEN 'low' WHEN base * rate > high THEN 'high' END AS bound FROM b JOIN t USING (category)""")
 def tax_tariff(spark: SparkSession, sf: str) -> DataFrame:
     kinds = F.array(F.lit("large"), F.lit("medium"), F.lit("small"))
     bases = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") * 200).cast("decimal(20,2)").alias("amount"), F.get(kinds, (F.col("o_orderkey") % 3).cast("int")).alias("category"))
@@ -418,8 +418,8 @@ def plan_requests(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.requests_to_accept(requests, users.where("user_id % 7 = 0"), users, ledger.plans(spark))
 
 
-@registered("""WITH e AS (SELECT user_id AS reference, CASE event_type WHEN 'purchase' THEN 'SUCCESSFUL' WHEN 'error' THEN 'FAILED' ELSE 'PENDING' END AS status, ts AS at FROM events)
-    SELECT reference, coalesce(arg_min(status, {'a': at, 's': status}) FILTER (status <> 'PENDING'), arg_max(status, {'a': at, 's': status})) AS status FROM e GROUP BY reference""")
+@registered("""WITH e AS (SELECT user_id AS reference, CASE event_type WHEN 'purchase' THEN 'SUCCESSFUL' WHEN 'error' THEN 'FAILED' ELSE 'PENDING' END AS status, ts FROM events)
+    SELECT reference, coalesce(arg_min(status, {'a': ts, 's': status}) FILTER (status <> 'PENDING'), arg_max(status, {'a': ts, 's': status})) AS status FROM e GROUP BY reference""")
 def payment_states(spark: SparkSession, sf: str) -> DataFrame:
     status = F.when(F.col("event_type") == "purchase", "SUCCESSFUL").when(F.col("event_type") == "error", "FAILED").otherwise("PENDING")
     return ledger.payment_states(table(spark, sf, "events").select(F.col("user_id").alias("reference"), status.alias("status"), F.col("ts").alias("at")))

@@ -50,6 +50,6 @@ def listed_numbers(html: Column, pattern: str) -> Column:
 
 def page_numbers(ranges: Column) -> Column:
     """The page numbers of a list of ranges such as "0-9,12", sorted and distinct."""
-    parts = F.filter(F.transform(F.split(ranges, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(ranges, ","), lambda p: F.trim(p)), lambda p: p != "")
     each = F.transform(parts, lambda p: F.sequence(F.substring_index(p, "-", 1).cast("int"), F.substring_index(p, "-", -1).cast("int")))
     return F.array_sort(F.array_distinct(F.flatten(each)))
