@@ -501,11 +501,11 @@ def comparison_forms(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", T.comparison_form(F.col("text")).alias("form"))
 
 
-@registered("""SELECT c_custkey AS user_id, upper(substr(c_name, 1, 1) || substr(string_split(c_name, '#')[2], 1, 1)) AS initials, '237' || 600000000 + c_custkey AS phone, upper('ohada') || ' ' || c_custkey AS reference FROM customer""")
+@registered("""SELECT c_custkey AS user_id, upper(substr(c_name, 1, 1) || substr(string_split(c_name, '#')[2], 1, 1)) AS initials, '237' || 600000000 + c_custkey AS phone, upper('acte') || ' ' || c_custkey AS reference FROM customer""")
 def profile_fields(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("c_custkey")
     phone = F.concat(F.lit("+237 "), (600000000 + i).cast("string"))
-    return table(spark, sf, "customer").select(i.alias("user_id"), T.initials(F.replace(F.col("c_name"), F.lit("#"), F.lit(" ")), F.lit("a@b")).alias("initials"), T.phone_number(phone).alias("phone"), T.reference_key(F.lit(" ohada"), i.cast("string")).alias("reference"))
+    return table(spark, sf, "customer").select(i.alias("user_id"), T.initials(F.replace(F.col("c_name"), F.lit("#"), F.lit(" ")), F.lit("a@b")).alias("initials"), T.phone_number(phone).alias("phone"), T.reference_key(F.lit(" acte"), i.cast("string")).alias("reference"))
 
 
 _HEADERS = [
