@@ -18,6 +18,8 @@ GRAM = 32
 _BLOCK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
+#: Entries of the table of frequent grams.
+_TABLE = 1 << 20
 
 
 def gram_hashes(raw: np.ndarray) -> np.ndarray:
@@ -38,16 +40,21 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - n)], values[width - n :]) if width > n else values
 
 
+def frequency_table(grams: np.ndarray) -> np.ndarray:
+    """Whether a gram counts as frequent, by the low bits of its hash. Others that share them count too, everywhere alike."""
+    table = np.zeros(_TABLE, np.uint8)
+    table[(grams & np.uint64(_TABLE - 1)).astype(np.int64)] = 1
+    return table
+
+
 def runs(text: bytes, length: int, frequent: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Of the maximal runs of windows with the same minimizer, block by block: its hash, the first window, and how many.
-    frequent: sorted hashes of the grams that come last."""
+    frequent: a table of the grams that come last."""
     raw = np.frombuffer(text, np.uint8)
     for at in range(0, len(raw) - length + 1, _BLOCK):
         hashes = gram_hashes(raw[at : at + _BLOCK + length - 1])
         placed = (hashes >> np.uint64(1) & np.uint64(_MASK ^ 0xFFFFFF)) | np.arange(len(hashes), dtype=np.uint64)
-        if len(frequent):
-            near = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-            placed |= (frequent[near] == hashes).astype(np.uint64) << np.uint64(63)
+        placed |= frequent[hashes & np.uint64(_TABLE - 1)].astype(np.uint64) << np.uint64(63)
         least = _least(placed, length - GRAM + 1) & np.uint64(0xFFFFFF)
         first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
         yield hashes[least[first].astype(np.int64)], first + at, np.diff(np.append(first, len(least)))

@@ -36,7 +36,7 @@ from .suffix_array import permuted_common_prefixes, suffix_array
 
 LENGTH = 100
 #: A gram is frequent if repeats of it within small batches add up to so many; so many are known at most.
-FREQUENT, MOST_FREQUENT = 64, 1 << 18
+FREQUENT, MOST_FREQUENT = 64, 1 << 16
 #: Bytes of text in which repeats of grams are looked for at once, and of which a suffix array is built at once.
 SCAN_BYTES, ARRAY_BYTES = 1_000_000, 2_000_000
 
@@ -51,7 +51,7 @@ def _encoded(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
 
 
 def _frequent_grams(docs: DataFrame) -> np.ndarray:
-    """Sorted hashes of grams that stand often."""
+    """The table of grams that stand often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -64,15 +64,14 @@ def _frequent_grams(docs: DataFrame) -> np.ndarray:
         for batch in batches:
             for _, text in _encoded(batch):
                 for at in range(0, len(text) - minimizers.GRAM + 1, SCAN_BYTES):
-                    # a gram that a document repeats within itself is no more frequent for it
-                    held.append(np.unique(minimizers.gram_hashes(np.frombuffer(text[at : at + SCAN_BYTES + minimizers.GRAM - 1], np.uint8))))
+                    held.append(minimizers.gram_hashes(np.frombuffer(text[at : at + SCAN_BYTES + minimizers.GRAM - 1], np.uint8)))
                     if sum(map(len, held)) > SCAN_BYTES:
                         yield counted()
         yield counted()
 
     found = _texts(docs).mapInArrow(run, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT)
     rows = found.orderBy(F.desc("c"), "gram").limit(MOST_FREQUENT).select("gram").toPandas()  # bounded
-    return np.sort(rows["gram"].to_numpy(np.int64).view(np.uint64))
+    return minimizers.frequency_table(rows["gram"].to_numpy(np.int64).view(np.uint64))
 
 
 def _minimizer_counts(docs: DataFrame, frequent, length: int) -> DataFrame:
