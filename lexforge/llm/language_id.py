@@ -168,8 +168,8 @@ class Scorer:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         languages, scores = [], []
-        cut = [words_of(t) if t else [] for t in texts]
-        for words in cut:
+        for text in texts:
+            words = words_of(text) if text else []
             if not words or not self.model.languages:
                 languages.append(UNDETERMINED)
                 scores.append(0.0)
