@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import stored
+
 BINS = 4096
 BLOCK = 4096
 QUERY_BLOCK = 512
@@ -130,7 +132,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id and score of the k best rows for each row of vectors(vec_id, vector of long) with is_query."""
     blocks = vectors.mapInArrow(_pack(BLOCK), _BLOCK_SCHEMA)
     queries = vectors.where(is_query).repartition(8, "vec_id").mapInArrow(_pack(QUERY_BLOCK), _BLOCK_SCHEMA)
-    queries = queries.select("dim", F.col("part").alias("q_part"), F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    # written once: another evaluation may pack other rows together, and passes know a query by its block and place
+    queries = stored(queries.select("dim", F.monotonically_increasing_id().alias("q_part"), F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")))
     largest = vectors.agg(F.max(F.array_max(F.transform("vector", F.abs))).alias("x"), F.max(F.size("vector")).alias("d")).first()
     bound = (largest["x"] or 0) ** 2 * (largest["d"] or 0) + 1
     widths = [1]

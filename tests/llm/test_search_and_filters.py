@@ -73,6 +73,25 @@ def test_top_k(spark):
     assert not got
 
 
+def test_top_k_in_another_order_at_each_evaluation(spark):
+    r = np.random.default_rng(7)
+    usable = {i: r.integers(-50, 50, 4) for i in range(600)}
+    rows = [(i, v.tolist()) for i, v in usable.items()] + [(0, [1, 2])]  # an id in two lengths: two blocks with one first id
+    df = spark.createDataFrame(rows, "vec_id long, vector array<long>").coalesce(1)
+    shuffled = df.mapInPandas(lambda batches: (b.sample(frac=1) for b in batches), df.schema)
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        found = topk_search.top_k(shuffled, F.col("vec_id") % 2 == 0).collect()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    got = {}
+    for x in found:
+        got.setdefault(x.query_id, []).append((x.rank, x.vec_id, x.score))
+    for q in range(0, 600, 2):
+        scores = sorted((-int(usable[q] @ v), i) for i, v in usable.items() if i != q)[:5]
+        assert sorted(got.get(q, [])) == [(k + 1, i, -s) for k, (s, i) in enumerate(scores)]
+
+
 def test_url_filter(spark):
     d = datetime.date
     entries = [
