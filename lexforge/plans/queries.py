@@ -97,7 +97,7 @@ def size_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @registered(f"WITH {_ARTICLES} SELECT id, number, text_id FROM articles WHERE embedding IS NULL AND repealed_on IS NULL ORDER BY id LIMIT 100")
 def pending_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.pending_vectors(_articles(spark, sf, True), _texts(spark, sf), limit=100).select("id", "number", "text_id")
+    return corpus.pending_vectors(_articles(spark, sf, True), _texts(spark, sf)).select("id", "number", "text_id")
 
 
 def _questions(spark: SparkSession, sf: str) -> DataFrame:
