@@ -15,8 +15,10 @@ is lost, no group is capped:
    the pairs that may be linked, and exact intersections decide.
 
 Null texts and texts without words have no shingles, and are their own component. Texts with fewer words
-than a shingle are one shingle. Rows with the same doc_id are given the same component. Empty tables give
-no rows. Only the columns named are read, whatever others there are.
+than a shingle are one shingle. Rows with the same doc_id are given the same component. Rows with a null
+doc_id link like others and get the smallest id of their component; where no row of it has an id, that is
+null. Sets without an id are numbered from the largest id on for this, which must leave room for them.
+Empty tables give no rows. Only the columns named are read, whatever others there are.
 """
 
 from __future__ import annotations
@@ -43,6 +45,10 @@ FREQUENT, MOST_FREQUENT = 64, 65_536
 MOST_BITS = 1 << 27
 
 
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -65,7 +71,7 @@ def _profiles(docs: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             ids, sizes, digests, keys, sets = [], [], [], [], []
             for doc_id, s in _sets(batch, words):
-                digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                digest = _digest(s)
                 minima = [int(mixed(s, 100 + k).min()) for k in range(2 * KEYS)] if len(s) else []
                 ids.append(doc_id)
                 sizes.append(len(s))
@@ -282,12 +288,48 @@ def _late_links(docs: DataFrame, sets: DataFrame, coarse: DataFrame, words: int,
     return _exact_links(rows, ["coarse", "x", "y"], percent)
 
 
+def _nameless_texts(docs: DataFrame, words: int) -> DataFrame:
+    """text and digest of the distinct texts of rows without an id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = [_digest(shingle_set(text.as_py(), words)) for text in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary())], ["text", "digest"])
+
+    return _texts(docs).where(F.col("doc_id").isNull()).select("text").distinct().mapInArrow(run, "text string, digest binary")
+
+
+def _numbered(sets: DataFrame, first: int) -> DataFrame:
+    """sets with doc_id, counted on from first."""
+    sets = stored(sets.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}))
+    sizes = sets.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()  # a row a task
+    starts = [first + int(x) for x in np.cumsum([0, *(r["n"] for r in sizes)])[:-1]]
+    offsets = sets.sparkSession.createDataFrame([(r["part"], a) for r, a in zip(sizes, starts)], "part int, start long")
+    return sets.join(F.broadcast(offsets), "part").withColumn("doc_id", F.col("start") + F.col("at")).drop("part", "at", "start")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs(doc_id, text)."""
+    rows, named, first = _named_sets(docs, words, percent)
+    joined = rows.join(named, "digest", "left")
+    component = F.when(F.col("component") < first, F.col("component")) if first is not None else F.col("component")
+    return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce(component, "doc_id").alias("component_id"))
+
+
+def _named_sets(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, int | None]:
+    """doc_id, n and digest of every row; digest and component of every set; and from where on components are no ids."""
     profiles = stored(_profiles(docs, words))
     rows = profiles.where(F.col("digest").isNotNull()).select("doc_id", "n", "digest", "keys")
-    sets = rows.where("n > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "keys")).alias("r")).select("digest", "r.doc_id", "r.n", "r.keys")
-    sets = stored(sets)
+    filled = rows.where("n > 0")
+    sets = filled.where("doc_id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "keys")).alias("r")).select("digest", "r.doc_id", "r.n", "r.keys")
+    sets, first = stored(sets), None
+    if not (nameless := filled.where("doc_id IS NULL")).isEmpty():
+        first = (rows.agg(F.max("doc_id")).first()[0] or 0) + 1
+        alone = nameless.groupBy("digest").agg(F.min(F.struct("n", "keys")).alias("r")).join(sets.select("digest"), "digest", "left_anti")
+        alone = stored(_numbered(alone.select("digest", "r.n", "r.keys"), first))
+        texts = _nameless_texts(docs, words).join(alone.select("digest", "doc_id"), "digest").groupBy("doc_id").agg(F.min("text").alias("text"))
+        docs = _texts(docs).where(F.col("doc_id").isNotNull()).unionByName(stored(texts))
+        sets = sets.unionByName(alone)
     early = stored(_early_links(docs, sets, words, percent))
     groups = connected_components(early)
     grouped = stored(sets.select("doc_id").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("grp")))
@@ -299,12 +341,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
     late = _late_links(docs, grouped, coarse, words, percent)
     final = connected_components(early.unionAll(late))
     named = sets.select("digest", "doc_id").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("digest", F.coalesce("component", "doc_id").alias("component"))
-    joined = rows.join(named, "digest", "left")
-    return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return rows.select("doc_id", "n", "digest"), named, first
 
 
 def first_of_each(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
-    """The rows of docs, with all their columns, whose doc_id is the smallest of their component."""
-    groups = near_duplicates(docs.select("doc_id", "text"), words, percent)
-    later = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti")
+    """The rows of docs, with all their columns, whose doc_id is the smallest of their component. Rows without an id go
+    where a row of their component has one; of a component without ids one row stays."""
+    rows, named, first = _named_sets(docs.select("doc_id", "text"), words, percent)
+    later = rows.join(named, "digest").where("doc_id <> component").select("doc_id").distinct()
+    if first is None:
+        return docs.join(later, "doc_id", "left_anti")
+    kept = docs.where(F.col("doc_id").isNotNull()).join(later, "doc_id", "left_anti").select(*docs.columns)
+    # texts without words are in no component and stay
+    known = _nameless_texts(docs, words).join(named, "digest", "left").select(F.col("text").alias("__text"), "component")
+    nameless = docs.where(F.col("doc_id").isNull())
+    judged = nameless.join(known, F.col("text").cast("string").eqNullSafe(F.col("__text")), "left")
+    alone = judged.where(F.col("component") >= first).groupBy("component").agg(F.min_by(F.struct(*(nameless[c] for c in docs.columns)), "__text").alias("r"))
+    return kept.unionByName(judged.where("component IS NULL").select(*docs.columns)).unionByName(alone.select("r.*"))

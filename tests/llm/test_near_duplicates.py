@@ -63,6 +63,22 @@ def test_small_blocks_and_no_early_links(spark, docs, monkeypatch):
     assert got == brute(texts)
 
 
+def test_null_ids(spark, docs):
+    """A null id beside copies and near copies, as the only link between two others, and groups without any id."""
+    word = lambda i: f"word{i}"
+    text = lambda a, b: " ".join(map(word, range(a, b)))
+    texts = [(None, text(0, 100)), (None, text(0, 100).upper()), (5, text(0, 100)), (3, text(0, 100)), (8, text(0, 110)), (None, text(14, 114))]
+    texts += [(20, text(500, 600)), (None, text(512, 612)), (21, text(524, 624))]  # 20 and 21 are linked by the row between them only
+    texts += [(None, text(2000, 2100)), (None, text(2000, 2100)), (None, text(2000, 2105)), (None, None), (None, " "), (30, text(3000, 3050)), (31, None)]
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in nd.near_duplicates(docs(texts)).collect()]
+    want = [(None, 96, 3), (None, 96, 3), (5, 96, 3), (3, 96, 3), (8, 106, 3), (None, 96, 3), (20, 96, 20), (None, 96, 20), (21, 96, 20)]
+    want += [(None, 96, None), (None, 96, None), (None, 101, None), (None, 0, None), (None, 0, None), (30, 46, 30), (31, 0, 31)]
+    order = lambda rows: sorted(rows, key=str)
+    assert order(got) == order(want)
+    kept = [(r.doc_id, r.text) for r in nd.first_of_each(docs(texts)).collect()]
+    assert order(kept) == order([(3, text(0, 100)), (20, text(500, 600)), (None, text(2000, 2100)), (None, None), (None, " "), (30, text(3000, 3050)), (31, None)])
+
+
 def test_tree_loses_no_pair():
     r = np.random.default_rng(4)
     sets = []
