@@ -1,13 +1,15 @@
 """Token-id packing by best-fit decreasing.
 
 Documents become ids; documents longer than a row are split into row-long parts and a rest, losing
-nothing. Parts are dealt to shards by a hash, and within a shard, longest first, each goes to the open
-row with the least room that still holds it, which a segment tree over capacities finds in logarithmic
-time. A row of the result is a row of a packed matrix: the ids, padded; the cumulative lengths of its
-segments; and where positions start again from zero.
-
-Null and empty texts have no tokens and no part. Repeated rows are packed as often as they stand. Empty
-tables give no rows. Only the columns named are read, whatever others there are.
+nothing. Parts are dealt to shards by a hash that takes in a number of the row, so that parts with equal
+or no doc_id are dealt out too; which shard a part is in follows how the input is split. Within a shard,
+longest first, each goes to the open row with the least room that still holds it, which a segment tree
+over capacities finds in logarithmic time. A row of the result is a row of a packed matrix: the ids,
+padded; the cumulative lengths of its segments; and where positions start again from zero.
+
+Null and empty texts have no tokens and no part. A null doc_id sorts last and stays null. Repeated rows
+are packed as often as they stand. Empty tables give no rows. Only the columns named are read, whatever
+others there are.
 """
 
 from __future__ import annotations
@@ -107,7 +109,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, pad: int = 0) -> Data
     def packed(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
         doc_ids, parts, sizes, ids = (table[c].to_pylist() for c in ("doc_id", "part", "n", "ids"))
-        order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], doc_ids[i], parts[i]))
+        order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], doc_ids[i] is None, doc_ids[i] or 0, parts[i]))
         rows = []
         for row, members in enumerate(best_fit_decreasing([sizes[i] for i in order], length)):
             own = [order[i] for i in members]
@@ -117,7 +119,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, pad: int = 0) -> Data
         names = [c.split()[0] for c in _PACKED.split(", ")]
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), _PACKED_TYPES)], names=names)
 
-    dealt = token_parts(docs, path, length).withColumn("shard", F.pmod(F.xxhash64("doc_id", "part"), F.lit(shards)).cast("int"))
+    dealt = token_parts(docs, path, length).withColumn("shard", F.pmod(F.xxhash64("doc_id", "part", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
     return dealt.groupBy("shard").applyInArrow(packed, _PACKED)
 
 

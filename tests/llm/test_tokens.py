@@ -69,6 +69,23 @@ def test_packing_round_trip(docs, tokenizers_path):
     assert back == {i: ids for i, t in enumerate(texts) if (ids := library.encode(t or ""))}
 
 
+def test_packing_of_null_and_repeated_ids(docs, tokenizers_path, monkeypatch):
+    import sentencepiece
+
+    path = tokenizers_path("piece_bpe_32k.model")
+    library, text = sentencepiece.SentencePieceProcessor(model_file=path), "some words that stand in every row " * 5
+    ids = library.encode(text)
+    monkeypatch.setattr(packing, "SHARD_BYTES", 20 * len(text))
+    texts = [(None, text)] * 100 + [(7, text)] * 100 + [(i, text) for i in range(100, 150)]
+    rows = packing.pack(docs(texts), path, length=16).collect()
+    assert sorted((d is None, d or 0) for r in rows for d, p in zip(r.doc_ids, r.parts) if p == 0) == sorted((d is None, d or 0) for d, _ in texts)
+    assert sum(r.n_tokens for r in rows) == len(texts) * len(ids)
+    held = {}
+    for r in rows:
+        held[r.shard] = held.get(r.shard, 0) + r.n_tokens
+    assert len(held) == 13 and max(held.values()) < 3 * len(texts) * len(ids) / 13
+
+
 def test_best_fit_decreasing():
     r = random.Random(5)
     for _ in range(200):
