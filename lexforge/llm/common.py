@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-
-
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Entries a per-task memo may hold before it is emptied; bounds a worker's memory.
-MEMO_ENTRIES = 400_000
+#: Entries a per-task memo may hold before it is emptied, and characters of the longest entry; bound a worker's memory.
+MEMO_ENTRIES, MEMO_CHARS = 400_000, 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(wanted: str, taken: Iterable[str]) -> str:
+    """wanted, lengthened until no column is called that."""
+    names = {n.lower() for n in taken}
+    while wanted.lower() in names:
+        wanted += "_"
+    return wanted
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:

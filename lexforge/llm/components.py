@@ -6,42 +6,65 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df, written as Parquet to the shared folder that the session names in spark.checkpoint.dir, and read again.
-
-    That cuts the lineage, survives the loss of executors, and lets several jobs read it. Only where the session names
-    no folder (tests in one JVM) is a temporary one set."""
-    spark = df.sparkSession
+def kept_folder(spark: SparkSession) -> str:
+    """The shared folder that the session names in spark.checkpoint.dir. Only where one machine runs everything (a local
+    master) and the session names none, a temporary one is set; elsewhere that is an error, as executors share no folder."""
     if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="tables-", dir=os.environ.get("TMPDIR"))
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/{uuid.uuid4().hex}"
+    return folder
+
+
+def stored(df: DataFrame, bag: list[str] | None = None) -> DataFrame:
+    """df, written as Parquet to the shared folder, and read again. That cuts the lineage, survives the loss of executors,
+    and lets several jobs read it. bag: takes the table's path, for `discard`."""
+    path = f"{kept_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if bag is not None:
+        bag.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, bag: list[str]) -> None:
+    """Remove the tables of bag, which nothing reads any more."""
+    jvm = spark._jvm
+    for path in bag:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    bag.clear()
 
 
-def connected_components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """node and component (its smallest node) of every node of links(a, b), by alternating large and small stars.
+def connected_components(links: DataFrame, bag: list[str] | None = None) -> DataFrame:
+    """node and component (its smallest node) of every node of links(a, b), by alternating large and small stars, until
+    nothing changes. Null ends are no links. bag: takes the path of the result's table.
 
     Each round hangs the neighbours of every node on the smallest of them; what is left at the end are stars. A node with
     very many neighbours only takes part in a minimum and an equality join, both of which Spark splits."""
+    spark, old = links.sparkSession, []
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    edges = stored(edges)
+    edges = stored(edges, old)
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = stored(small.select("e.u", "e.v").where("u <> v").distinct())
+        new: list[str] = []
+        edges = stored(small.select("e.u", "e.v").where("u <> v").distinct(), new)
+        discard(spark, old)
+        old = new
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
+    if bag is not None:
+        bag += old
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)

@@ -9,10 +9,13 @@ is lost, no group is capped:
    only brings most near copies together early, so that large groups of copies cost little below.
 3. Sets are seen in spans, which are hash classes of the shingles, about 512 shingles each. If two sets
    are similar, so are their shares of at least one span, and then the two shares' prefixes (in an order
-   that puts known frequent shingles last) have a shingle in common. Under each shingle that joins
-   different groups, span bitmaps rule out what cannot be similar; the rest is joined to coarse groups.
-4. Within coarse groups, in pairs of blocks of bounded size, a signature tree over the whole sets finds
-   the pairs that may be linked, and exact intersections decide.
+   that puts known frequent shingles last) have a shingle in common; in the smaller share it stands in
+   the still shorter prefix that a partner of its own size or more needs. Under each such shingle a
+   signature tree over the spans' bitmaps gives the pairs of sets that may be linked.
+4. Each such pair is tested by its exact intersection, and only tested links form components: first the
+   pair of two groups that looks nearest, then, where it fails, every other pair of the two groups.
+
+Shingles are compared by 64-bit hashes; sets are equal or linked as far as those tell.
 
 Null texts and texts without words have no shingles, and are their own component. Texts with fewer words
 than a shingle are one shingle. Rows with the same doc_id are given the same component. Rows with a null
@@ -31,12 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components, stored
+from .components import connected_components, discard, stored
 from .shingles import mixed, shingle_set
-from .signature_tree import bitmaps, link, needed
+from .signature_tree import LEAF, SignatureTree, bitmaps, link, needed
 
-#: Min-hash keys of a set, each of two minima; sets that one task of step 2 joins, about; the largest block of step 4.
-KEYS, CHUNK, BLOCK = 3, 256, 1024
+#: Min-hash keys of a set, each of two minima; sets, and bytes of them, that one group of step 2 joins, about.
+KEYS, CHUNK, CHUNK_BYTES = 3, 256, 16_000_000
+#: The largest block of spans that is met at once in step 3; a span is a bitmap and a few numbers.
+BLOCK = 1024
 #: Shingles of a span, at most, and bits of its bitmap.
 SPAN = BITS = 512
 #: A shingle counts as frequent from so many sets on; so many are known at most, as only the order depends on it.
@@ -97,34 +102,37 @@ class Bloom:
     """A bitmap of the numbers in a column, modulo a size that follows their count up to MOST_BITS."""
 
     def __init__(self, df: DataFrame, column: str):
-        self.bits = min(MOST_BITS, max(1 << 16, 1 << (16 * df.count()).bit_length()))
+        count = df.count()
+        self.bits = min(MOST_BITS, max(1 << 16, 1 << (16 * count).bit_length())) if count else 0
+        self.held = np.zeros(max(self.bits // 8, 4096), np.uint8)
+        if not count:
+            return
         place = F.pmod(F.col(column), F.lit(self.bits)) + 1
         parts = df.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bitmap"))
-        self.held = np.zeros(max(self.bits // 8, 4096), np.uint8)
         for row in parts.toLocalIterator():  # 4 KB each, bits / 8 in all
             self.held[(row["bucket"] - 1) * 4096 : row["bucket"] * 4096] = np.frombuffer(row["bitmap"], np.uint8)
 
     def test(self, numbers: np.ndarray) -> np.ndarray:
         """Which of numbers may be in the column."""
+        if not self.bits:
+            return np.zeros(len(numbers), bool)
         place = np.mod(numbers.astype(np.int64), self.bits)
         return (self.held[place // 8] >> (place % 8).astype(np.uint8)) & 1 == 1
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """The rows of wanted(doc_id, ...) with the shingle sets of those documents as bytes. Texts that the bitmap of wanted
-    ids rules out are not read into sets."""
+    """The rows of wanted(doc_id, ...) with the shingle sets of those documents. Texts that the bitmap of wanted ids rules
+    out are not read into sets."""
     shared = docs.sparkSession.sparkContext.broadcast(Bloom(wanted, "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             chosen = batch.filter(pa.array(shared.value.test(np.asarray(batch.column(0)))))
-            ids, sets = [], []
-            for doc_id, s in _sets(chosen, words):
-                ids.append(doc_id)
-                sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+            for at in range(0, chosen.num_rows, 500):
+                found = list(_sets(chosen.slice(at, 500), words))
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), _lists([s.view(np.int64) for _, s in found], pa.int64())], ["doc_id", "shingles"])
 
-    found = _texts(docs).where(F.col("doc_id").isNotNull()).mapInArrow(run, "doc_id long, shingles binary")
+    found = _texts(docs).where(F.col("doc_id").isNotNull()).mapInArrow(run, "doc_id long, shingles array<long>")
     return found.join(wanted, "doc_id")
 
 
@@ -133,7 +141,7 @@ def _exact_links(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         ids, groups = (np.asarray(table[c]) for c in ("doc_id", "grp"))
-        sets = [np.frombuffer(s, np.uint64) for s in table["shingles"].to_pylist()]
+        sets = [np.asarray(s.values).view(np.uint64) for s in table["shingles"]]
         sizes = np.array([len(s) for s in sets], np.int64)
         bits = min(8192, max(BITS, 1 << (2 * int(np.median(sizes)) - 1).bit_length()))
 
@@ -147,18 +155,20 @@ def _exact_links(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
     return rows.groupBy(*keys).applyInArrow(run, "a long, b long")
 
 
-def _early_links(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
+def _early_links(docs: DataFrame, sets: DataFrame, words: int, percent: int, bag: list[str]) -> DataFrame:
     """Step 2: links between sets that share a min-hash key, chunk by chunk."""
-    keyed = sets.select("doc_id", F.posexplode("keys").alias("band", "key"))
-    sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
-    chunk = F.pmod(F.xxhash64("doc_id", "band"), F.ceil(F.col("size") / CHUNK).cast("long"))
-    wanted = stored(keyed.join(sizes, ["band", "key"]).select("doc_id", F.struct("band", "key", chunk.alias("chunk")).alias("k")).groupBy("doc_id").agg(F.collect_list("k").alias("ks")))
+    keyed = sets.select("doc_id", "n", F.posexplode("keys").alias("band", "key"))
+    sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")).where("size > 1")
+    chunks = F.greatest(F.ceil(F.col("size") / CHUNK), F.ceil(8 * F.col("shingles") / CHUNK_BYTES)).cast("long")
+    chunk = F.pmod(F.xxhash64("doc_id", "band"), chunks)
+    wanted = keyed.drop("n").join(sizes, ["band", "key"]).select("doc_id", F.struct("band", "key", chunk.alias("chunk")).alias("k"))
+    wanted = stored(wanted.groupBy("doc_id").agg(F.collect_list("k").alias("ks")), bag)  # at most KEYS of them
     rows = _sets_of(docs, wanted, words).select("doc_id", F.col("doc_id").alias("grp"), "shingles", F.explode("ks").alias("k"))
     return _exact_links(rows.select("doc_id", "grp", "shingles", "k.band", "k.key", "k.chunk"), ["band", "key", "chunk"], percent)
 
 
-def _spans(s: np.ndarray, frequent: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Number of classes, class and prefix keys, and members of every span of a set.
+def _spans(s: np.ndarray, frequent: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray, int, np.ndarray]]:
+    """Number of classes, prefix keys, how many of them are the shorter prefix, and members of every span of a set.
 
     A set of n shingles falls into the least power of two of classes with at most SPAN shingles on average, and also into
     twice as many if a larger partner would."""
@@ -176,64 +186,70 @@ def _spans(s: np.ndarray, frequent: np.ndarray, percent: int) -> Iterator[tuple[
             at = np.minimum(np.searchsorted(frequent, members), max(len(frequent) - 1, 0))
             known = frequent[at] == members if len(frequent) else np.zeros(len(members), bool)
             ranked = np.concatenate([members[~known], members[known]])
-            prefix = ranked[: len(members) - -(-percent * len(members) // 100) + 1]
-            yield count, mixed(prefix, count), members
+            size = len(members)
+            prefix = ranked[: size - -(-percent * size // 100) + 1]
+            yield count, mixed(prefix, count), size - int(needed(2 * size, percent)) + 1, members
 
 
-_SPAN_SCHEMA = "doc_id long, n int, bits binary, keys array<long>"
+_SPAN_SCHEMA = "doc_id long, n int, short int, bits binary, keys array<long>"
 
 
 def _span_rows(docs: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
-    """doc_id, n, bits (bitmap) and keys (of its prefix) of every span of every document."""
+    """doc_id, n, bits (bitmap), keys (of its prefix) and short (how many are its shorter one) of every span of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
-                ids, keys, members = [], [], []
+                ids, keys, short, members = [], [], [], []
                 for doc_id, s in _sets(batch.slice(at, 1000), words):
-                    for _, prefix, own in _spans(s, shared.value, percent):
+                    for _, prefix, least, own in _spans(s, shared.value, percent):
                         ids.append(doc_id)
                         keys.append(prefix.view(np.int64))
+                        short.append(least)
                         members.append(own)
                 bits = [b.tobytes() for b in bitmaps(members, BITS)]
-                arrays = [pa.array(ids, pa.int64()), pa.array([len(m) for m in members], pa.int32()), pa.array(bits, pa.binary()), _lists(keys, pa.int64())]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "bits", "keys"])
+                arrays = [pa.array(ids, pa.int64()), pa.array([len(m) for m in members], pa.int32()), pa.array(short, pa.int32()), pa.array(bits, pa.binary()), _lists(keys, pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "short", "bits", "keys"])
 
     return _texts(docs).where(F.col("doc_id").isNotNull()).mapInArrow(run, _SPAN_SCHEMA)
 
 
-def _bucket_links(keys: np.ndarray, sizes: np.ndarray, signatures: np.ndarray, groups: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs of groups that some bucket may link; rows stand by key. Small buckets are compared all at once, large ones by
-    a signature tree each."""
+def _bucket_pairs(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, short: np.ndarray, signatures: np.ndarray, groups: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Positions of two rows of different groups that some bucket may link, and how far apart their bitmaps are, in percent of
+    their sizes; rows stand by key. short: whether the key is in the row's shorter prefix. A bucket of at most LEAF rows is a
+    tree of one leaf; such leaves are compared together, those of larger trees one after the other."""
     cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     counts = np.diff(np.append(cuts, len(keys)))
-    found = [np.zeros((0, 2), np.int64)]
-    for size in np.unique(counts[(counts > 1) & (counts <= 16)]).tolist():
+
+    def judged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        smaller = np.where(sizes[a] == sizes[b], short[a] | short[b], np.where(sizes[a] < sizes[b], short[a], short[b]))
+        chosen = (groups[a] != groups[b]) & smaller
+        a, b = a[chosen], b[chosen]
+        total = (sizes[a] + sizes[b]).astype(np.int64)
+        far = np.bitwise_count(signatures[a] ^ signatures[b]).sum(axis=1, dtype=np.int64)
+        fits = ((total - far) // 2 >= needed(total, percent)) & (100 * np.minimum(sizes[a], sizes[b]) >= percent * np.maximum(sizes[a], sizes[b]).astype(np.int64))
+        return a[fits], b[fits], (100 * far[fits] // np.maximum(total[fits], 1)).astype(np.int32)
+
+    for size in np.unique(counts[(counts > 1) & (counts <= LEAF)]).tolist():
         rows = cuts[counts == size][:, None] + np.arange(size)
         for i in range(size):
             for j in range(i + 1, size):
-                a, b = rows[:, i], rows[:, j]
-                apart = groups[a] != groups[b]
-                a, b = a[apart], b[apart]
-                total = (sizes[a] + sizes[b]).astype(np.int64)
-                far = np.bitwise_count(signatures[a] ^ signatures[b]).sum(axis=1, dtype=np.int64)
-                fits = ((total - far) // 2 >= needed(total, percent)) & (100 * np.minimum(sizes[a], sizes[b]) >= percent * np.maximum(sizes[a], sizes[b]).astype(np.int64))
-                found.append(np.stack([groups[a[fits]], groups[b[fits]]], axis=1))
-    for start, size in zip(cuts[counts > 16].tolist(), counts[counts > 16].tolist()):
+                yield judged(rows[:, i], rows[:, j])
+    for start, size in zip(cuts[counts > LEAF].tolist(), counts[counts > LEAF].tolist()):
         part = slice(start, start + size)
-        own = groups[part]
-        if (own != own[0]).any():
-            pairs = link(sizes[part], signatures[part], own, percent)
-            found.append(np.array([(own[i], own[j]) for i, j in pairs], np.int64).reshape(-1, 2))
-    return np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+        if short[part].any() and (groups[part] != groups[start]).any():
+            for left, right in SignatureTree(sizes[part], signatures[part], percent).candidates():
+                yield judged(left + start, right + start)
 
 
-def _coarse_links(spans: DataFrame, percent: int) -> DataFrame:
-    """Step 3: pairs a, b of groups of spans(doc_id, grp, n, bits, keys) that span bitmaps cannot rule out."""
+def _candidates(spans: DataFrame, percent: int, nearest: bool, bag: list[str]) -> DataFrame:
+    """Step 3: pairs x, y of sets of the groups a < b of spans(doc_id, grp, n, short, bits, keys), that span bitmaps cannot rule
+    out; nearest: only the nearest one of each two groups, and `others`, whether there may be more."""
     spark = spans.sparkSession
-    buckets = spans.select("grp", F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("size"), F.min("grp").alias("low"), F.max("grp").alias("high"))
-    buckets = stored(buckets.where("low < high").select("key", "size"))
+    leading = F.explode(F.transform("keys", lambda key, i: F.struct(key.alias("key"), (i < F.col("short")).alias("short"))))
+    buckets = spans.select("grp", leading.alias("k")).groupBy("k.key").agg(F.count("*").alias("size"), F.min("grp").alias("low"), F.max("grp").alias("high"), F.max("k.short").alias("led"))
+    buckets = stored(buckets.where("low < high AND led").select("key", "size"), bag)
     shared = spark.sparkContext.broadcast(Bloom(buckets, "key"))
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,51 +257,101 @@ def _coarse_links(spans: DataFrame, percent: int) -> DataFrame:
             lists = batch.column("keys")
             keys, offsets = np.asarray(lists.values), np.asarray(lists.offsets)
             kept = np.flatnonzero(shared.value.test(keys))
-            row = pa.array(np.searchsorted(offsets, kept, side="right") - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[kept]), *(batch.column(c).take(row) for c in ("doc_id", "grp", "n", "bits"))], ["key", "doc_id", "grp", "n", "bits"])
+            row = np.searchsorted(offsets, kept, side="right") - 1
+            led = kept - offsets[row] < np.asarray(batch.column("short"))[row]
+            row = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[kept]), pa.array(led), *(batch.column(c).take(row) for c in ("doc_id", "grp", "n", "bits"))], ["key", "short", "doc_id", "grp", "n", "bits"])
 
-    rows = spans.mapInArrow(chosen, "key long, doc_id long, grp long, n int, bits binary")
+    rows = spans.select("keys", "short", "doc_id", "grp", "n", "bits").mapInArrow(chosen, "key long, short boolean, doc_id long, grp long, n int, bits binary")
     # a bucket beyond BLOCK rows is met in pairs of blocks; such buckets are few, as each has over BLOCK rows
-    large = stored(buckets.where(F.col("size") > BLOCK).select("key", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks")))
+    large = stored(buckets.where(F.col("size") > BLOCK).select("key", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks")), bag)
     blocked = rows.join(F.broadcast(large) if large.count() <= 100_000 else large, "key", "left")
     own = F.pmod(F.xxhash64("doc_id"), F.coalesce("blocks", F.lit(1)))
     pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)) - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("x"), F.greatest(F.col("own"), j).alias("y"))))
-    dealt = blocked.withColumn("own", own).withColumn("pair", pair).select("key", "pair.x", "pair.y", "grp", "n", "bits")
+    dealt = blocked.withColumn("own", own).withColumn("pair", pair).select("key", "pair.x", "pair.y", "short", "doc_id", "grp", "n", "bits")
+    names = ["a", "b", "x", "y", "far"]
 
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def identity(table: pa.Table) -> np.ndarray:
+            return np.asarray(table["key"]) ^ mixed((np.asarray(table["x"]) * 0x10001 + np.asarray(table["y"])).astype(np.uint64)).view(np.int64)
 
-        def links(table: pa.Table) -> pa.RecordBatch:
-            keys = np.asarray(table["key"]) ^ mixed((np.asarray(table["x"]) * 0x10001 + np.asarray(table["y"])).astype(np.uint64)).view(np.int64)
+        def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            keys = identity(table)
             signatures = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(len(keys), BITS // 64)
-            pairs = _bucket_links(keys, np.asarray(table["n"]), signatures, np.asarray(table["grp"]), percent)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            ids, groups = np.asarray(table["doc_id"]), np.asarray(table["grp"])
+            held, count = [np.zeros((0, 5), np.int64)], 0
+
+            def flush() -> pa.RecordBatch:
+                found = np.unique(np.concatenate(held), axis=0)
+                del held[1:]
+                if nearest:  # of each two groups, here already
+                    found = found[np.lexsort((found[:, 3], found[:, 2], found[:, 4], found[:, 1], found[:, 0]))]
+                    first = np.ones(len(found), bool)
+                    first[1:] = (found[1:, :2] != found[:-1, :2]).any(axis=1)
+                    found = found[first]
+                return pa.RecordBatch.from_arrays([pa.array(found[:, i]) for i in range(5)], names)
+
+            for a, b, far in _bucket_pairs(keys, ids, np.asarray(table["n"]), np.asarray(table["short"]), signatures, groups, percent):
+                if len(a):
+                    swap = groups[a] > groups[b]
+                    a, b = np.where(swap, b, a), np.where(swap, a, b)
+                    held.append(np.stack([groups[a], groups[b], ids[a], ids[b], far], axis=1))
+                    count += len(a)
+                if count > 200_000:
+                    yield flush()
+                    count = 0
+            yield flush()
 
+        rest: pa.Table | None = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
             table = pa.concat_tables([rest, table]) if rest is not None else table
             if not len(table):
                 continue
-            last = np.asarray(table["key"])
-            whole = int(np.searchsorted(last != last[-1], False)) if last[0] == last[-1] else int(np.flatnonzero(last != last[-1])[-1]) + 1
+            last = identity(table)
+            whole = 0 if last[0] == last[-1] else int(np.flatnonzero(last != last[-1])[-1]) + 1
             if whole:
-                yield links(table.slice(0, whole))
+                yield from pairs(table.slice(0, whole))
             rest = table.slice(whole)
         if rest is not None and len(rest):
-            yield links(rest)
+            yield from pairs(rest)
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    return dealt.repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(linked, "a long, b long")
-
-
-def _late_links(docs: DataFrame, sets: DataFrame, coarse: DataFrame, words: int, percent: int) -> DataFrame:
-    """Step 4: links between the groups of sets(doc_id, grp) within each coarse group, by pairs of blocks."""
-    members = sets.join(coarse.select(F.col("node").alias("grp"), F.col("component").alias("coarse")), "grp")
-    sizes = members.groupBy("coarse").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    wanted = stored(members.join(sizes, "coarse").select("doc_id", "grp", "coarse", "blocks", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("own")))
-    pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("x"), F.greatest(F.col("own"), j).alias("y"))))
-    rows = _sets_of(docs, wanted, words).withColumn("pair", pair).select("doc_id", "grp", "shingles", "coarse", "pair.x", "pair.y")
-    return _exact_links(rows, ["coarse", "x", "y"], percent)
+    found = dealt.repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(paired, "a long, b long, x long, y long, far long")
+    if not nearest:
+        return found.select("a", "b", "x", "y").distinct()
+    return found.groupBy("a", "b").agg(F.min(F.struct("far", "x", "y")).alias("p")).select("a", "b", "p.x", "p.y")
+
+
+def _tested(docs: DataFrame, pairs: DataFrame, words: int, percent: int, bag: list[str]) -> DataFrame:
+    """Step 4: pairs(a, b, x, y) with linked, by the exact intersection of the sets x and y."""
+    pairs = stored(pairs, bag)
+    ends = stored(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), bag)
+    sets = stored(_sets_of(docs, ends, words).distinct(), bag)  # several for an id that stands over several texts
+    side = lambda end: sets.select(F.col("doc_id").alias(end), F.col("shingles").alias("of_" + end))
+    shared = F.size(F.array_intersect("of_x", "of_y"))
+    union = F.size("of_x") + F.size("of_y") - shared
+    return pairs.join(side("x"), "x").join(side("y"), "y").select("a", "b", "x", "y", (100 * shared >= percent * union).alias("linked"))
+
+
+def _late_links(docs: DataFrame, grouped: DataFrame, spans: DataFrame, words: int, percent: int, bag: list[str]) -> DataFrame:
+    """Steps 3 and 4: links a, b between the groups of grouped(doc_id, grp)."""
+    first = stored(_tested(docs, _candidates(spans, percent, True, bag), words, percent, bag), bag)
+    linked = first.where("linked").select("a", "b")
+    # where the nearest pair fails and there may be others, all pairs of the two groups that are still apart are tested
+    sizes = grouped.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1")
+    joined = connected_components(linked, bag)
+    side = lambda end: joined.select(F.col("node").alias(end), F.col("component").alias("of_" + end))
+    failed = first.where(~F.col("linked")).join(side("a"), "a", "left").join(side("b"), "b", "left")
+    failed = failed.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+    several = lambda end: sizes.select(F.col("grp").alias(end), F.lit(True).alias("several_" + end))
+    open_ = failed.join(several("a"), "a", "left").join(several("b"), "b", "left").where("several_a OR several_b").select("a", "b")
+    open_ = stored(open_, bag)
+    if open_.isEmpty():
+        return linked
+    concerned = open_.select(F.explode(F.array("a", "b")).alias("grp")).distinct()
+    again = stored(_candidates(spans.join(concerned, "grp", "left_semi"), percent, False, bag).join(open_, ["a", "b"], "left_semi"), bag)
+    return linked.unionAll(_tested(docs, again, words, percent, bag).where("linked").select("a", "b"))
 
 
 def _nameless_texts(docs: DataFrame, words: int) -> DataFrame:
@@ -318,29 +384,30 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
 
 def _named_sets(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, int | None]:
     """doc_id, n and digest of every row; digest and component of every set; and from where on components are no ids."""
+    spark, bag = docs.sparkSession, []
     profiles = stored(_profiles(docs, words))
     rows = profiles.where(F.col("digest").isNotNull()).select("doc_id", "n", "digest", "keys")
     filled = rows.where("n > 0")
     sets = filled.where("doc_id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "keys")).alias("r")).select("digest", "r.doc_id", "r.n", "r.keys")
-    sets, first = stored(sets), None
+    sets, first = stored(sets, bag), None
     if not (nameless := filled.where("doc_id IS NULL")).isEmpty():
         first = (rows.agg(F.max("doc_id")).first()[0] or 0) + 1
         alone = nameless.groupBy("digest").agg(F.min(F.struct("n", "keys")).alias("r")).join(sets.select("digest"), "digest", "left_anti")
-        alone = stored(_numbered(alone.select("digest", "r.n", "r.keys"), first))
+        alone = stored(_numbered(alone.select("digest", "r.n", "r.keys"), first), bag)
         texts = _nameless_texts(docs, words).join(alone.select("digest", "doc_id"), "digest").groupBy("doc_id").agg(F.min("text").alias("text"))
-        docs = _texts(docs).where(F.col("doc_id").isNotNull()).unionByName(stored(texts))
+        docs = _texts(docs).where(F.col("doc_id").isNotNull()).unionByName(stored(texts, bag))
         sets = sets.unionByName(alone)
-    early = stored(_early_links(docs, sets, words, percent))
-    groups = connected_components(early)
-    grouped = stored(sets.select("doc_id").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("grp")))
+    early = stored(_early_links(docs, sets, words, percent, bag), bag)
+    groups = connected_components(early, bag)
+    grouped = stored(sets.select("doc_id").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("grp")), bag)
     common = profiles.where(F.col("h").isNotNull()).groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT)
     held = common.orderBy(F.desc("c"), "h").limit(MOST_FREQUENT).select("h").collect()  # bounded; sets the order of prefixes only
     frequent = np.unique(np.array([r["h"] for r in held], np.int64).view(np.uint64))
-    spans = stored(_span_rows(docs, frequent, words, percent).join(grouped, "doc_id").select("doc_id", "grp", "n", "bits", "keys"))
-    coarse = connected_components(_coarse_links(spans, percent))
-    late = _late_links(docs, grouped, coarse, words, percent)
-    final = connected_components(early.unionAll(late))
+    spans = stored(_span_rows(docs, frequent, words, percent).join(grouped, "doc_id"), bag)
+    final = connected_components(early.unionAll(_late_links(docs, grouped, spans, words, percent, bag)), bag)
     named = sets.select("digest", "doc_id").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("digest", F.coalesce("component", "doc_id").alias("component"))
+    named = stored(named)
+    discard(spark, bag)
     return rows.select("doc_id", "n", "digest"), named, first
 
 

@@ -11,7 +11,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 
-LEAF = 32
+#: Sets of a leaf.
+LEAF = 16
 
 
 def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:

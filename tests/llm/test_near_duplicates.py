@@ -55,7 +55,7 @@ def test_components(spark, docs):
 
 
 def test_small_blocks_and_no_early_links(spark, docs, monkeypatch):
-    """Blocks of a few rows, so that every path for large groups is taken; no early links, so that the rest finds all."""
+    """Blocks of a few rows, so that every path for large buckets is taken; no early links, so that the rest finds all."""
     monkeypatch.setattr(nd, "BLOCK", 4)
     monkeypatch.setattr(nd, "_early_links", lambda docs, *a: docs.sparkSession.createDataFrame([], "a long, b long"))
     texts = corpus(3)
@@ -63,6 +63,54 @@ def test_small_blocks_and_no_early_links(spark, docs, monkeypatch):
     assert got == brute(texts)
 
 
+def test_groups_whose_nearest_pair_fails(spark, docs, monkeypatch):
+    """Early links make groups of unlike sets, so that groups must be tested beyond the pair that looks nearest."""
+    texts = corpus(4)
+    first = {}
+    for i, t in texts:
+        first.setdefault(t.lower() if t else None, i)
+    ids = [i for t, i in first.items() if t and len(t.split()) > 5]
+    pairs = list(zip(ids[::2], ids[1::2]))
+    early = docs(texts).sparkSession.createDataFrame(pairs, "a long, b long")
+    monkeypatch.setattr(nd, "_early_links", lambda *a: early)
+    got = {r.doc_id: r.component_id for r in nd.near_duplicates(docs(texts)).collect()}
+    label = {i: c for i, (_, c) in brute(texts).items()}
+    joined = {c: c for c in label.values()}
+
+    def find(c):
+        while joined[c] != c:
+            c = joined[c]
+        return c
+
+    for a, b in pairs:
+        x, y = sorted((find(label[a]), find(label[b])))
+        joined[y] = x
+    assert got == {i: find(c) for i, c in label.items()}
+
+
+def test_shared_boilerplate(spark, docs):
+    """Sets that share over half of their shingles and are not linked bring about few pairs to be tested."""
+    common = " ".join(f"common{i}" for i in range(120))
+    texts = [common + " " + " ".join(f"own{k}x{i}" for i in range(24)) for k in range(3000)] + [f"other{i % 90} " * 3 for i in range(100)]
+    tested = []
+    from_pairs = nd._tested
+    try:
+        nd._tested = lambda docs, pairs, *a: (tested.append(pairs.count()), from_pairs(docs, pairs, *a))[1]
+        got = {r.doc_id: r.component_id for r in nd.near_duplicates(docs(texts)).collect()}
+    finally:
+        nd._tested = from_pairs
+    assert got == {i: i for i in range(3000)} | {3000 + i: 3000 + i % 90 for i in range(100)}
+    assert sum(tested) < 10_000
+
+
+def test_repeated_ids(spark, docs):
+    """One id over two texts is one node: its links are those of both."""
+    text = lambda a, b: " ".join(f"word{i}" for i in range(a, b))
+    texts = [(5, text(0, 100)), (5, text(500, 600)), (5, text(0, 100)), (3, text(2, 102)), (8, text(502, 602)), (9, text(900, 950))]
+    got = {(r.doc_id, r.component_id) for r in nd.near_duplicates(docs(texts)).collect()}
+    assert got == {(5, 3), (3, 3), (8, 3), (9, 9)}
+
+
 def test_null_ids(spark, docs):
     """A null id beside copies and near copies, as the only link between two others, and groups without any id."""
     word = lambda i: f"word{i}"
