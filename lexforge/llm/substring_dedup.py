@@ -8,15 +8,20 @@ hash of their minimizer, and each shard needs only its own runs' bytes:
    depends on what this scan finds.
 2. One scan counts minimizers; a window whose minimizer stands once has no equal.
 3. One scan cuts the runs of the other windows. Runs equal to an earlier one of the same batch are known
-   to be repeats; the rest is dealt to shards.
+   to be repeats; the rest is dealt to shards, as many as the text needs. Under a minimizer with very many
+   different runs, windows are dealt out one by one, by their own hash.
 4. A shard builds the suffix array of its distinct runs by induced sorting. Neighbours with LENGTH common
    bytes are equal windows; all but the earliest are repeats.
 5. A document's repeats are united and cut out.
 
+What is broadcast is bounded: a table of frequent grams, and bitmaps of at most 16 MB of the minimizers that
+repeat and of those with very many runs. A bitmap that is full lets rows through that nothing matches, which
+costs their shuffle and no more.
+
 A null text is empty. Windows never cross documents; documents shorter than LENGTH have none. Earlier
 means a smaller doc_id, or an earlier start in the same document; rows with the same doc_id count as one
-document. Texts of any length are read whole, in blocks. Empty tables give no rows. Only the columns named
-are read, whatever others there are.
+document; rows without one take no part and lose nothing. Texts of any length are read whole, in blocks.
+Empty tables give no rows. Only the columns named are read, whatever others there are.
 """
 
 from __future__ import annotations
@@ -30,8 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import minimizers
-from .components import stored
+from .common import free_name
+from .components import discard, stored
 from .near_duplicates import Bloom
+from .shingles import mixed
 from .suffix_array import permuted_common_prefixes, suffix_array
 
 LENGTH = 100
@@ -39,6 +46,10 @@ LENGTH = 100
 FREQUENT, MOST_FREQUENT = 64, 1 << 16
 #: Bytes of text in which repeats of grams are looked for at once, and of which a suffix array is built at once.
 SCAN_BYTES, ARRAY_BYTES = 1_000_000, 2_000_000
+#: Bytes of text for each of the partitions that runs are dealt to, at least one for each shuffle partition of the session.
+SHARD_BYTES = 32_000_000
+#: A minimizer with more different runs than this has its windows dealt out one by one.
+MOST_RUNS = 50_000
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -75,37 +86,56 @@ def _frequent_grams(docs: DataFrame) -> np.ndarray:
 
 
 def _minimizer_counts(docs: DataFrame, frequent, length: int) -> DataFrame:
-    """Minimizers of at least two runs."""
+    """key and c of the minimizers of at least two runs; c: how many there are, different ones within a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [hashes for _, text in _encoded(batch) for hashes, _, _ in minimizers.runs(text, length, frequent.value)]
-            seen, counts = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(np.minimum(counts, 2).astype(np.int64))], ["key", "c"])
+            found, forms = [], []
+            for _, text in _encoded(batch):
+                for hashes, firsts, counts in minimizers.runs(text, length, frequent.value):
+                    found.append(hashes)
+                    # a run's form, as far as its own and its neighbours' minimizers tell
+                    forms.append(mixed(hashes ^ mixed(np.append(hashes[1:], counts[-1:].view(np.uint64))) ^ counts.view(np.uint64), 7))
+            hashes, forms = (np.concatenate(x or [np.zeros(0, np.uint64)]) for x in (found, forms))
+            seen, counts = np.unique(hashes, return_counts=True)
+            distinct = np.unique(forms, return_index=True)[1]
+            keys, several = np.unique(hashes[distinct], return_counts=True)
+            different = np.ones(len(seen), np.int64)
+            different[np.searchsorted(seen, keys)] = several
+            yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(np.minimum(counts, 2).astype(np.int64)), pa.array(different)], ["key", "c", "runs"])
 
-    return _texts(docs).mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).where("c > 1").select("key")
+    return _texts(docs).mapInArrow(run, "key long, c long, runs long").groupBy("key").agg(F.sum("c").alias("c"), F.sum("runs").alias("runs")).where("c > 1").select("key", "runs")
 
 
-def _cut_runs(docs: DataFrame, frequent, repeated, length: int) -> DataFrame:
-    """key, doc_id, start and bytes of runs whose minimizer may be repeated; bytes are null, and the key is a mere number to
-    deal it out by, for one equal to an earlier run of its batch (of which stop is the end)."""
+def _cut_runs(docs: DataFrame, frequent, repeated, crowded, length: int) -> DataFrame:
+    """key, doc_id, start and bytes of runs whose minimizer may be repeated, or of their single windows where it is crowded;
+    bytes are null, and the key is a mere number to deal it out by, for one equal to an earlier one of its batch (of which stop
+    is the end)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             known: dict[tuple[int, bytes], tuple[int, int]] = {}
             repeats: list[tuple[int, int, int]] = []
+
+            def add(key: int, doc_id: int, at: int, own: bytes) -> None:
+                earlier = known.setdefault((key, own), (doc_id, at))
+                if earlier > (doc_id, at):
+                    known[key, own] = doc_id, at
+                    repeats.append((*earlier, earlier[1] + len(own)))
+                elif earlier != (doc_id, at):
+                    repeats.append((doc_id, at, at + len(own)))
+
             for doc_id, text in _encoded(batch):
                 for hashes, firsts, counts in minimizers.runs(text, length, frequent.value):
                     kept = np.flatnonzero(repeated.value.test(hashes.view(np.int64)))
-                    for key, at, n in zip(hashes[kept].tolist(), firsts[kept].tolist(), counts[kept].tolist()):
-                        stop = at + n + length - 1
-                        own = key, text[at:stop]
-                        earlier = known.setdefault(own, (doc_id, at))
-                        if earlier > (doc_id, at):
-                            known[own] = doc_id, at
-                            repeats.append((*earlier, earlier[1] + stop - at))
-                        elif earlier != (doc_id, at):
-                            repeats.append((doc_id, at, stop))
+                    dense = crowded.value.test(hashes[kept].view(np.int64)).tolist() if crowded.value.bits else [False] * len(kept)
+                    for key, at, n, many in zip(hashes[kept].tolist(), firsts[kept].tolist(), counts[kept].tolist(), dense):
+                        if many:
+                            for start in range(at, at + n):
+                                window = text[start : start + length]
+                                add(int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little"), doc_id, start, window)
+                        else:
+                            add(key, doc_id, at, text[at : at + n + length - 1])
             n, m = len(known), len(repeats)
             keys = np.array([k for k, _ in known], np.uint64).view(np.int64)
             ids, starts = [p[0] for p in known.values()], [p[1] for p in known.values()]
@@ -161,7 +191,7 @@ def _united(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nd
     return doc[at], start[at], (reach - lift)[np.append(at[1:], len(doc)) - 1]
 
 
-def _shard_repeats(runs: DataFrame, length: int) -> DataFrame:
+def _shard_repeats(runs: DataFrame, length: int, parts: int) -> DataFrame:
     """doc_id, start and stop of repeats among runs, shard by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,20 +237,24 @@ def _shard_repeats(runs: DataFrame, length: int) -> DataFrame:
         close()
         yield flush()
 
-    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return runs.repartition(parts, "key").sortWithinPartitions("key", "doc_id", "start").mapInArrow(run, "doc_id long, start long, stop long")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, start and stop of byte intervals, which may overlap, that cover exactly the repeated bytes of docs(doc_id, text)."""
-    context = docs.sparkSession.sparkContext
+    spark, bag = docs.sparkSession, []
+    context = spark.sparkContext
+    total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
     frequent = context.broadcast(_frequent_grams(docs))
-    repeated = context.broadcast(Bloom(stored(_minimizer_counts(docs, frequent, length)), "key"))
-    return _shard_repeats(_cut_runs(docs, frequent, repeated, length), length)
+    counted = stored(_minimizer_counts(docs, frequent, length), bag)
+    repeated, crowded = context.broadcast(Bloom(counted, "key")), context.broadcast(Bloom(counted.where(F.col("runs") > MOST_RUNS), "key"))
+    discard(spark, bag)
+    return _shard_repeats(_cut_runs(docs, frequent, repeated, crowded, length), length, parts)
 
 
-def _with_spans(docs: DataFrame, length: int) -> DataFrame:
-    spans = repeated_spans(docs.select("doc_id", "text"), length).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("__spans"))
+def _with_spans(docs: DataFrame, length: int, name: str) -> DataFrame:
+    spans = repeated_spans(docs.select("doc_id", "text"), length).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias(name))
     return docs.join(spans, "doc_id", "left")
 
 
@@ -249,13 +283,13 @@ def removal_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else ([],) * 5, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    held = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), length)
-    return held.select("doc_id", "text", "__spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    held = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), length, "spans")
+    return held.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with its texts less their repeated bytes, and n_chars, where there is one, counted anew. A character that loses
-    some of its bytes goes; a text that loses nothing is returned as it is."""
+    some of its bytes goes; a text that loses nothing is returned as it is. Other columns may have any name."""
 
     def kept(texts, spans):
         import pandas as pd
@@ -263,8 +297,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return pd.Series([t if t is None or s is None else _kept(t.encode(), list(s))[0].decode("utf-8", "ignore") for t, s in zip(texts, spans)], dtype=object)
 
     cut = F.pandas_udf(kept, "string")
-    held = _with_spans(docs, length)
-    named = {"text": cut("text", "__spans")} | ({"n_chars": F.length("text").cast("long")} if "n_chars" in docs.columns else {})
+    spans = free_name("spans", docs.columns)
+    held = _with_spans(docs, length, spans)
+    named = {"text": cut("text", spans)} | ({"n_chars": F.length("text").cast("long")} if "n_chars" in docs.columns else {})
     for name, column in named.items():
         held = held.withColumn(name, column)
     return held.select(*docs.columns)

@@ -1,15 +1,16 @@
 """Suffix arrays by induced sorting, and permuted longest common prefixes, over numpy arrays.
 
-The scans of induced sorting go bucket by bucket rather than entry by entry: what a bucket already holds
-is induced from at once, as are the entries that this adds to the same bucket, until it adds none.
+Over bytes, the scans of induced sorting go bucket by bucket rather than entry by entry: what a bucket
+already holds is induced from at once, as are the entries that this adds to the same bucket, until it adds
+none. The reduced strings, whose symbols are the names of substrings and whose buckets are therefore small,
+are a third as long at most; they are scanned entry by entry, level below level, until all names differ.
 """
 
 from __future__ import annotations
 
-import numpy as np
+from itertools import accumulate
 
-#: Above so many distinct symbols, buckets are too small for that, and names are sorted by doubling instead.
-_MOST_BUCKETS = 4096
+import numpy as np
 
 
 def _types(s: np.ndarray) -> np.ndarray:
@@ -70,39 +71,50 @@ def _induce(s: np.ndarray, smaller: np.ndarray, starts: np.ndarray, stops: np.nd
     return sa
 
 
-def _doubled(s: np.ndarray) -> np.ndarray:
-    rank = np.unique(s, return_inverse=True)[1].astype(np.int64)
-    n, width = len(s), 1
-    while True:
-        key = rank * (n + 1)
-        key[: n - width] += rank[width:] + 1
-        sa = np.argsort(key, kind="stable")
-        new = np.empty(n, np.int64)
-        new[sa] = np.cumsum(np.concatenate([[0], key[sa[1:]] != key[sa[:-1]]]))
-        if new[sa[-1]] == n - 1:
-            return sa
-        rank, width = new, 2 * width
+def _scanned(s: list[int], smaller: list[bool], counts: list[int], seeds: list[int]) -> list[int]:
+    """`_induce`, entry by entry."""
+    sa = [-1] * len(s)
+    tails = list(accumulate(counts))
+    heads = [0, *tails[:-1]]
+    at = tails.copy()
+    for j in reversed(seeds):
+        at[s[j]] -= 1
+        sa[at[s[j]]] = j
+    for j in sa:
+        if j > 0 and not smaller[j - 1]:
+            c = s[j - 1]
+            sa[heads[c]] = j - 1
+            heads[c] += 1
+    for i in range(len(s) - 1, -1, -1):
+        j = sa[i] - 1
+        if j >= 0 and smaller[j]:
+            c = s[j]
+            tails[c] -= 1
+            sa[tails[c]] = j
+    return sa
 
 
-def suffix_array(s: np.ndarray) -> np.ndarray:
-    """Suffix array of s, whose last symbol is 0 and stands nowhere else."""
-    symbols = int(s.max()) + 1
-    if len(s) <= 2:
-        return np.argsort(s, kind="stable")
-    if symbols > _MOST_BUCKETS:
-        return _doubled(s)
-    smaller = _types(s)
-    stops = np.cumsum(np.bincount(s, minlength=symbols))
-    starts = np.concatenate([[0], stops[:-1]])
+def sorted_names(names: np.ndarray, levels: list[int] | None = None) -> list[int]:
+    """Suffix array of a reduced string by induced sorting, level below level; its last symbol is the smallest and stands
+    once. levels: takes the length of each level."""
+    if levels is not None:
+        levels.append(len(names))
+    smaller, s = _types(names), names.tolist()
     leftmost = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
-    if len(leftmost) < 2:
-        return _induce(s, smaller, starts, stops, leftmost)
-    # name the leftmost-smaller substrings in their order
-    rough = _induce(s, smaller, starts, stops, leftmost)
+    counts, types, seeds = np.bincount(names).tolist(), smaller.tolist(), leftmost.tolist()
+    if len(seeds) < 2:
+        return _scanned(s, types, counts, seeds)
+    rough = np.array(_scanned(s, types, counts, seeds), np.int64)
     place = np.full(len(s), -1, np.int64)
     place[leftmost] = np.arange(len(leftmost))
     ranked = place[rough]
-    ranked = ranked[ranked >= 0]
+    reduced = _named(names, leftmost, ranked[ranked >= 0])
+    order = np.argsort(reduced) if int(reduced.max()) + 1 == len(reduced) else np.array(sorted_names(reduced, levels))
+    return _scanned(s, types, counts, leftmost[order].tolist())
+
+
+def _named(s: np.ndarray, leftmost: np.ndarray, ranked: np.ndarray) -> np.ndarray:
+    """Names of the leftmost-smaller substrings, which are ranked, by their order; equal ones share a name."""
     lengths = np.diff(np.append(leftmost, len(s) - 1)) + 1
     a, b = ranked[:-1], ranked[1:]
     same = lengths[a] == lengths[b]
@@ -114,9 +126,26 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
         open_, step = open_[~unequal], step + 1
     names = np.empty(len(leftmost), np.int64)
     names[ranked] = np.cumsum(np.concatenate([[0], ~same]))
-    if names[ranked[-1]] + 1 == len(leftmost):
-        return _induce(s, smaller, starts, stops, leftmost[ranked])
-    return _induce(s, smaller, starts, stops, leftmost[suffix_array(names)])
+    return names
+
+
+def suffix_array(s: np.ndarray, levels: list[int] | None = None) -> np.ndarray:
+    """Suffix array of s, whose last symbol is 0 and stands nowhere else. levels: takes the length of each level below."""
+    if len(s) <= 2:
+        return np.argsort(s, kind="stable")
+    smaller = _types(s)
+    stops = np.cumsum(np.bincount(s))
+    starts = np.concatenate([[0], stops[:-1]])
+    leftmost = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+    if len(leftmost) < 2:
+        return _induce(s, smaller, starts, stops, leftmost)
+    rough = _induce(s, smaller, starts, stops, leftmost)
+    place = np.full(len(s), -1, np.int64)
+    place[leftmost] = np.arange(len(leftmost))
+    ranked = place[rough]
+    names = _named(s, leftmost, ranked[ranked >= 0])
+    order = np.argsort(names) if int(names.max()) + 1 == len(names) else np.array(sorted_names(names, levels))
+    return _induce(s, smaller, starts, stops, leftmost[order])
 
 
 def permuted_common_prefixes(s: np.ndarray, sa: np.ndarray) -> np.ndarray:

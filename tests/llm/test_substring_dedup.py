@@ -40,6 +40,19 @@ def test_removals(spark, docs):
     assert got == brute(rows, 100)
 
 
+def test_crowded_minimizers(spark, docs, monkeypatch):
+    """Windows dealt out one by one give the same removals."""
+    monkeypatch.setattr(substring_dedup, "MOST_RUNS", 1)
+    monkeypatch.setattr(substring_dedup, "SHARD_BYTES", 2000)
+    r = random.Random(8)
+    text = lambda n: "".join(r.choice("abcdé ") for _ in range(n))
+    line = text(150)
+    rows = [(i, text(r.randint(0, 90)) + line[r.randint(0, 30) :] + text(r.randint(0, 90))) for i in range(40)] + [(50, None), (51, line), (51, line)]
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in substring_dedup.removal_digests(docs(rows)).collect()}
+    want = brute([r for r in rows if r[0] < 51], 100)
+    assert {k: v for k, v in got.items() if k < 51} == want
+
+
 def test_texts_in_blocks(spark, docs, monkeypatch):
     monkeypatch.setattr(minimizers, "_BLOCK", 150)
     r = random.Random(2)
@@ -56,9 +69,25 @@ def test_texts_in_blocks(spark, docs, monkeypatch):
 def test_kept_texts(spark, docs):
     r = random.Random(3)
     line = "".join(r.choice("éàüöîçñ") for _ in range(70))
-    out = substring_dedup.remove_repeats(docs([line, "start " + line + "é end", None]).selectExpr("*", "7L AS n_chars"))
-    got = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
-    assert got[0] == (line, len(line)) and got[1] == ("start é end", 11) and got[2][0] is None
+    table = docs([line, "start " + line + "é end", None, (None, line)]).selectExpr("*", "7L AS n_chars", "'clash' AS spans", "'clash' AS __spans", "'clash' AS stop", "'clash' AS key")
+    out = substring_dedup.remove_repeats(table)
+    assert out.columns == table.columns
+    got = {r.doc_id: (r.text, r.n_chars, r.spans, r.key) for r in out.collect()}
+    assert got[0] == (line, len(line), "clash", "clash") and got[1][:2] == ("start é end", 11) and got[2][0] is None and got[None][0] == line
+
+
+def test_suffix_array_of_a_megabyte():
+    """Names of substrings are sorted by induced sorting, level below level, however many they are."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    raw = "\n".join(t or "" for t in texts).encode()[:1_000_000]
+    s, levels = np.append(np.frombuffer(raw, np.uint8).astype(np.int64) + 1, 0), []
+    sa = suffix_array(s, levels)
+    assert len(levels) >= 4 and levels[0] > 100_000 and all(2 * b <= a + 1 for a, b in zip(levels, levels[1:]))
+    assert len(np.unique(sa)) == len(s)
+    padded = raw + b"\0"
+    assert all(padded[a : a + 4000] <= padded[b : b + 4000] for a, b in zip(sa[:-1:7].tolist(), sa[1::7].tolist()))
 
 
 def test_suffix_array():
