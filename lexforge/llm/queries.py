@@ -111,26 +111,35 @@ ORACLES = {
         WITH d AS (
             SELECT doc_id, text, '/' || source || CASE WHEN doc_id % 15 = 0 THEN '' WHEN doc_id % 10 = 0 THEN '/a' || doc_id % 3 ELSE '/a' || doc_id % 3 || '/b' || doc_id % 7 END
                 || '/' || CASE WHEN doc_id % 5 = 0 THEN 'LICENSE.' || doc_id ELSE doc_id || '.txt' END AS path FROM documents),
-        s AS (SELECT doc_id, path, trim(line) AS line FROM (SELECT doc_id, path, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '@TRIGGER@')),
-        l AS (SELECT line, count(*) AS n FROM s GROUP BY line),
+        x AS (
+            SELECT text, string_split(text, chr(10)) AS lines, string_split_regex(text, '@GAP@') AS paragraphs, count(*) AS n FROM d WHERE regexp_matches(text, '@TRIGGER@') GROUP BY text),
+        m AS (SELECT *, list_transform(paragraphs, lambda p: regexp_matches(p, '@TRIGGER@')) AS marks FROM x),
+        y AS (
+            SELECT text, n, list_distinct(list_filter(list_concat(
+                list_filter(list_transform(lines, lambda l: trim(l)), lambda l: regexp_matches(l, '@TRIGGER@')), list_filter(paragraphs, lambda p: regexp_matches(p, '@TRIGGER@')),
+                [CASE WHEN list_contains(marks, true) THEN array_to_string(list_slice(paragraphs, list_position(marks, true), len(marks) + 1 - list_position(list_reverse(marks), true)), chr(10) || chr(10)) END, text]),
+                lambda s: s IS NOT NULL)) AS said FROM m),
+        o AS (SELECT text, n, unnest(said) AS line FROM y),
+        l AS (SELECT line, sum(n) AS n FROM o GROUP BY line),
         w AS (SELECT line, n, word, count(*) AS tf FROM (SELECT line, n, unnest(list_filter(regexp_split_to_array(lower(line), '[^a-z0-9]+'), lambda x: x <> '')) AS word FROM l) GROUP BY ALL),
         r AS (SELECT word, sum(n) AS df FROM w GROUP BY word),
         total AS (SELECT coalesce(sum(n), 0) AS total FROM l),
-        x AS (SELECT line, word, tf * (ln((total + 1) / (df + 1)) + 1) AS w FROM w JOIN r USING (word), total),
-        t AS (SELECT license, word, count(*) AS tf FROM (SELECT license, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS word FROM (VALUES @TEMPLATES@) AS q(license, text)) GROUP BY ALL),
-        tw AS (SELECT license, word, tf * (ln((total + 1) / (coalesce(df, 0) + 1)) + 1) AS tw FROM t LEFT JOIN r USING (word), total),
+        v AS (SELECT line, word, tf * (ln((total + 1) / (df + 1)) + 1) AS w FROM w JOIN r USING (word), total),
+        t AS (SELECT i, license, word, count(*) AS tf FROM (SELECT i, license, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS word FROM (VALUES @TEMPLATES@) AS q(i, license, text)) GROUP BY ALL),
+        tw AS (SELECT i, license, word, tf * (ln((total + 1) / (coalesce(df, 0) + 1)) + 1) AS tw FROM t LEFT JOIN r USING (word), total),
         scored AS (
             SELECT line, license, round(dot / (norm * size), 6) AS score
-            FROM (SELECT line, license, sum(w * tw) AS dot FROM x JOIN tw USING (word) GROUP BY ALL) JOIN (SELECT line, sqrt(sum(w * w)) AS norm FROM x GROUP BY line) USING (line) JOIN (SELECT license, sqrt(sum(tw * tw)) AS size FROM tw GROUP BY license) USING (license)),
-        own AS (
-            SELECT doc_id, path, license, score FROM (SELECT doc_id, path, license, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) AS i FROM s JOIN scored USING (line) WHERE score >= @THRESHOLD@) WHERE i = 1),
+            FROM (SELECT line, i, license, sum(w * tw) AS dot FROM v JOIN tw USING (word) GROUP BY ALL) JOIN (SELECT line, sqrt(sum(w * w)) AS norm FROM v GROUP BY line) USING (line) JOIN (SELECT i, sqrt(sum(tw * tw)) AS size FROM tw GROUP BY i) USING (i)),
+        best AS (SELECT text, license, score FROM (SELECT text, license, score, row_number() OVER (PARTITION BY text ORDER BY score DESC, license) AS i FROM o JOIN scored USING (line) WHERE score >= @THRESHOLD@) WHERE i = 1),
+        own AS (SELECT doc_id, path, license, score FROM d JOIN best USING (text)),
         files AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, arg_min({'license': license, 'score': score}, path) AS f FROM own WHERE doc_id % 5 = 0 GROUP BY 1),
         near AS (SELECT d.doc_id, arg_max(f, length(dir)) AS f FROM d JOIN files ON starts_with(d.path, dir || '/') GROUP BY d.doc_id)
         SELECT d.doc_id, d.path, coalesce(own.license, near.f.license) AS license, coalesce(own.score, near.f.score) AS license_score,
             CASE WHEN own.license IS NOT NULL THEN 'own' WHEN near.f IS NOT NULL THEN 'directory' ELSE 'none' END AS license_via
         FROM d LEFT JOIN own USING (doc_id) LEFT JOIN near USING (doc_id)"""
     .replace("@TRIGGER@", license_scan.TRIGGER)
-    .replace("@TEMPLATES@", ", ".join(f"('{name}', '{text}')" for name, text in sorted(license_scan.TEMPLATES.items())))
+    .replace("@GAP@", license_scan.GAP)
+    .replace("@TEMPLATES@", ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(license_scan.templates())))
     .replace("@THRESHOLD@", str(license_scan.THRESHOLD)),
     "op4_topk_search": """
         WITH v AS (

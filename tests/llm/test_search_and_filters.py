@@ -109,13 +109,34 @@ def test_url_filter(spark):
 
 
 def test_licenses(spark):
-    mit, gpl = license_scan.TEMPLATES["MIT"], license_scan.TEMPLATES["GPL-3.0"]
+    notices = {}
+    for name, text in license_scan.NOTICES:
+        notices.setdefault(name, text)
+    mit, gpl = notices["MIT"], notices["GPL-3.0"]
     rows = [
-        ("/r/LICENSE", gpl), ("/r/a/LICENSE.txt", "x\n" + mit), ("/r/a/b/c.txt", "plain"), ("/r/d/e.txt", "plain"), ("/r/a/own.txt", "code\n  " + gpl + "\nmore"), ("/other/x", None), (None, mit), ("/r/d/odd", "a license to kill time"),
+        ("/r/LICENSE", gpl), ("/r/a/LICENSE.txt", "x\n" + mit), ("/r/a/b/c.txt", "plain"), ("/r/d/e.txt", "plain"), ("/r/a/own.txt", "code\n  " + gpl + "\nmore"), ("/other/x", None), (None, mit), (None, None), ("/r/d/odd", "a license to kill time"),
+        ("/r/d/e.txt", "code\n" + mit),
     ]
-    docs = spark.createDataFrame(rows + rows[:1], "path string, text string").withColumn("license", F.lit("clash"))
-    got = {(r.path, r.license, r.license_via) for r in license_scan.scan_licenses(docs).collect()}
+    docs = spark.createDataFrame(rows + rows[:1], "path string, text string").withColumns({c: F.lit("clash") for c in ("license", "own", "near", "own_score", "near_score", "__dir", "key", "dir", "mine", "theirs", "n")})
+    out = license_scan.scan_licenses(docs)
+    assert out.columns == [c for c in docs.columns if c != "license"] + ["license", "license_score", "license_via"] and out.count() == len(rows) + 1
+    got = {(r.path, r.text == rows[-1][1] if r.path == "/r/d/e.txt" else None, r.license, r.license_via) for r in out.collect()}
     assert got == {
-        ("/r/LICENSE", "GPL-3.0", "own"), ("/r/a/LICENSE.txt", "MIT", "own"), ("/r/a/b/c.txt", "MIT", "directory"), ("/r/d/e.txt", "GPL-3.0", "directory"), ("/r/a/own.txt", "GPL-3.0", "own"),
-        ("/other/x", None, "none"), (None, None, "none"), ("/r/d/odd", "GPL-3.0", "directory"),
+        ("/r/LICENSE", None, "GPL-3.0", "own"), ("/r/a/LICENSE.txt", None, "MIT", "own"), ("/r/a/b/c.txt", None, "MIT", "directory"), ("/r/d/e.txt", False, "GPL-3.0", "directory"), ("/r/a/own.txt", None, "GPL-3.0", "own"),
+        ("/other/x", None, None, "none"), (None, None, "MIT", "own"), (None, None, None, "none"), ("/r/d/odd", None, "GPL-3.0", "directory"), ("/r/d/e.txt", True, "MIT", "own"),
     }
+
+
+def test_license_files_and_headers(spark):
+    """Whole license files with the holders' names, their first paragraphs, and headers within sources."""
+    full = {name: text for name, text in license_scan.templates() if text.count("\n") > 10}
+    named = lambda name: full[name].replace("<year>", "2019").replace("<copyright holders>", "Jane Doe and others").replace("<owner>", "The Project")
+    rows = [(f"/{name}/LICENSE", named(name), name) for name in full]
+    rows += [("/two/LICENSE", "\n\n".join(named("MIT").split("\n\n")[1:3]), "MIT"), ("/bsd/x.c", "/*\n" + "\n".join(" * " + x for x in named("BSD-3-Clause").splitlines()) + "\n */\nint main() { return 0; }\n", "BSD-3-Clause")]
+    apache = next(t for n, t in license_scan.NOTICES if n == "Apache-2.0" and len(t) > 300).replace(". ", ".\n#\n# ")
+    rows += [("/apache/x.py", "# Copyright 2020 Someone\n#\n# " + apache + "\n\nimport os\n\nprint(os.name)\n" * 5, "Apache-2.0")]
+    gpl = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY.\n"
+    rows += [("/gpl/x.c", gpl + "\nint f(int x);\n", "GPL-2.0"), ("/none/x", "He had a license to fish, and copyright bored him.\n\nNothing else was said.", None)]
+    docs = spark.createDataFrame(rows, "path string, text string, want string")
+    wrong = [(r.path, r.want, r.license, r.license_score) for r in license_scan.scan_licenses(docs).collect() if r.license != r.want]
+    assert not wrong
