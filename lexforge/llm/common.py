@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Entries a per-task memo may hold before it is emptied, and characters of the longest entry; bound a worker's memory.
-MEMO_ENTRIES, MEMO_CHARS = 400_000, 64
+MEMO_ENTRIES, MEMO_CHARS = 300_000, 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -29,16 +29,60 @@ def test_token_counts(docs, tokenizers_path):
 
 
 def test_pieces_and_spans(docs, tokenizers_path):
+    import sentencepiece
+
     path = tokenizers_path("piece_bpe_32k.model")
-    codec, texts = piece_codec.PieceCodec(path), random_texts(1500, 2)
+    library, texts = sentencepiece.SentencePieceProcessor(model_file=path), random_texts(1500, 2)
     for r in piece_codec.encode_documents(docs(texts), path).collect():
         text = texts[r.doc_id] or ""
-        assert r.ids == codec.library.encode(text) and r.decoded == codec.library.decode(r.ids)
+        assert r.ids == library.encode(text) and r.decoded == library.decode(r.ids)
         raw = text.encode()
         assert b"".join(raw[a:b] for a, b in zip(r.starts, r.ends)) == raw
     for r in piece_codec.encode_digests(docs(texts[:50]), path).collect():
-        ids = codec.library.encode(texts[r.doc_id] or "")
+        ids = library.encode(texts[r.doc_id] or "")
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
+def test_pieces_of_documents(tokenizers_path):
+    """Own merges and decoding give what the library gives, on the documents and on single long words."""
+    import pyarrow.parquet as pq
+    import sentencepiece
+
+    path = tokenizers_path("piece_bpe_32k.model")
+    library, codec, r = sentencepiece.SentencePieceProcessor(model_file=path), piece_codec.PieceCodec(path), random.Random(9)
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
+    texts += ["".join(r.choice("abcdeorstn") for _ in range(5000)), "aaaa" * 500, " " * 300 + "x", "日本語" * 200, "a\x00b\u2581\u2581c \u2581"]
+    for text in texts:
+        ids, _, ends = codec.encode(text)
+        assert ids == library.encode(text) and codec.decode(ids) == library.decode(ids)
+        assert not ids or ends[-1] == len(text.encode())
+    for _ in range(300):  # decoding of any ids, bytes that make no character among them
+        ids = [r.choice([r.randrange(3, 259), r.randrange(259, 32000)]) for _ in range(r.randint(0, 12))]
+        assert codec.decode(ids) == library.decode(ids)
+
+
+def test_pieces_with_a_character_map(tmp_path, tokenizers_path):
+    """The same model with a map that changes characters, and with and without squeezing of spaces."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    rules = sentencepiece_model_pb2.NormalizerSpec()
+    rules.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_normalizer_spec())
+    for squeeze in (False, True):
+        spec = sentencepiece_model_pb2.ModelProto()
+        with open(tokenizers_path("piece_bpe_32k.model"), "rb") as f:
+            spec.ParseFromString(f.read())
+        spec.normalizer_spec.precompiled_charsmap = rules.precompiled_charsmap
+        spec.normalizer_spec.remove_extra_whitespaces = squeeze
+        path = tmp_path / f"mapped{squeeze}.model"
+        path.write_bytes(spec.SerializeToString())
+        library, codec, r = sentencepiece.SentencePieceProcessor(model_file=str(path)), piece_codec.PieceCodec(str(path)), random.Random(4)
+        for _ in range(600):
+            text = "".join(r.choice([*PARTS, "ﬁ", "Ⅳ", "ｶ", "ﾞ", "½", "e\u0301", "word", " x"]) for _ in range(r.randint(0, 10)))
+            ids, starts, ends = codec.encode(text)
+            assert ids == library.encode(text) and codec.decode(ids) == library.decode(ids), (squeeze, text)
+            assert (starts <= ends).all() and (not ids or ends[-1] <= len(text.encode()))
 
 
 def test_compiled_character_map():
