@@ -1,10 +1,13 @@
 """Language identification by segmentation-marginalised unigrams.
 
 For each language, every piece of a fixed public vocabulary has a probability, fitted by
-expectation-maximisation over all segmentations of the words of a bounded, hash-chosen sample of
-labelled texts. A word's probability under a language is the sum over all its segmentations into pieces,
-by the forward algorithm; a text's is the product over its words. Words repeat, so a task remembers
-their scores.
+expectation-maximisation over all segmentations of the words of a bounded sample of labelled texts. A
+word's probability under a language is the sum over all its segmentations into pieces, by the forward
+algorithm; a text's is the product over its words. Words repeat, so a worker remembers their scores.
+
+Words are runs of letters and marks with a letter among them, the same in learning and in prediction,
+of any length. The sample of a language are the SAMPLE_TEXTS distinct texts whose hashes are smallest, so
+copies do not crowd out other texts. That is the only bound; statistics take in all words of the sample.
 
 A text that is null or has no letter is "und" with score 0, as is every text if nothing is learned.
 Texts are read whole. Repeated rows stay repeated; other columns are ignored, whatever their names.
@@ -13,6 +16,11 @@ Texts are read whole. Repeated rows stay repeated; other columns are ignored, wh
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
+import uuid
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,22 +28,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MEMO_ENTRIES, map_batches
+from .common import MEMO_CHARS, MEMO_ENTRIES, map_batches
 
-#: Expected number of labelled texts a language is learned from, and of its commonest words in them.
-SAMPLE_TEXTS, SAMPLE_WORDS = 3000, 20_000
+#: Distinct labelled texts a language is learned from, and the most languages there may be.
+SAMPLE_TEXTS, MOST_LANGUAGES = 3000, 2000
 ROUNDS = 4
 UNDETERMINED = "und"
 _START = "▁"
-#: Longer words are cut, so that probabilities stay within the range of doubles.
-_LONGEST = 24
 _UNSEEN = 1e-8
-_WORD = re.compile(r"[^\W\d_]+")
+#: Words up to this length are summed many at a time, in plain doubles; longer ones by themselves, in logarithms.
+_LONG = 30
+#: Words whose segmentations are laid out at once.
+_TOGETHER = 4096
+
+
+def _class_of(kinds: str) -> str:
+    """The inside of a character class with the characters of general categories that begin with one of kinds."""
+    out, first = [], None
+    for c in range(sys.maxunicode + 2):
+        inside = c <= sys.maxunicode and unicodedata.category(chr(c))[0] in kinds
+        if inside and first is None:
+            first = c
+        elif not inside and first is not None:
+            out.append(f"{re.escape(chr(first))}-{re.escape(chr(c - 1))}")
+            first = None
+    return "".join(out)
+
+
+_LETTER = re.compile(f"[{_class_of('L')}]")
+_WORD = re.compile(f"[{_class_of('LM')}]+")
 
 
 def words_of(text: str) -> list[str]:
     words = _WORD.findall(text.lower())
-    return [w[i : i + _LONGEST] for w in words for i in range(0, len(w), _LONGEST)] if any(len(w) > _LONGEST for w in words) else words
+    # marks without a letter are no word; a first letter is found at once in nearly all words
+    return [w for w in words if _LETTER.match(w) or _LETTER.search(w)]
 
 
 @dataclass
@@ -43,22 +70,26 @@ class Lattice:
     """Every occurrence of a piece in a batch of words: which word, where it starts and ends, which piece."""
 
     pieces: dict[str, int]
-    longest: int = field(init=False)
+    #: what some piece begins with: beyond, no longer piece need be looked for
+    beginnings: set[str] = field(init=False)
 
     def __post_init__(self):
-        self.longest = max(map(len, self.pieces), default=1)
+        self.beginnings = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
 
     def edges(self, words: list[str]) -> np.ndarray:
-        found, get, none = [], self.pieces.get, len(self.pieces)
+        found, get, none, beginnings = [], self.pieces.get, len(self.pieces), self.beginnings
         for w, word in enumerate(words):
             marked, n = _START + word, len(word) + 1
             # the mark of a word's start is part of its first piece or a piece of its own
             for i in range(n):
-                for j in range(i + 1, min(n, i + self.longest) + 1):
-                    if (piece := get(marked[i:j])) is not None:
+                for j in range(i + 1, n + 1):
+                    part = marked[i:j]
+                    if (piece := get(part)) is not None:
                         found.append((w, i, j, piece))
                     elif j == i + 1:
                         found.append((w, i, j, none))
+                    if part not in beginnings:
+                        break
         return np.array(found, np.int64).reshape(-1, 4)
 
 
@@ -87,6 +118,28 @@ def backward(edges: np.ndarray, lengths: np.ndarray, chances: np.ndarray) -> np.
     return beta
 
 
+def long_sums(edges: np.ndarray, n: int, logs: np.ndarray) -> np.ndarray:
+    """Logarithm of the probability of every prefix of one word of n characters: position x language. logs: piece x language."""
+    alpha = np.full((n + 1, logs.shape[1]), -np.inf)
+    alpha[0] = 0
+    edges = edges[np.argsort(edges[:, 2], kind="stable")]
+    cuts = np.searchsorted(edges[:, 2], np.arange(1, n + 2))
+    for end in range(1, n + 1):
+        _, start, _, piece = edges[cuts[end - 1] : cuts[end]].T
+        alpha[end] = np.logaddexp.reduce(alpha[start] + logs[piece], axis=0)
+    return alpha
+
+
+def long_expectations(edges: np.ndarray, n: int, logs: np.ndarray) -> np.ndarray:
+    """How often each edge of one word of n characters is in a segmentation. logs: of the pieces, one language."""
+    alpha = long_sums(edges, n, logs[:, None])[:, 0]
+    turned = edges.copy()
+    turned[:, 1], turned[:, 2] = n - edges[:, 2], n - edges[:, 1]
+    beta = long_sums(turned, n, logs[:, None])[::-1, 0]
+    _, start, end, piece = edges.T
+    return np.exp(alpha[start] + logs[piece] + beta[end] - alpha[n])
+
+
 def fixed_vocabulary(path: str) -> list[str]:
     """The lower-case pieces of letters of a public vocabulary, with and without the mark of a word's start."""
     import sentencepiece
@@ -102,6 +155,7 @@ class Model:
     pieces: dict[str, int]
     #: piece x language; the last row is for single characters outside the vocabulary
     chances: np.ndarray
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
 def fit(counts: dict[str, dict[str, int]], vocabulary: list[str]) -> Model:
@@ -112,37 +166,53 @@ def fit(counts: dict[str, dict[str, int]], vocabulary: list[str]) -> Model:
     lattice = Lattice(pieces)
     for at, language in enumerate(languages):
         words = sorted(counts[language])
-        weight = np.array([counts[language][w] for w in words], float)
-        edges = lattice.edges(words)
-        lengths = np.array([len(w) + 1 for w in words], np.int64)
+        long = [w for w in words if len(w) > _LONG]
+        short = [w for w in words if len(w) <= _LONG]
+        laid_out = [(part, lattice.edges(part)) for part in (short[i : i + _TOGETHER] for i in range(0, len(short), _TOGETHER))]
         for _ in range(ROUNDS):
-            own = chances[:, at : at + 1]
-            alpha, beta = forward(edges, len(words), own), backward(edges, lengths, own)
-            word, start, end, piece = edges.T
-            share = alpha[word, start, 0] * own[piece, 0] * beta[word, end, 0] / np.maximum(alpha[word, lengths[word], 0], 1e-300)
-            expected = np.bincount(piece, share * weight[word], minlength=len(chances))
+            own, expected = chances[:, at : at + 1], np.zeros(len(chances))
+            for part, edges in laid_out:
+                lengths = np.array([len(w) + 1 for w in part], np.int64)
+                weight = np.array([counts[language][w] for w in part], float)
+                alpha, beta = forward(edges, len(part), own), backward(edges, lengths, own)
+                word, start, end, piece = edges.T
+                share = alpha[word, start, 0] * own[piece, 0] * beta[word, end, 0] / alpha[word, lengths[word], 0]
+                expected += np.bincount(piece, share * weight[word], minlength=len(chances))
+            for word in long:
+                edges = lattice.edges([word])
+                expected += np.bincount(edges[:, 3], long_expectations(edges, len(word) + 1, np.log(own[:, 0])) * counts[language][word], minlength=len(chances))
             chances[:, at] = (expected + 1e-3) / (expected.sum() + 1e-3 * len(chances))
     chances[-1] = _UNSEEN
     return Model(languages, pieces, chances)
 
 
-def train(labelled: DataFrame, path: str, texts: int = SAMPLE_TEXTS, words: int = SAMPLE_WORDS) -> Model:
-    """A model of the languages of labelled(text, lang), from about `texts` texts a language chosen by a hash of the text,
-    and from the `words` commonest words in them."""
-    known = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
-    if not sizes:
+def train(labelled: DataFrame, path: str, texts: int = SAMPLE_TEXTS) -> Model:
+    """A model of the languages of labelled(text, lang), from the `texts` distinct texts of each with the smallest hashes."""
+    known = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    hashed = known.select("lang", F.xxhash64("text").alias("h")).distinct()
+    order = Window.partitionBy("lang").orderBy("h")  # Spark keeps no more than `texts` rows a language and task of this
+    smallest = hashed.withColumn("r", F.row_number().over(order)).where(F.col("r") <= texts)
+    limits = {r["lang"]: r["h"] for r in smallest.groupBy("lang").agg(F.max("h").alias("h")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(limits) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    if not limits:
         return Model([], {}, np.zeros((1, 0)))
-    share = F.coalesce(*(F.when(F.col("lang") == language, F.lit(min(1.0, texts / n))) for language, n in sorted(sizes.items())))
-    sample = known.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share * 1_000_003)
-    split = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{M}]+"), lambda w: F.length(w).between(1, _LONGEST))
-    counted = sample.select("lang", F.explode(split).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    common = counted.withColumn("r", F.row_number().over(order)).where(F.col("r") <= words)
-    counts: dict[str, dict[str, int]] = {language: {} for language in sizes}
-    for row in common.select("lang", "word", "n").collect():  # bounded: languages x words
-        counts[row["lang"]][row["word"]] = row["n"]
-    return fit({k: v for k, v in counts.items() if v}, fixed_vocabulary(path))
+    bound = F.create_map(*(F.lit(x) for pair in sorted(limits.items()) for x in pair))
+    sample = known.where(F.xxhash64("text") <= bound[F.col("lang")]).distinct()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: Counter[tuple[str, str]] = Counter()
+            for language, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found.update((language, word) for word in words_of(text))
+            rows = [pa.array([k[i] for k in found], pa.string()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*rows, pa.array(list(found.values()), pa.int64())], ["lang", "word", "n"])
+
+    totals = sample.mapInArrow(counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts: dict[str, dict[str, int]] = {}
+    for row in totals.toLocalIterator():  # bounded: the words of `texts` texts a language
+        counts.setdefault(row["lang"], {})[row["word"]] = row["n"]
+    return fit(counts, fixed_vocabulary(path))
 
 
 class Scorer:
@@ -152,19 +222,23 @@ class Scorer:
         self.model, self.lattice = model, Lattice(model.pieces)
         self.places: dict[str, int] = {}
         self.table = np.zeros((1024, len(model.languages)))
+        self.logs = np.log(model.chances)
 
     def learn(self, words: list[str]) -> None:
         if len(self.places) > MEMO_ENTRIES:
             self.places.clear()
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
+        short = [w for w in words if len(w) <= _LONG]
+        long = [w for w in words if len(w) > _LONG]
+        first = len(self.places)
+        while len(self.table) < first + len(words):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        for at in range(0, len(short), _TOGETHER):
+            part = short[at : at + _TOGETHER]
             alpha = forward(self.lattice.edges(part), len(part), self.model.chances)
-            total = alpha[np.arange(len(part)), [len(w) + 1 for w in part]]
-            first = len(self.places)
-            while len(self.table) < first + len(part):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[first : first + len(part)] = np.log(np.maximum(total, 1e-300))
-            self.places.update(zip(part, range(first, first + len(part))))
+            self.table[first + at : first + at + len(part)] = np.log(alpha[np.arange(len(part)), [len(w) + 1 for w in part]])
+        for at, word in enumerate(long, first + len(short)):
+            self.table[at] = long_sums(self.lattice.edges([word]), len(word) + 1, self.logs)[-1]
+        self.places.update(zip(short + long, range(first, first + len(words))))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         languages, scores = [], []
@@ -179,18 +253,33 @@ class Scorer:
                 if not self.places.keys() >= set(words):  # the memory was emptied
                     self.learn(sorted(set(words).difference(self.places)))
             total = self.table[np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))].sum(axis=0)
+            if max(map(len, words)) > MEMO_CHARS:  # long words are not remembered; their rows are filled again when places run out
+                kept = {w: i for w, i in self.places.items() if len(w) <= MEMO_CHARS}
+                self.places = {w: i for i, w in enumerate(kept)}
+                self.table[: len(kept)] = self.table[list(kept.values())]
             best = int(total.argmax())
             languages.append(self.model.languages[best])
             scores.append(float(1 / np.exp(total - total[best]).sum()))
         return languages, scores
 
 
+#: The scorer of the model used last in this worker, so that tasks that follow one another share what it remembers.
+_LAST: dict[str, Scorer] = {}
+
+
+def _scorer(model: Model) -> Scorer:
+    if model.name not in _LAST:
+        _LAST.clear()
+        _LAST[model.name] = Scorer(model)
+    return _LAST[model.name]
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score (the posterior of lang_pred under equal priors) of every row of docs(doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: vocabulary x languages
 
     def make():
-        scorer = Scorer(shared.value)
+        scorer = _scorer(shared.value)
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             languages, scores = scorer.predict(batch.column(1).to_pylist())
@@ -200,3 +289,21 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return map_batches(columns, make, "doc_id long, lang_pred string, score double")
+
+
+def keep_determined(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose language is determined with a score above `least`: each row by its own
+    text, without a shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def make():
+        scorer = _scorer(shared.value)
+
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            languages, scores = scorer.predict(batch.column(at).to_pylist())
+            return batch.filter(pa.array([language != UNDETERMINED and score > least for language, score in zip(languages, scores)], pa.bool_()))
+
+        return one
+
+    return map_batches(docs, make, docs.schema)

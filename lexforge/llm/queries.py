@@ -60,7 +60,7 @@ def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))  # a null id is in no fold
     model = language_id.train(docs.where(~held_out), _tokenizer("piece_bpe_32k.model"))
     return language_id.identify(docs, model).withColumn("held_out", held_out).select("doc_id", "held_out", "lang_pred", "score")
 

@@ -155,6 +155,85 @@ def test_forward_sums_all_segmentations():
     assert np.isclose(total, back)
 
 
+def all_segmentations(word, pieces):
+    """Every way to write a marked word as pieces or single characters."""
+    if not word:
+        return [[]]
+    ways = []
+    for k in range(1, len(word) + 1):
+        if word[:k] in pieces or k == 1:
+            ways += [[word[:k], *rest] for rest in all_segmentations(word[k:], pieces)]
+    return ways
+
+
+def brute_model(texts, vocabulary):
+    """Languages and a scoring function, by enumeration of segmentations and plain EM."""
+    counts = {}
+    for text, language in set(texts):
+        for word in language_id.words_of(text):
+            own = counts.setdefault(language, {})
+            own[word] = own.get(word, 0) + 1
+    pieces, chances = set(vocabulary), {}
+    for language, own in counts.items():
+        p = dict.fromkeys([*vocabulary, None], 1 / (len(vocabulary) + 1))
+        value = lambda x, p=p: p[x if x in pieces else None]
+        for _ in range(language_id.ROUNDS):
+            expected = dict.fromkeys(p, 0.0)
+            for word, n in own.items():
+                ways = [(w, np.prod([p[x if x in pieces else None] for x in w])) for w in all_segmentations("▁" + word, pieces)]
+                total = sum(c for _, c in ways)
+                for w, c in ways:
+                    for x in w:
+                        expected[x if x in pieces else None] += n * c / total
+            size = sum(expected.values()) + 1e-3 * len(p)
+            p = {x: (e + 1e-3) / size for x, e in expected.items()}
+        p[None] = 1e-8
+        chances[language] = p
+    names = sorted(chances)
+
+    def score(text):
+        words = language_id.words_of(text or "")
+        if not words:
+            return "und", 0.0
+        logs = [sum(np.log(sum(np.prod([chances[x][y if y in pieces else None] for y in w]) for w in all_segmentations("▁" + word, pieces))) for word in words) for x in names]
+        best = int(np.argmax(logs))
+        return names[best], 1 / sum(np.exp(v - logs[best]) for v in logs)
+
+    return score
+
+
+def test_fit_and_scores_against_enumeration(spark, monkeypatch):
+    vocabulary = ["▁", "▁a", "a", "ab", "b", "ba", "c", "ca", "▁c", "e\u0301", "abc"]
+    monkeypatch.setattr(language_id, "fixed_vocabulary", lambda path: vocabulary)
+    texts = [("ab abc ba a", "x"), ("ab abc ba a", "x"), ("ca ca cab bac z", "y"), ("acca CA e\u0301c", "y"), ("ba ab", None), (None, "x"), ("1 2", "x")]
+    model = language_id.train(spark.createDataFrame(texts, "text string, lang string"), "")
+    score = brute_model([t for t in texts if t[0] and t[1]], vocabulary)
+    asked = ["ab ca", "AB ab zz", "e\u0301", "½ ² ① 12", "Ⅳ", "\u0301", "abcabcab " * 3, "", None, "cab\u0301a"]
+    docs = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")
+    for r in language_id.identify(docs, model).collect():
+        language, value = score(asked[r.doc_id])
+        assert r.lang_pred == language and np.isclose(r.score, value), asked[r.doc_id]
+    kept = language_id.keep_determined(docs.withColumn("score", F.lit("clash")), model)
+    assert kept.columns == ["doc_id", "text", "score"] and {r.doc_id for r in kept.collect()} == {i for i, t in enumerate(asked) if score(t)[1] > 0.5}
+
+
+def test_long_words(tokenizers_path):
+    """A word of any length is summed whole, in learning and in prediction."""
+    vocabulary = language_id.fixed_vocabulary(tokenizers_path("piece_bpe_32k.model"))
+    r = random.Random(6)
+    word = "".join(r.choice("etaoinsh") for _ in range(25))
+    model = language_id.fit({"a": {word: 2, "the": 3}, "b": {"le": 3, "q" * 400: 1}}, vocabulary)
+    assert np.isfinite(np.log(model.chances)).all()
+    lattice = language_id.Lattice(model.pieces)
+    short = np.log(language_id.forward(lattice.edges([word]), 1, model.chances)[0, -1])
+    assert np.allclose(short, language_id.long_sums(lattice.edges([word]), len(word) + 1, np.log(model.chances))[-1])
+    share = language_id.long_expectations(lattice.edges([word]), len(word) + 1, np.log(model.chances[:, 0]))
+    assert np.isclose((share * np.diff(lattice.edges([word])[:, 1:3], axis=1)[:, 0]).sum(), len(word) + 1)
+    scorer = language_id.Scorer(model)
+    languages, scores = scorer.predict([word * 2000, "q" * 500, "the", "q" * 500])
+    assert languages == ["a", "b", "a", "b"] and all(0.5 < x <= 1 for x in scores) and all(len(w) <= 64 for w in scorer.places)
+
+
 def test_held_out_accuracy(spark, tokenizers_path):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
