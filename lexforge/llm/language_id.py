@@ -22,6 +22,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,27 +43,25 @@ _LONG = 30
 _TOGETHER = 4096
 
 
-def _class_of(kinds: str) -> str:
-    """The inside of a character class with the characters of general categories that begin with one of kinds."""
-    out, first = [], None
-    for c in range(sys.maxunicode + 2):
-        inside = c <= sys.maxunicode and unicodedata.category(chr(c))[0] in kinds
-        if inside and first is None:
-            first = c
-        elif not inside and first is not None:
-            out.append(f"{re.escape(chr(first))}-{re.escape(chr(c - 1))}")
-            first = None
-    return "".join(out)
+@cache
+def _patterns() -> tuple[re.Pattern[str], re.Pattern[str], frozenset[str]]:
+    """Runs of letters and marks, a letter, and the characters for which a run of word characters that are no digits and no
+    underscore is something else than a run of letters: marks, and numbers that are no digits."""
+    kinds = "".join(unicodedata.category(chr(c))[0] for c in range(sys.maxunicode + 1))
+    inside = lambda of: "".join(f"{re.escape(chr(m.start()))}-{re.escape(chr(m.end() - 1))}" for m in re.finditer(of, kinds))
+    odd = frozenset(chr(m.start()) for m in re.finditer("[MN]", kinds) if kinds[m.start()] == "M" or not chr(m.start()).isdecimal())
+    return re.compile(f"[{inside('[LM]+')}]+"), re.compile(f"[{inside('L+')}]"), odd
 
 
-_LETTER = re.compile(f"[{_class_of('L')}]")
-_WORD = re.compile(f"[{_class_of('LM')}]+")
+_PLAIN = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    words = _WORD.findall(text.lower())
-    # marks without a letter are no word; a first letter is found at once in nearly all words
-    return [w for w in words if _LETTER.match(w) or _LETTER.search(w)]
+    run, letter, odd = _patterns()
+    text = text.lower()
+    if odd.isdisjoint(set(text)):
+        return _PLAIN.findall(text)  # the same, and quicker
+    return [w for w in run.findall(text) if letter.search(w)]  # marks without a letter are no word
 
 
 @dataclass
