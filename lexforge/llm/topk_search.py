@@ -6,9 +6,11 @@ highest becomes the next range, until a bin is one score wide. A last pass keeps
 that k-th value, and ties go to the smaller id. Nothing is sampled and no candidate list is capped
 before the k-th value is known.
 
-Vectors that are null, or hold null or non-finite components, take no part. Vectors of different
-lengths are never compared. A query with fewer than k candidates gets all of them. Empty tables give
-no rows; a row that stands twice counts as two candidates; other columns are ignored.
+Vectors that are null, or hold null or non-finite components, and rows without an id, take no part. Vectors
+of different lengths are never compared. A query with fewer than k candidates gets all of them. Empty tables
+give no rows. A row that stands twice counts as two candidates, but as one query; an id with several different
+vectors is several queries, none of which has a row of that id as a candidate. Scores must fit 64 bits, their
+terms need not. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ from pyspark.sql import functions as F
 from .components import stored
 
 BINS = 4096
-BLOCK = 4096
-QUERY_BLOCK = 512
-#: Groups of vector blocks; query blocks are copied to each.
-GROUPS = 32
+#: Vectors of a block, and queries of one.
+BLOCK, QUERY_BLOCK = 4096, 512
+#: Vectors of a group of blocks, about: query blocks are copied to each group, which is the work of one task or of a few.
+GROUP = 32 * BLOCK
 
 _BLOCK_SCHEMA = "dim int, part long, n int, ids binary, vectors binary"
 
@@ -34,7 +36,7 @@ _BLOCK_SCHEMA = "dim int, part long, n int, ids binary, vectors binary"
 def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int = 256) -> DataFrame:
     """vec_id and the vector floor(scale * x) of the rows that take part."""
     finite = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    used = df.where(F.col(vector_col).isNotNull() & finite)
+    used = df.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & finite)
     return used.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, lambda x: F.floor(scale * x.cast("double")).cast("long")).alias("vector"))
 
 
@@ -58,11 +60,10 @@ def _pack(size: int):
     return run
 
 
-def _pairs(queries: DataFrame, blocks: DataFrame, states: DataFrame | None) -> DataFrame:
+def _pairs(queries: DataFrame, blocks: DataFrame, states: DataFrame, groups: int) -> DataFrame:
     """Every block of queries beside every block of vectors of its dimension, in a task's order of query blocks."""
-    q = queries if states is None else queries.join(states, "q_part")
-    q = q.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))))
-    b = blocks.select("dim", F.pmod(F.xxhash64("part"), F.lit(GROUPS)).cast("int").alias("group"), F.col("ids").alias("b_ids"), F.col("vectors").alias("b_vectors"))
+    q = queries.join(states, "q_part").withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    b = blocks.select("dim", F.pmod(F.xxhash64("part"), F.lit(groups)).cast("int").alias("group"), F.col("ids").alias("b_ids"), F.col("vectors").alias("b_vectors"))
     return q.join(b, ["dim", "group"]).sortWithinPartitions("q_part")
 
 
@@ -100,9 +101,11 @@ def _histograms(k: int):
                 part, ids = row["q_part"], np.frombuffer(row["q_ids"], "<i8")
                 counts = np.zeros((len(ids), BINS), np.int64)
             _, _, scores, own = _scores(row)
-            low = np.array(row["low"])[:, None]
-            bins = (scores - low) // row["width"]
+            low = np.array(row["low"], np.int64)[:, None]
+            # a difference of two numbers of 64 bits fits 64 bits without a sign
+            bins = (scores.view(np.uint64) - low.view(np.uint64)) // np.uint64(row["width"])
             kept = (scores >= low) & (bins < BINS) & ~own
+            bins = np.where(kept, bins, 0).astype(np.int64)
             flat = (np.arange(len(ids))[:, None] * BINS + bins)[kept]
             counts += np.bincount(flat, minlength=counts.size).reshape(counts.shape)
         if part is not None:
@@ -117,13 +120,14 @@ def _selected(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             q_ids, b_ids, scores, own = _scores(row)
-            at, by = np.nonzero((scores >= np.array(row["low"])[:, None]) & ~own)
+            at, by = np.nonzero((scores >= np.array(row["low"], np.int64)[:, None]) & ~own)
             value, ids = scores[at, by], b_ids[by]
             order = np.lexsort((ids, -value, at))
             at, value, ids = at[order], value[order], ids[order]
             rank = np.arange(len(at)) - np.searchsorted(at, at)
             best = rank < k
-            yield pa.RecordBatch.from_arrays([pa.array(q_ids[at[best]]), pa.array(ids[best]), pa.array(value[best])], ["query_id", "vec_id", "score"])
+            part = pa.array(np.full(int(best.sum()), row["q_part"], np.int64))
+            yield pa.RecordBatch.from_arrays([part, pa.array(at[best].astype(np.int32)), pa.array(q_ids[at[best]]), pa.array(ids[best]), pa.array(value[best])], ["q_part", "q_row", "query_id", "vec_id", "score"])
 
     return run
 
@@ -131,18 +135,20 @@ def _selected(k: int):
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id and score of the k best rows for each row of vectors(vec_id, vector of long) with is_query."""
     blocks = vectors.mapInArrow(_pack(BLOCK), _BLOCK_SCHEMA)
-    queries = vectors.where(is_query).repartition(8, "vec_id").mapInArrow(_pack(QUERY_BLOCK), _BLOCK_SCHEMA)
+    asked = vectors.where(is_query).select("vec_id", "vector").distinct()
+    largest = vectors.agg(F.max(F.array_max(F.transform("vector", lambda x: F.abs(x).cast("decimal(38,0)")))).alias("x"), F.max(F.size("vector")).alias("d"), F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()
+    groups = max(8, -(-largest["n"] // GROUP))
+    queries = asked.repartition(max(1, -(-largest["q"] // (8 * QUERY_BLOCK))), "vec_id").mapInArrow(_pack(QUERY_BLOCK), _BLOCK_SCHEMA)
     # written once: another evaluation may pack other rows together, and passes know a query by its block and place
     queries = stored(queries.select("dim", F.monotonically_increasing_id().alias("q_part"), F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")))
-    largest = vectors.agg(F.max(F.array_max(F.transform("vector", F.abs))).alias("x"), F.max(F.size("vector")).alias("d")).first()
-    bound = (largest["x"] or 0) ** 2 * (largest["d"] or 0) + 1
+    bound = min(int(largest["x"] or 0) ** 2 * (largest["d"] or 0) + 1, (1 << 63) - 1)
     widths = [1]
     while widths[0] * BINS < 2 * bound + 1:
         widths.insert(0, widths[0] * BINS)
     states = queries.select("q_part", F.array_repeat(F.lit(-bound).cast("long"), F.col("q_n")).alias("low"), F.array_repeat(F.lit(k).cast("long"), F.col("q_n")).alias("need"))
     for width in widths:
         # need: how many of the k are still to be found at or below the top of the range
-        pairs = _pairs(queries, blocks, states).withColumn("width", F.lit(width))
+        pairs = _pairs(queries, blocks, states, groups).withColumn("width", F.lit(width))
         counted = pairs.mapInArrow(_histograms(k), "q_part long, q_row int, bin int, n long").groupBy("q_part", "q_row", "bin").agg(F.sum("n").alias("n"))
         above = Window.partitionBy("q_part", "q_row").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
         # at least one bin; the last one where all bins together hold fewer than are needed
@@ -152,11 +158,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
         chosen = chosen.withColumn("short", F.col("b.above") + F.col("b.n") < F.col("need"))
         found = chosen.groupBy("q_part").agg(F.map_from_entries(F.collect_list(F.struct("q_row", F.struct(F.when(~F.col("short"), F.col("b.bin")).alias("bin"), F.col("b.above").alias("above"))))).alias("found"))
         # a query with too few candidates keeps the bottom of its range
+        # written each pass, as the next one reads it twice
         states = states.join(found, "q_part", "left").select(
             "q_part",
-            F.transform("low", lambda low, i: low + width * F.coalesce(F.col("found")[i]["bin"], F.lit(0)).cast("long")).alias("low"),
+            F.transform("low", lambda low, i: (low.cast("decimal(20,0)") + F.lit(width).cast("decimal(20,0)") * F.coalesce(F.col("found")[i]["bin"], F.lit(0)).cast("decimal(5,0)")).cast("long")).alias("low"),
             F.transform("need", lambda need, i: need - F.when(F.col("found")[i]["bin"].isNotNull(), F.col("found")[i]["above"]).otherwise(0)).alias("need"),
         )
-    best = _pairs(queries, blocks, states).mapInArrow(_selected(k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        states = stored(states)
+    best = _pairs(queries, blocks, states, groups).mapInArrow(_selected(k), "q_part long, q_row int, query_id long, vec_id long, score long")
+    order = Window.partitionBy("q_part", "q_row").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -73,6 +73,16 @@ def test_top_k(spark):
     assert not got
 
 
+def test_top_k_of_repeats_nulls_and_large_components(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (None, [9.0, 9.0]), (50, [1e8, 0.0]), (50, [0.0, 1.0])] + [(i, [i / 16, -1.0]) for i in range(1, 9)] + [(3, [3 / 16, -1.0])]
+    vectors = topk_search.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    got = {}
+    for x in topk_search.top_k(vectors, F.col("vec_id") % 50 == 0, k=3).collect():
+        got.setdefault(x.query_id, []).append((x.rank, x.vec_id, x.score))
+    assert sorted(got[0]) == [(1, 50, 256 * 256 * 10**8), (2, 8, 128 * 256), (3, 7, 112 * 256)]
+    assert sorted(got[50]) == [(1, 0, 0), (1, 0, 256 * 256 * 10**8), (2, 0, 0), (2, 0, 256 * 256 * 10**8), (3, 1, -65536), (3, 8, 128 * 256 * 10**8)]
+
+
 def test_top_k_in_another_order_at_each_evaluation(spark):
     r = np.random.default_rng(7)
     usable = {i: r.integers(-50, 50, 4) for i in range(600)}
