@@ -109,6 +109,7 @@ def test_packing_round_trip(docs, tokenizers_path):
     rows = packed.collect()
     for r in rows:
         assert r.cu_seqlens[0] == 0 and r.cu_seqlens[-1] == r.n_tokens <= 64 and r.resets == r.cu_seqlens[:-1] and len(r.input_ids) == 256
+    assert packing.unpack(packing.pack(docs([(4, "a b"), (4, "a b"), (None, "c"), (4, "d")]), path, length=2)).count() == 4
     back = {r.doc_id: r.ids for r in packing.unpack(packed).collect()}
     assert back == {i: ids for i, t in enumerate(texts) if (ids := library.encode(t or ""))}
 
@@ -124,6 +125,8 @@ def test_packing_of_null_and_repeated_ids(docs, tokenizers_path, monkeypatch):
     rows = packing.pack(docs(texts), path, length=16).collect()
     assert sorted((d is None, d or 0) for r in rows for d, p in zip(r.doc_ids, r.parts) if p == 0) == sorted((d is None, d or 0) for d, _ in texts)
     assert sum(r.n_tokens for r in rows) == len(texts) * len(ids)
+    back = packing.unpack(packing.pack(docs(texts), path, length=16)).collect()
+    assert len(back) == len(texts) and all(r.ids == ids for r in back) and sum(r.doc_id is None for r in back) == 100
     held = {}
     for r in rows:
         held[r.shard] = held.get(r.shard, 0) + r.n_tokens
