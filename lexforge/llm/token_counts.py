@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO_ENTRIES, map_batches
+from .common import MEMO_CHARS, MEMO_ENTRIES, map_batches
 
 #: A space before further white space, or at the end: there the cut at spaces would change pre-tokens.
 _UNSAFE = re.compile(r" (?:\s|$|[\x1c-\x1f\x85])")
@@ -70,7 +70,9 @@ class Counter:
         if piece in self.whole:
             return 1
         if (n := self.pieces.get(piece)) is None:
-            n = self.pieces[piece] = len(self.merge(piece))
+            n = len(self.merge(piece))
+            if len(piece) <= 4 * MEMO_CHARS:  # in bytes; longer ones are merged each time they stand
+                self.pieces[piece] = n
         return n
 
     def learn(self, chunks: list[str]) -> None:
@@ -97,7 +99,10 @@ class Counter:
                 memo.clear()
         if unknown := set(chunks).difference(self.chunks):
             self.learn(list(unknown))
-        return self.merged(first) + sum(map(self.chunks.__getitem__, chunks))
+        n = self.merged(first) + sum(map(self.chunks.__getitem__, chunks))
+        for chunk in [c for c in unknown if len(c) > MEMO_CHARS]:
+            del self.chunks[chunk]
+        return n
 
     def merged(self, text: str) -> int:
         return sum(self.tokens_of(piece) for piece, _ in self.cut(text))
