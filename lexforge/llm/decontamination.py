@@ -125,19 +125,24 @@ class Matcher:
             yield start, stop
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE) -> DataFrame:
-    """doc_id, item_id, n_edits and end_at (in the normalised text) of every item of benchmark(item_id, text) that stands in
-    a row of docs(doc_id, text) with at most its budget of edits."""
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """Items of the benchmark, normalised, in blocks of about BLOCK_CHARS."""
     items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // BLOCK_CHARS))
+    for block in range(blocks):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+        yield [(r["item_id"], t) for r in part.collect() if (t := normalised(r["text"]))]
+
+
+def find_items(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE) -> DataFrame:
+    """doc_id, item_id, n_edits and end_at (in the normalised text) of every item of benchmark(item_id, text) that stands in
+    a row of docs(doc_id, text) with at most its budget of edits."""
     columns = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     context = docs.sparkSession.sparkContext
 
-    def passed(block: int) -> DataFrame:
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        held = [(r["item_id"], t) for r in part.collect() if (t := normalised(r["text"]))]  # about BLOCK_CHARS
-        shared = context.broadcast(held)
+    def passed(items: list[tuple[int, str]]) -> DataFrame:
+        shared = context.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shared.value, error_rate)
@@ -148,10 +153,21 @@ def find_items(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_
 
         return columns.mapInArrow(run, "doc_id long, item_id long, n_edits long, end_at long")
 
-    return reduce(DataFrame.unionAll, map(passed, range(blocks)))
+    return reduce(DataFrame.unionAll, map(passed, _blocks(benchmark)))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE) -> DataFrame:
-    """The rows of docs, with all their columns, in which no item stands."""
-    hit = find_items(docs, benchmark, error_rate).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti")
+    """The rows of docs, with all their columns, in which no item stands: each row by its own text, without a shuffle."""
+    context, at = docs.sparkSession.sparkContext, docs.columns.index("text")
+
+    def passed(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
+        shared = context.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(shared.value, error_rate)
+            for batch in batches:
+                yield batch.filter(pa.array([text is None or next(matcher.matches(normalised(text)), None) is None for text in batch.column(at).to_pylist()], pa.bool_()))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    return reduce(passed, _blocks(benchmark), docs)
