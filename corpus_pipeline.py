@@ -1,12 +1,12 @@
 """The corpus pipeline: five stages, each over all that the one before kept.
 
-Each stage takes (spark, docs, sf_dir). All but the last return the columns of documents.
+Each stage takes (spark, docs, sf_dir). All but the last return the columns of documents, whatever further ones
+there are. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lexforge.llm import decontamination, language_id, near_duplicates, piece_codec, substring_dedup
 from lexforge.llm.common import table
@@ -20,29 +20,31 @@ def _pieces() -> str:
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or in which no language is likelier than all others together, go."""
-    model = language_id.train(docs, _pieces())
-    rejected = language_id.identify(docs, model).where((F.col("lang_pred") == language_id.UNDETERMINED) | (F.col("score") <= 0.5))
-    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Documents without a letter, null and empty texts among them, or in which no language is likelier than all others
+    together, go. Each row is judged by its own text, so rows that share an id, or have none, are judged apart."""
+    return language_id.keep_determined(docs, language_id.train(docs, _pieces()))
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
+    """Of each group of near duplicates the document with the smallest id stays. Rows with the same id are one document, and
+    stay or go together; rows without an id go where their group has one, else one of them stays. Texts without words stay."""
     return near_duplicates.first_of_each(docs).select(*docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose the bytes of long strings that stand earlier too; documents stay."""
+    """Texts lose the bytes of strings of 100 bytes that stand earlier too, in the order of ids; documents stay. Rows with the
+    same id are one document; rows without an id, and null texts, lose nothing."""
     return substring_dedup.remove_repeats(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, up to its budget of edits, go."""
-    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    """Documents that hold a benchmark item, up to its budget of edits, go. Each row is judged by its own text; null and empty
+    texts stay."""
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number of pieces, and digests of ids, spans and decoded text, of what is left."""
+    """Number of pieces, and digests of ids, spans and decoded text, of every row that is left; a null text is empty."""
     return piece_codec.encode_digests(docs, _pieces()).drop("decoded")
 
 
@@ -54,7 +56,7 @@ STAGES = [
     ("piece_codec", encode_pieces),
 ]
 
-#: No stage can be expressed in SQL; each operator is tested against a brute-force version.
+#: No stage can be expressed in SQL; the whole is tested against a brute-force version, as is each operator.
 ORACLE_SQL = None
 
 
