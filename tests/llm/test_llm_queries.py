@@ -1,5 +1,8 @@
 """Queries of the subpackage against their SQL, on empty tables, and with clashing columns."""
 
+import hashlib
+import random
+
 import pytest
 from oracle import FOLDER, compare
 from pyspark.sql import functions as F
@@ -42,13 +45,16 @@ def test_empty_tables(spark, tokenizers_path):
 
 def test_nulls_repeats_and_clashing_columns(spark, tokenizers_path):
     long = "word " * 3000
-    rows = [(1, None, "x"), (2, "", "x"), (3, "same text of six words here", "x"), (3, "same text of six words here", "x"), (4, long, "x"), (5, "\n\t ", None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, n int" if False else "doc_id long, text string, digest string")
-    docs = docs.withColumns({"n": F.lit("clash"), "key": F.lit("clash"), "shard": F.lit("clash"), "__spans": F.lit("clash")}).drop("__spans")
-    rows_of = {2: 6, 5: 6, 6: 6, 7: 6, 8: 6, 10: 6}
+    rows = [(1, None, "x"), (2, "", "x"), (3, "same text of six words here", "x"), (3, "same text of six words here", "x"), (4, long, "x"), (5, "\n\t ", None), (None, "words of a row without an id", "x"), (None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest string")
+    docs = docs.withColumns({c: F.lit("clash") for c in ("n", "key", "shard", "spans", "__spans", "source", "part", "lang_pred", "score", "component")})
+    rows_of = {2: 8, 3: 0, 5: 8, 6: 8, 7: 8, 8: 8, 10: 8}
     for number, result in applied(docs, tokenizers_path):
-        assert result.count() == rows_of.get(number, result.count()), number
-    groups = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.near_duplicates(docs).collect()}
+        if number == 9:
+            assert packing.unpack(result).count() == 4
+        else:
+            assert result.count() == rows_of[number], number
+    groups = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.near_duplicates(docs).where("doc_id IS NOT NULL").collect()}
     assert groups == {1: (0, 1), 2: (0, 2), 3: (2, 3), 4: (1, 4), 5: (0, 5)}
 
 
@@ -60,3 +66,77 @@ def test_pipeline_stages(spark):
         kept = stage(spark, docs, FOLDER)
         assert kept.columns == docs.columns, name
         assert kept.count() > 0, name
+
+
+def test_pipeline_against_brute_force(spark, tmp_path, tokenizers_path):
+    """All stages over a small corpus with repeated and null ids, null texts and clashing columns, against plain Python."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    import sentencepiece
+    from test_near_duplicates import brute
+    from test_search_and_filters import edits
+
+    r = random.Random(12)
+    english = "the and of to in is that it was for on are as with his they at be this from have or by one had not but what all were".split()
+    french = "le de un être et à il avoir ne je son que se qui ce dans en du elle au pour pas plus par sur faire avec tout nous".split()
+    text = lambda words, n: " ".join(r.choice(words) + r.choice(["", "", "s"]) for _ in range(n))
+    item, passage, base = text(english, 30), text(english, 40), text(english, 90)
+    rows = [(i, text(english if i % 3 else french, 60), "en" if i % 3 else "fr") for i in range(24)]
+    rows += [(30, base, "en"), (31, base + " more", "en"), (32, base, None), (33, "1234 5678 !", "en"), (34, None, "en"), (35, "", None), (36, "½ ②", "en")]
+    rows += [(40 + i, text(english, 50) + " " + passage + " " + text(english, 50), "en") for i in range(4)]
+    rows += [(50, text(english, 20) + " " + item.upper() + " " + text(english, 20), "en"), (51, text(english, 20) + " " + item[:50] + item[51:] + " " + text(english, 20), "en")]
+    rows += [(20, text(english, 70), "en"), (None, base + " again", "en"), (None, text(french, 70), "fr"), (7, rows[7][1], "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"source": F.lit("s"), "n_chars": F.length("text").cast("long"), "key": F.lit("clash"), "spans": F.lit("clash")})
+    docs.coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    items = spark.createDataFrame([(1, item), (2, None)], "item_id long, text string")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((str(x.doc_id), x.n_tokens, x.ids_sha256, x.decoded_sha256) for x in corpus_pipeline.run(spark, str(tmp_path)).collect())
+
+    # language: by the operator's own model, whose fit and scores have a brute-force test of their own
+    model = language_id.train(docs, tokenizers_path("piece_bpe_32k.model"))
+    scorer = language_id.Scorer(model)
+    judged = zip(rows, *scorer.predict([t for _, t, _ in rows]))
+    kept = [(i, t) for (i, t, _), language, score in judged if language != "und" and score > 0.5]
+    assert {i for i, *_ in rows} - {i for i, _ in kept} == {33, 34, 35, 36}
+    # near duplicates: rows numbered, those of an id linked, and the smallest id of each group stays
+    labels = {i: c for i, (_, c) in brute(list(enumerate(t for _, t in kept))).items()}
+    parent = dict(labels)
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    by_id = {}
+    for k, (i, _) in enumerate(kept):
+        if i is not None:
+            a, b = find(k), find(by_id.setdefault(i, k))
+            parent[max(a, b)] = min(a, b)
+    groups = {}
+    for k in range(len(kept)):
+        groups.setdefault(find(k), []).append(k)
+    stay = []
+    for members in groups.values():
+        ids = {kept[k][0] for k in members} - {None}
+        stay += [k for k in members if kept[k][0] == min(ids)] if ids else members[:1]
+    kept = [kept[k] for k in sorted(stay)]
+    # repeated passages, by document in the order of ids; rows of one id are one document, those without lose nothing
+    seen, cut = {}, []
+    for i, t in sorted((x for x in kept if x[0] is not None), key=lambda x: x[0]):
+        b = t.encode()
+        for p in range(len(b) - 99):
+            seen.setdefault(b[p : p + 100], (i, p))
+    for i, t in kept:
+        b = t.encode()
+        gone = [False] * len(b)
+        for p in range(len(b) - 99) if i is not None else ():
+            if seen[b[p : p + 100]] < (i, p):
+                gone[p : p + 100] = [True] * 100
+        cut.append((i, bytes(c for c, g in zip(b, gone) if not g).decode("utf-8", "ignore")))
+    # benchmark items with up to 5 % edits
+    plain = decontamination.normalised(item)
+    clean = [(i, t) for i, t in cut if not t or edits(plain, decontamination.normalised(t)) > int(0.05 * len(plain))]
+    assert {i for i, _ in cut} - {i for i, _ in clean} >= {50, 51}
+    library = sentencepiece.SentencePieceProcessor(model_file=tokenizers_path("piece_bpe_32k.model"))
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = sorted((str(i), len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids))) for i, t in clean for ids in [library.encode(t)])
+    assert got == want
