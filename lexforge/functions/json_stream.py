@@ -11,18 +11,25 @@ from pyspark.sql import functions as F
 # The field that is shown, and JSON's escapes of one letter.
 FIELD = "reponse"
 ESCAPES = {'"': '"', "\\": "\\", "/": "/", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t"}
-_STEP = re.compile(r'[^"\\]+|\\u[0-9a-fA-F]{4}|\\["\\/bfnrt]')
+_HIGH, _LOW = r"\\u[dD][89abAB][0-9a-fA-F]{2}", r"\\u[dD][c-fC-F][0-9a-fA-F]{2}"
+#: A run of plain characters, a pair of surrogates, one surrogate that the next escape shows to be alone, or an escape.
+_STEP = re.compile(rf'[^"\\]+|{_HIGH}{_LOW}|{_HIGH}(?=[^\\]|\\[^u]|\\u[0-9a-fA-F]{{4}})|{_LOW}|\\u(?![dD][89a-fA-F])[0-9a-fA-F]{{4}}|\\["\\/bfnrt]')
 
 
 def partial_value(raw: str | None, field: str = FIELD) -> str:
-    """As much of the field's value as has safely arrived: "" before it begins; never part of an escape."""
+    """As much of the field's value as has safely arrived: "" before it begins; never part of an escape or of a pair of
+    escapes. A surrogate that stands alone is shown as the replacement character."""
     opened = re.search(rf'"{field}"[ \t\r\n:]*"', raw or "")
     if not opened:
         return ""
     shown, at = [], opened.end()
     while step := _STEP.match(raw, at):
         text = step[0]
-        shown.append(chr(int(text[2:], 16)) if text.startswith("\\u") else ESCAPES[text[1]] if text[0] == "\\" else text)
+        if text.startswith("\\u"):
+            units = b"".join(int(x, 16).to_bytes(2, "little") for x in text.split("\\u")[1:])
+            shown.append(units.decode("utf-16-le", "replace"))
+        else:
+            shown.append(ESCAPES[text[1]] if text[0] == "\\" else text)
         at = step.end()
     return "".join(shown)
 

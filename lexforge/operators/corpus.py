@@ -47,7 +47,8 @@ def neighbours(articles: DataFrame) -> DataFrame:
     live = F.when(F.col("repealed_on").isNull(), F.col("id"))
     by = Window.partitionBy("text_id").orderBy("id")
     before = F.last(live, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(live, ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing))
+    # the other way round, as a frame that reaches to the end would be gone through anew for every row
+    after = F.last(live, ignorenulls=True).over(Window.partitionBy("text_id").orderBy(F.desc("id")).rowsBetween(Window.unboundedPreceding, -1))
     return articles.select("id", before.alias("previous"), after.alias("next"))
 
 
@@ -103,8 +104,10 @@ def rating_summary(ratings: DataFrame) -> DataFrame:
     return ratings.agg(F.count("*").alias("n"), F.round(F.avg("rating"), 2).alias("mean"), stars.alias("stars"))
 
 
-def latest_reviews(ratings: DataFrame) -> DataFrame:
-    return ratings.orderBy(F.desc(F.coalesce("modified_at", "created_at")), "user_id")
+def latest_reviews(ratings: DataFrame, users: DataFrame) -> DataFrame:
+    """ratings(user_id, created_at, modified_at, …) with the email of their authors, if these still exist, the latest first."""
+    joined = ratings.join(users.select("user_id", "email"), "user_id", "left")
+    return joined.orderBy(F.desc(F.coalesce("modified_at", "created_at")), "user_id")
 
 
 def journal(deposits: DataFrame, rows: int = JOURNAL_ROWS) -> DataFrame:
@@ -117,8 +120,18 @@ def journal(deposits: DataFrame, rows: int = JOURNAL_ROWS) -> DataFrame:
 
 def size_summary(articles: DataFrame) -> DataFrame:
     """text_id, n, shortest, longest and the upper median of content lengths."""
-    lengths = F.array_sort(F.collect_list(F.length("content")))
-    return articles.groupBy("text_id").agg(F.count("*").alias("n"), F.min(F.length("content")).alias("shortest"), F.max(F.length("content")).alias("longest"), F.element_at(lengths, (F.count("*") / 2).cast("int") + 1).alias("median"))
+    # by length, so that a text with very many articles is a few rows; nulls count as articles, but have no length
+    counts = articles.groupBy("text_id", F.length("content").alias("length")).agg(F.count("*").alias("n"))
+    by = Window.partitionBy("text_id").orderBy("length")
+    known = F.sum(F.when(F.col("length").isNotNull(), F.col("n")))
+    ranked = counts.withColumns({"upto": known.over(by), "all": F.sum("n").over(Window.partitionBy("text_id"))})
+    median = F.min(F.when(F.col("upto") >= F.floor(F.col("all") / 2) + 1, F.col("length")))
+    return ranked.groupBy("text_id").agg(F.sum("n").alias("n"), F.min("length").alias("shortest"), F.max("length").alias("longest"), median.alias("median"))
+
+
+def text_spans(articles: DataFrame) -> DataFrame:
+    """text_id, n, the first and last number (by id) and the first and last page of articles(text_id, id, number, page)."""
+    return articles.groupBy("text_id").agg(F.count("*").alias("n"), F.min_by("number", "id").alias("first_number"), F.max_by("number", "id").alias("last_number"), F.min("page").alias("first_page"), F.max("page").alias("last_page"))
 
 
 def sampled(articles: DataFrame, size: int, seed: int) -> DataFrame:

@@ -16,6 +16,8 @@ from ..functions import text as T
 SHORTEST, LONGEST, WITHOUT_PATH, MOST_DEPTHS = 40, 12_000, 0.02, 3
 LEAST_PAGES, EDGE_LINES, REPEAT_SHARE = 4, 3, 0.3
 SCANNED_CHARS_PER_PAGE = 100
+#: Places of a version's chunks that are numbered together.
+PLACES = 10_000
 
 
 def numbered_lines(df: DataFrame, text_col: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -144,21 +146,12 @@ def may_load(chunks: DataFrame) -> DataFrame:
     return chunks.select("doc_id").distinct().join(blocked, "doc_id", "left").select("doc_id", F.col("blocked").isNull().alias("loadable"))
 
 
-def dice(left: Column, right: Column) -> Column:
-    """Similarity of two texts in comparison form by the words they share, repeats counted: 2 * common / all."""
-    words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
-    # every occurrence gets its number, so that a multiset becomes a set of strings
-    numbered = lambda ws: F.transform(ws, lambda w, i: F.concat(w, F.lit(" "), F.size(F.filter(F.slice(ws, F.lit(1), i + 1), lambda x: x == w)).cast("string")))
-    a, b = words(left), words(right)
-    common = F.size(F.array_intersect(numbered(a), numbered(b)))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(2.0 * common / (F.size(a) + F.size(b)))
-
-
 def word_overlap(pairs: DataFrame) -> DataFrame:
-    """pair_id and similarity as `dice` of pairs(pair_id, left, right), counted by grouping: for long texts."""
-    side = lambda name: pairs.select("pair_id", F.explode(F.filter(F.split(name, " "), lambda w: w != "")).alias("word")).groupBy("pair_id", "word").agg(F.count("*").alias(f"n_{name}"))
-    both = side("left").join(side("right"), ["pair_id", "word"], "full_outer").fillna(0)
-    sums = both.groupBy("pair_id").agg(F.sum(F.least("n_left", "n_right")).alias("common"), F.sum(F.col("n_left") + F.col("n_right")).alias("all"))
+    """pair_id and similarity of pairs(pair_id, left, right) by the words they share, repeats counted: 2 * common / all, 1 of none."""
+    signed = F.explode(F.array(*(F.struct(F.col(name).alias("text"), F.lit(sign).alias("sign")) for name, sign in (("left", 0), ("right", 1)))))
+    words = pairs.select("pair_id", signed.alias("s")).select("pair_id", "s.sign", F.explode(F.filter(F.split("s.text", " "), lambda w: w != "")).alias("word"))
+    counts = words.groupBy("pair_id", "word").agg(F.count_if(F.col("sign") == 0).alias("n_left"), F.count_if(F.col("sign") == 1).alias("n_right"))
+    sums = counts.groupBy("pair_id").agg(F.sum(F.least("n_left", "n_right")).alias("common"), F.sum(F.col("n_left") + F.col("n_right")).alias("all"))
     return pairs.select("pair_id").join(sums, "pair_id", "left").select("pair_id", F.coalesce(2.0 * F.col("common") / F.col("all"), F.lit(1.0)).alias("similarity"))
 
 
@@ -189,7 +182,12 @@ def close_versions(all_articles: DataFrame, texts: DataFrame, text_id: int, chun
     closed = all_articles.join(others, "text_id", "left")
     closed = closed.withColumn("repealed_on", F.when(F.col("repealed_on").isNull() & F.col("superseded"), on).otherwise(F.col("repealed_on"))).drop("superseded")
     largest = all_articles.agg(F.coalesce(F.max("id"), F.lit(0)).alias("largest"))
-    fresh = chunks.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("seq"))).join(F.broadcast(largest))
+    # ranks by blocks of places, and what stands before a block: no task sees all chunks
+    block = F.floor(F.col("seq") / PLACES)
+    sizes = chunks.groupBy(block.alias("block")).agg(F.count("*").alias("n"))
+    before = sizes.select("block", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("block").orderBy("seq"))
+    fresh = chunks.withColumn("block", block).withColumn("within", within).join(before, "block").withColumn("rank", F.col("before") + F.col("within")).join(F.broadcast(largest))  # largest: one row
     new = fresh.select((F.col("largest") + F.col("rank")).cast("long").alias("id"), F.lit(text_id).cast("long").alias("text_id"), "number", "path", "content", on.alias("effective_on"), F.lit(None).cast("date").alias("repealed_on"))
     return closed.select(*new.columns).unionByName(new)
 
@@ -209,3 +207,9 @@ def repaired(rows: DataFrame, column: str = "content") -> DataFrame:
     """The rows whose text cleaning changes, with the cleaned text."""
     fixed = T.clean_line(F.col(column))
     return rows.where(~(fixed.eqNullSafe(F.col(column)))).withColumn(column, fixed)
+
+
+def repair_counts(rows: DataFrame, column: str = "content") -> DataFrame:
+    """text_id, how many of its rows cleaning changes, and n."""
+    changed = ~T.clean_line(F.col(column)).eqNullSafe(F.col(column))
+    return rows.groupBy("text_id").agg(F.count_if(changed).alias("repaired"), F.count("*").alias("n"))

@@ -21,6 +21,12 @@ def scored(questions: DataFrame, replies: DataFrame) -> DataFrame:
     return joined.select("id", "must_refuse", "seconds", refused.alias("was_refused"), F.when(F.col("must_refuse"), refused).otherwise(hit & ~refused).alias("correct"))
 
 
+def failures(questions: DataFrame, replies: DataFrame) -> DataFrame:
+    """id, kind and failure ("should_refuse", "refused" or "wrong_articles") of the questions that were answered wrongly."""
+    wrong = scored(questions, replies).where(~F.col("correct")).join(questions.select("id", "kind"), "id")
+    return wrong.select("id", "kind", F.when(F.col("must_refuse"), "should_refuse").when(F.col("was_refused"), "refused").otherwise("wrong_articles").alias("failure"))
+
+
 def report(scores: DataFrame) -> DataFrame:
     """One row: accuracy, accuracy of refusals, median and longest time, and how many took too long."""
     share = lambda c: F.avg(c.cast("int"))

@@ -85,6 +85,16 @@ def dashboard(users: DataFrame, texts: DataFrame, articles: DataFrame, messages:
     return reduce(lambda x, y: x.join(F.broadcast(y)), parts)  # one row each
 
 
+def users_by_role(users: DataFrame) -> DataFrame:
+    """role, n and suspended."""
+    return users.groupBy("role").agg(F.count("*").alias("n"), F.count("suspended_on").alias("suspended"))
+
+
+def by_email(users: DataFrame, asked: DataFrame) -> DataFrame:
+    """users with asked, for those of asked(asked) that are their e-mail, whatever its case."""
+    return users.join(asked.withColumn("__key", F.lower(F.trim("asked"))), F.lower("email") == F.col("__key")).drop("__key")
+
+
 def requests_to_accept(requests: DataFrame, pending: DataFrame, users: DataFrame, catalogue: DataFrame) -> DataFrame:
     """request_id and outcome of requests(request_id, user_id, code, asked_at): "unknown_plan", "same_plan", "downgrade",
     "already_pending" or "pending"; of a user's several requests the first counts as pending."""
@@ -169,6 +179,13 @@ def without_conversation(conversations: DataFrame, messages: DataFrame, citation
     return conversations.join(gone, "conversation_id", "left_anti"), messages.join(gone, "conversation_id", "left_anti"), citations.join(gone_messages, "message_id", "left_anti")
 
 
+def flagged(favourites: DataFrame, articles: DataFrame, texts: DataFrame) -> DataFrame:
+    """user_id, article_id, repealed and revised of every favourite whose article is there."""
+    joined = favourites.join(articles.select(F.col("id").alias("article_id"), "text_id", "repealed_on"), "article_id").join(texts.select(F.col("id").alias("text_id"), "version"), "text_id")
+    seen = F.when(F.col("seen_version") != "", F.col("seen_version"))
+    return joined.select("user_id", "article_id", F.col("repealed_on").isNotNull().alias("repealed"), (seen.isNotNull() & (seen != F.col("version"))).alias("revised"))
+
+
 def alerts(favourites: DataFrame, articles: DataFrame, texts: DataFrame) -> DataFrame:
     """user_id, article_id, acronym, number and reason of favourites(user_id, article_id, seen_version) whose article is
     repealed or whose text has another version than was seen; repeal goes before revision. An empty version was not seen."""

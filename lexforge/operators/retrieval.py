@@ -8,11 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import excerpt, tokens
 
 # Sizes and thresholds of retrieval.
 CANDIDATES, RRF_K, RESULTS, LEAST_COVERAGE, LEAST_RELEVANCE = 20, 60, 8, 0.90, 0.55
-REWRITE_BOUNDS, EXPANSION_BOUNDS = (8, 4, 60), (8, 10, 40)
+REWRITE_BOUNDS, EXPANSION_BOUNDS, EXCERPT = (8, 4, 60), (8, 10, 40), 280
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -30,38 +30,61 @@ def _best(scored: DataFrame, score: str, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def vector_candidates(articles: DataFrame, questions: DataFrame, k: int = CANDIDATES) -> DataFrame:
-    """question_id, id, score and rank of the k articles(id, embedding) nearest to each of questions(question_id, vector).
+def _unit(vector: Column) -> Column:
+    """A vector at length one; null if it is null or zero."""
+    doubles = F.transform(vector, lambda x: x.cast("double"))
+    length = F.sqrt(F.aggregate(doubles, F.lit(0.0), lambda s, x: s + x * x))
+    return F.when(length > 0, F.transform(doubles, lambda x: x / length))
 
-    Questions are a stated set, small against the articles; Spark broadcasts them if their size allows it. The window
+
+def _of_acronym(articles: DataFrame, acronym: str | None) -> DataFrame:
+    return articles if acronym is None else articles.where(F.col("acronym") == acronym)
+
+
+#: Parts of the articles that each meet all questions, so that no one task does.
+PARTS = 32
+
+
+def vector_candidates(articles: DataFrame, questions: DataFrame, k: int = CANDIDATES, acronym: str | None = None) -> DataFrame:
+    """question_id, id, score and rank of the k articles(id, embedding) nearest to each of questions(question_id, vector);
+    acronym: only articles of that one.
+
+    Every vector is brought to length one once, so that a pair costs one product. Questions are a stated set, small against
+    the articles; Spark broadcasts them if their size allows it, and otherwise they meet the articles in parts. The window
     keeps k rows a question in each task before anything is shuffled."""
-    usable = articles.where(F.col("embedding").isNotNull()).select("id", "embedding", F.size("embedding").alias("dims"))
-    asked = questions.where(F.col("vector").isNotNull()).select("question_id", "vector", F.size("vector").alias("dims"))
-    scored = usable.join(asked, "dims").select("question_id", "id", F.round(cosine(F.col("embedding"), F.col("vector")), 6).alias("score")).where("score IS NOT NULL")
-    return _best(scored, "score", k)
+    unit = lambda df, name: df.where(F.col("unit").isNotNull()).select("*", F.size("unit").alias("dims")).withColumnRenamed("unit", name)
+    usable = unit(_of_acronym(articles, acronym).select("id", _unit(F.col("embedding")).alias("unit")), "a").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)))
+    asked = unit(questions.select("question_id", _unit(F.col("vector")).alias("unit")), "q").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    product = F.aggregate(F.zip_with("a", "q", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return _best(usable.join(asked, ["dims", "part"]).select("question_id", "id", F.round(product, 6).alias("score")), "score", k)
 
 
-def lexical_candidates(articles: DataFrame, questions: DataFrame, k: int = CANDIDATES) -> DataFrame:
+def lexical_candidates(articles: DataFrame, questions: DataFrame, k: int = CANDIDATES, acronym: str | None = None) -> DataFrame:
     """question_id, id, score and rank of the k articles(id, content) that share most words with questions(question_id,
-    question): the number of distinct question words that occur in the article, over the question's number of them."""
+    question): the number of distinct question words that occur in the article, over the question's number of them; acronym: only articles
+    of that one."""
     asked = questions.select("question_id", F.explode(tokens(F.col("question"))).alias("word"))
     sizes = asked.groupBy("question_id").agg(F.count("*").alias("words"))
-    held = articles.select("id", F.explode(tokens(F.col("content"))).alias("word"))
+    held = _of_acronym(articles, acronym).select("id", F.explode(tokens(F.col("content"))).alias("word"))
     # only words that are asked for take part, so frequent other words never leave their scan
     hits = held.join(asked, "word").groupBy("question_id", "id").agg(F.count("*").alias("shared"))
     scored = hits.join(sizes, "question_id").select("question_id", "id", F.round(F.col("shared") / F.col("words"), 6).alias("score"))
     return _best(scored, "score", k)
 
 
-def fuse(vectors: DataFrame, words: DataFrame, k: int = RRF_K, n: int = RESULTS) -> DataFrame:
-    """Reciprocal-rank fusion: question_id, id, vector_score, lexical_score, rrf and rank of the n best of both lists."""
+def _fused(vectors: DataFrame, words: DataFrame, k: int, n: int) -> DataFrame:
     a = vectors.select("question_id", "id", F.col("score").alias("vector_score"), F.col("rank").alias("vector_rank"))
     b = words.select("question_id", "id", F.col("score").alias("lexical_score"), F.col("rank").alias("lexical_rank"))
     share = lambda c: F.coalesce(F.lit(1.0) / (k + F.col(c)), F.lit(0.0))
     both = a.join(b, ["question_id", "id"], "full_outer").withColumn("rrf", F.round(share("vector_rank") + share("lexical_rank"), 9))
     order = Window.partitionBy("question_id").orderBy(F.desc("rrf"), F.asc_nulls_last("vector_rank"), F.asc_nulls_last("lexical_rank"), "id")
     ranked = both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
-    return ranked.select("question_id", "id", F.coalesce("vector_score", F.lit(0.0)).alias("vector_score"), F.coalesce("lexical_score", F.lit(0.0)).alias("lexical_score"), "rrf", "rank")
+    return ranked.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("vector_score", "lexical_score")})
+
+
+def fuse(vectors: DataFrame, words: DataFrame, k: int = RRF_K, n: int = RESULTS) -> DataFrame:
+    """Reciprocal-rank fusion: question_id, id, vector_score, lexical_score, rrf and rank of the n best of both lists."""
+    return _fused(vectors, words, k, n).select("question_id", "id", "vector_score", "lexical_score", "rrf", "rank")
 
 
 def coverage(articles: DataFrame) -> DataFrame:
@@ -75,9 +98,18 @@ def hybrid_search(articles: DataFrame, questions: DataFrame, least_coverage: flo
     asked = questions.where(F.trim("question") != "")
     enough = coverage(articles)  # one row
     vectors = vector_candidates(articles, asked).join(F.broadcast(enough)).where(F.col("coverage") >= least_coverage).drop("coverage")
-    fused = fuse(vectors, lexical_candidates(articles, asked))
-    with_vectors = vectors.select("question_id").distinct().withColumn("mode", F.lit("hybrid"))
-    return fused.join(with_vectors, "question_id", "left").withColumn("mode", F.coalesce("mode", F.lit("lexical_only")))
+    fused = _fused(vectors, lexical_candidates(articles, asked), RRF_K, RESULTS)
+    # the first of a vector list is always among the results, so these tell whether there is a list
+    listed = F.max(F.col("vector_rank").isNotNull()).over(Window.partitionBy("question_id"))
+    return fused.select("question_id", "id", "vector_score", "lexical_score", "rrf", "rank", F.when(listed, "hybrid").otherwise("lexical_only").alias("mode"))
+
+
+def public_search(articles: DataFrame, questions: DataFrame, limit: int = 20, acronym: str | None = None) -> DataFrame:
+    """question_id, id, score, rank and excerpt of the lexical results for anyone; limit: from 1 to 100."""
+    if not 1 <= limit <= 100:
+        raise ValueError("the limit must be from 1 to 100")
+    best = lexical_candidates(articles, questions, limit, acronym)
+    return best.join(articles.select("id", excerpt(F.col("content"), EXCERPT, "…").alias("excerpt")), "id")
 
 
 def relevance(results: DataFrame) -> DataFrame:

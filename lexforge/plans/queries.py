@@ -95,7 +95,7 @@ def size_summary(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.size_summary(_articles(spark, sf))
 
 
-@registered(f"WITH {_ARTICLES} SELECT id, number, text_id FROM articles WHERE embedding IS NULL AND repealed_on IS NULL ORDER BY id LIMIT 100")
+@registered(f"WITH {_ARTICLES} SELECT id, number, text_id FROM articles WHERE embedding IS NULL AND repealed_on IS NULL")
 def pending_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.pending_vectors(_articles(spark, sf, True), _texts(spark, sf)).select("id", "number", "text_id")
 
@@ -267,15 +267,17 @@ def scanned_documents(spark: SparkSession, sf: str) -> DataFrame:
     return documents.scanned_documents(table(spark, sf, "documents").select(F.substring("source", 4, 10).cast("long").alias("doc_id"), "text"))
 
 
-@registered("""SELECT doc_id, 1 + i AS seq, CAST(doc_id * 10 + i AS VARCHAR) AS number, 'Livre I - Du droit > Titre ' || (i + 1) AS path,
-    trim(regexp_replace(replace(text, chr(10), ' '), '\\s+', ' ', 'g')) AS content, CAST(1 + i AS INTEGER) AS page
-    FROM (SELECT doc_id, unnest([0, 1]) AS i, 'Corps ' || lang || ' ' || doc_id || ' suite' AS text FROM documents)""")
+@registered("""WITH l AS (SELECT doc_id, lang, generate_subscripts(lines, 1) - 1 AS i, unnest(lines) AS line FROM (SELECT doc_id, lang, string_split(replace(text, '....', '. . . .'), chr(10)) AS lines FROM documents))
+    SELECT doc_id, CAST(i // 2 + 1 AS BIGINT) AS seq, CAST(i // 2 + 1 AS VARCHAR) AS number, 'Titre 1 - ' || lang AS path, md5(trim(regexp_replace(string_agg(translate(line, chr(160), ' '), ' ' ORDER BY i), '\\s+', ' ', 'g'))) AS content,
+        CAST(CASE WHEN min(i) < 10 THEN 1 ELSE 2 END AS INTEGER) AS page FROM l GROUP BY doc_id, lang, i // 2""")
 def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "lang")
-    i = F.col("doc_id")
-    page = lambda k, head: F.concat(F.lit(f"===PAGE {k + 1}===\n{head}Titre {k + 1}\nArticle "), (i * 10 + k).cast("string"), F.lit(" - Corps "), F.col("lang"), F.lit("  "), i.cast("string"), F.lit("\nsuite\nSommaire ........ 3\n"))
-    texts = docs.select("doc_id", F.concat(F.lit("before any page\n"), page(0, "LIVRE | : Du droit\n"), page(1, "")).alias("text"))
-    return documents.articles(texts).withColumn("seq", F.col("seq").cast("long"))
+    """Whole texts, whose every other line is made the header of an article, over two pages."""
+    lines = F.split(F.replace("text", F.lit("...."), F.lit(". . . .")), "\n")
+    header = lambda line, i: F.when(i % 2 == 0, F.concat(F.lit("Article "), (F.floor(i / 2) + 1).cast("string"), F.lit(" : "), line)).otherwise(line)
+    paged = F.transform(lines, lambda line, i: F.concat(F.when(i == 10, "===PAGE 2===\n").otherwise(""), header(line, i)))
+    whole = F.concat(F.lit("before any page\n===PAGE 1===\nTitre 1 : "), F.col("lang"), F.lit("\n"), F.array_join(paged, "\n"))
+    found = documents.articles(table(spark, sf, "documents").select("doc_id", whole.alias("text")))
+    return found.withColumns({"seq": F.col("seq").cast("long"), "content": F.md5("content")})
 
 
 def _versions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

@@ -49,8 +49,9 @@ def test_compare_versions(spark):
 
 
 def test_dice_of_multisets(spark):
-    row = spark.createDataFrame([("a a b", "a b b")], "l string, r string").select(documents.dice(F.col("l"), F.col("r")).alias("d")).first()
-    assert abs(row.d - 4 / 6) < 1e-12
+    pairs = spark.createDataFrame([(1, "a a b", "a b b"), (2, "", ""), (3, "a", ""), (4, "a b", "a b")], "pair_id int, left string, right string")
+    got = {r.pair_id: r.similarity for r in documents.word_overlap(pairs).collect()}
+    assert abs(got.pop(1) - 4 / 6) < 1e-12 and got == {2: 1.0, 3: 0.0, 4: 1.0}
 
 
 def test_close_versions(spark):

@@ -68,3 +68,12 @@ def test_partial_answers_only_grow():
     assert all(b.startswith(a) for a, b in zip(shown, shown[1:]))
     assert shown[-1] == 'Il dit "oui" et écrit\n\\fin'
     assert partial_value('{"autre": 1') == partial_value(None) == partial_value("]]") == ""
+
+
+def test_surrogate_pairs_in_partial_json():
+    from lexforge.functions.json_stream import partial_value
+
+    whole = '{"reponse": "a\\ud83d\\ude00b \\ud83d end \\u00e9"}'
+    shown = [partial_value(whole[:n]) for n in range(len(whole) + 1)]
+    assert shown[-1] == "a\U0001f600b \ufffd end é"
+    assert all(b.startswith(a) for a, b in zip(shown, shown[1:])) and all(x.encode() is not None for x in shown)
