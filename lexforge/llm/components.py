@@ -68,9 +68,16 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield hung()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every u of the distinct edges(u, v), u > v, has one v, which itself is nobody's u."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("e"))
+    seen = ends.groupBy("e.node").agg(F.sum("e.up").alias("ups"), F.min("e.up").alias("least"))
+    return seen.where("ups > 1 OR (ups = 1 AND least = 0)").isEmpty()
+
+
 def connected_components(links: DataFrame, bag: list[str] | None = None) -> DataFrame:
     """node and component (its smallest node) of every node of links(a, b), by alternating large and small stars, until
-    nothing changes. Null ends are no links. bag: takes the path of the result's table.
+    only stars are left. Null ends are no links. bag: takes the path of the result's table.
 
     Each round hangs the neighbours of every node on the smallest of them; what is left at the end are stars. A node with
     very many neighbours only takes part in a minimum and an equality join, both of which Spark splits."""
@@ -78,9 +85,7 @@ def connected_components(links: DataFrame, bag: list[str] | None = None) -> Data
     # tasks first hang what they see of a component on its smallest node, which leaves fewer edges and rounds
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").mapInArrow(_forest, "u long, v long").distinct()
     edges = stored(edges, old)
-    state = [F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
-    before = edges.agg(*state).first()
-    while True:
+    while not _are_stars(edges):
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -90,10 +95,6 @@ def connected_components(links: DataFrame, bag: list[str] | None = None) -> Data
         edges = stored(small.select("e.u", "e.v").where("u <> v").distinct(), new)
         discard(spark, old)
         old = new
-        now = edges.agg(*state).first()
-        if now == before:
-            break
-        before = now
     if bag is not None:
         bag += old
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
