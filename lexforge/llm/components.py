@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Nodes that a task's forest holds before it is given out.
+#: Nodes that a task's forest holds before it is given out, and edges that a task is given, which have no more nodes.
 NODES = 500_000
+EDGES = NODES // 2
 
 
 def kept_folder(spark: SparkSession) -> str:
@@ -79,22 +80,29 @@ def connected_components(links: DataFrame, bag: list[str] | None = None) -> Data
     """node and component (its smallest node) of every node of links(a, b), by alternating large and small stars, until
     only stars are left. Null ends are no links. bag: takes the path of the result's table.
 
-    Each round hangs the neighbours of every node on the smallest of them; what is left at the end are stars. A node with
-    very many neighbours only takes part in a minimum and an equality join, both of which Spark splits."""
+    Each round first gives tasks EDGES edges each, of which they hang what they see of a component on its smallest node;
+    where one task does for all edges, that leaves stars. Otherwise it hangs the neighbours of every node on the smallest
+    of them. A node with very many neighbours only takes part in a minimum and an equality join, both of which Spark splits."""
     spark, old = links.sparkSession, []
-    # tasks first hang what they see of a component on its smallest node, which leaves fewer edges and rounds
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").mapInArrow(_forest, "u long, v long").distinct()
-    edges = stored(edges, old)
-    while not _are_stars(edges):
+
+    def next_(edges: DataFrame) -> DataFrame:
+        new: list[str] = []
+        kept = stored(edges, new)
+        discard(spark, old)
+        old.extend(new)
+        return kept
+
+    edges = next_(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").mapInArrow(_forest, "u long, v long").distinct())
+    while (tasks := -(-edges.count() // EDGES)) > 1 and not _are_stars(edges):
+        edges = next_(edges.coalesce(tasks).mapInArrow(_forest, "u long, v long").distinct())
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        new: list[str] = []
-        edges = stored(small.select("e.u", "e.v").where("u <> v").distinct(), new)
-        discard(spark, old)
-        old = new
+        edges = next_(small.select("e.u", "e.v").where("u <> v").distinct())
+    if tasks == 1:
+        edges = next_(edges.coalesce(1).mapInArrow(_forest, "u long, v long"))
     if bag is not None:
         bag += old
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

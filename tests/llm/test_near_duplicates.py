@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 
+from lexforge.llm import components
 from lexforge.llm import near_duplicates as nd
 from lexforge.llm import signature_tree as st
 from lexforge.llm.components import connected_components
@@ -142,7 +143,10 @@ def test_tree_loses_no_pair():
         assert want <= found
 
 
-def test_connected_components(spark):
+def test_connected_components(spark, monkeypatch):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
-    assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in (100, 101, 102)}}
+    for edges in (components.EDGES, 3):  # in one task's forest, and by rounds of stars
+        monkeypatch.setattr(components, "EDGES", edges)
+        got = {r.node: r.component for r in connected_components(spark.createDataFrame(chain, "a long, b long").repartition(8)).collect()}
+        assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in (100, 101, 102)}}
+    assert connected_components(spark.createDataFrame([(7, 7), (None, 1)], "a long, b long")).isEmpty()
