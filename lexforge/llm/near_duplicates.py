@@ -42,8 +42,9 @@ from .signature_tree import LEAF, SignatureTree, bitmaps, link, needed
 KEYS, CHUNK, CHUNK_BYTES = 3, 256, 16_000_000
 #: The largest block of spans that is met at once in step 3; a span is a bitmap and a few numbers.
 BLOCK = 1024
-#: Shingles of a span, at most, and bits of its bitmap.
+#: Shingles of a span, at most, and bits of its bitmap; where groups are tested beyond their nearest pair, it has FINE bits.
 SPAN = BITS = 512
+FINE = 4096
 #: A shingle counts as frequent from so many sets on; so many are known at most, as only the order depends on it.
 FREQUENT, MOST_FREQUENT = 64, 65_536
 #: Largest Bloom bitmap that is broadcast, in bits (16 MB); beyond, it only lets more rows through.
@@ -194,12 +195,16 @@ def _spans(s: np.ndarray, frequent: np.ndarray, percent: int) -> Iterator[tuple[
 _SPAN_SCHEMA = "doc_id long, n int, short int, bits binary, keys array<long>"
 
 
-def _span_rows(docs: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
-    """doc_id, n, bits (bitmap), keys (of its prefix) and short (how many are its shorter one) of every span of every document."""
+def _span_rows(docs: DataFrame, frequent: np.ndarray, words: int, percent: int, size: int = BITS, wanted: DataFrame | None = None) -> DataFrame:
+    """doc_id, n, bits (bitmap of size bits), keys (of its prefix) and short (how many are its shorter one) of every span of
+    every document, or of those that a bitmap of wanted(doc_id) lets through."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    bloom = docs.sparkSession.sparkContext.broadcast(Bloom(wanted, "doc_id") if wanted is not None else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if bloom.value is not None:
+                batch = batch.filter(pa.array(bloom.value.test(np.asarray(batch.column(0)))))
             for at in range(0, batch.num_rows, 1000):
                 ids, keys, short, members = [], [], [], []
                 for doc_id, s in _sets(batch.slice(at, 1000), words):
@@ -208,7 +213,7 @@ def _span_rows(docs: DataFrame, frequent: np.ndarray, words: int, percent: int)
                         keys.append(prefix.view(np.int64))
                         short.append(least)
                         members.append(own)
-                bits = [b.tobytes() for b in bitmaps(members, BITS)]
+                bits = [b.tobytes() for b in bitmaps(members, size)]
                 arrays = [pa.array(ids, pa.int64()), pa.array([len(m) for m in members], pa.int32()), pa.array(short, pa.int32()), pa.array(bits, pa.binary()), _lists(keys, pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "short", "bits", "keys"])
 
@@ -277,7 +282,7 @@ def _candidates(spans: DataFrame, percent: int, nearest: bool, bag: list[str]) -
 
         def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
             keys = identity(table)
-            signatures = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(len(keys), BITS // 64)
+            signatures = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(len(keys), -1)
             ids, groups = np.asarray(table["doc_id"]), np.asarray(table["grp"])
             held, count = [np.zeros((0, 5), np.int64)], 0
 
@@ -334,8 +339,9 @@ def _tested(docs: DataFrame, pairs: DataFrame, words: int, percent: int, bag: li
     return pairs.join(side("x"), "x").join(side("y"), "y").select("a", "b", "x", "y", (100 * shared >= percent * union).alias("linked"))
 
 
-def _late_links(docs: DataFrame, grouped: DataFrame, spans: DataFrame, words: int, percent: int, bag: list[str]) -> DataFrame:
+def _late_links(docs: DataFrame, grouped: DataFrame, frequent: np.ndarray, words: int, percent: int, bag: list[str]) -> DataFrame:
     """Steps 3 and 4: links a, b between the groups of grouped(doc_id, grp)."""
+    spans = stored(_span_rows(docs, frequent, words, percent).join(grouped, "doc_id"), bag)
     first = stored(_tested(docs, _candidates(spans, percent, True, bag), words, percent, bag), bag)
     linked = first.where("linked").select("a", "b")
     # where the nearest pair fails and there may be others, all pairs of the two groups that are still apart are tested
@@ -349,8 +355,9 @@ def _late_links(docs: DataFrame, grouped: DataFrame, spans: DataFrame, words: in
     open_ = stored(open_, bag)
     if open_.isEmpty():
         return linked
-    concerned = open_.select(F.explode(F.array("a", "b")).alias("grp")).distinct()
-    again = stored(_candidates(spans.join(concerned, "grp", "left_semi"), percent, False, bag).join(open_, ["a", "b"], "left_semi"), bag)
+    concerned = stored(grouped.join(open_.select(F.explode(F.array("a", "b")).alias("grp")).distinct(), "grp", "left_semi"), bag)
+    finer = stored(_span_rows(docs, frequent, words, percent, FINE, concerned).join(concerned, "doc_id"), bag)
+    again = stored(_candidates(finer, percent, False, bag).join(open_, ["a", "b"], "left_semi"), bag)
     return linked.unionAll(_tested(docs, again, words, percent, bag).where("linked").select("a", "b"))
 
 
@@ -403,8 +410,7 @@ def _named_sets(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, D
     common = profiles.where(F.col("h").isNotNull()).groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT)
     held = common.orderBy(F.desc("c"), "h").limit(MOST_FREQUENT).select("h").collect()  # bounded; sets the order of prefixes only
     frequent = np.unique(np.array([r["h"] for r in held], np.int64).view(np.uint64))
-    spans = stored(_span_rows(docs, frequent, words, percent).join(grouped, "doc_id"), bag)
-    final = connected_components(early.unionAll(_late_links(docs, grouped, spans, words, percent, bag)), bag)
+    final = connected_components(early.unionAll(_late_links(docs, grouped, frequent, words, percent, bag)), bag)
     named = sets.select("digest", "doc_id").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("digest", F.coalesce("component", "doc_id").alias("component"))
     named = stored(named)
     discard(spark, bag)
