@@ -138,10 +138,11 @@ def _cut_runs(docs: DataFrame, frequent, repeated, crowded, length: int) -> Data
                             add(key, doc_id, at, text[at : at + n + length - 1])
             n, m = len(known), len(repeats)
             keys = np.array([k for k, _ in known], np.uint64).view(np.int64)
+            dealt = mixed(np.array([r[0] for r in repeats], np.int64).view(np.uint64) ^ mixed(np.array([r[1] for r in repeats], np.uint64), 3), 5).view(np.int64)
             ids, starts = [p[0] for p in known.values()], [p[1] for p in known.values()]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([keys, np.array([r[0] * 31 + r[1] for r in repeats], np.int64)])), pa.array(ids + [r[0] for r in repeats], pa.int64()),
+                    pa.array(np.concatenate([keys, dealt])), pa.array(ids + [r[0] for r in repeats], pa.int64()),
                     pa.array(starts + [r[1] for r in repeats], pa.int64()), pa.array([None] * n + [r[2] for r in repeats], pa.int64()), pa.array([b for _, b in known] + [None] * m, pa.binary()),
                 ],
                 ["key", "doc_id", "start", "stop", "bytes"],

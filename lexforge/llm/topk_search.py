@@ -10,7 +10,8 @@ Vectors that are null, or hold null or non-finite components, and rows without a
 of different lengths are never compared. A query with fewer than k candidates gets all of them. Empty tables
 give no rows. A row that stands twice counts as two candidates, but as one query; an id with several different
 vectors is several queries, none of which has a row of that id as a candidate. Scores must fit 64 bits, their
-terms need not. Other columns are ignored.
+terms need not; a component or a score that does not fit, or is too near the limit to tell, is an error. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,10 +35,11 @@ _BLOCK_SCHEMA = "dim int, part long, n int, ids binary, vectors binary"
 
 
 def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int = 256) -> DataFrame:
-    """vec_id and the vector floor(scale * x) of the rows that take part."""
+    """vec_id and the vector floor(scale * x) of the rows that take part. A component beyond 64 bits is an error."""
     finite = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     used = df.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & finite)
-    return used.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, lambda x: F.floor(scale * x.cast("double")).cast("long")).alias("vector"))
+    whole = lambda x: F.when(F.abs(x) < 2.0**63, F.floor(x).cast("long")).otherwise(F.raise_error(F.lit("a component does not fit 64 bits")).cast("long"))
+    return used.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, lambda x: whole(scale * x.cast("double"))).alias("vector"))
 
 
 def _pack(size: int):
@@ -72,9 +74,16 @@ def _scores(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     q_ids, b_ids = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["b_ids"], "<i8")
     q, b = (np.frombuffer(row[k], "<i8").reshape(len(i), row["dim"]) for k, i in (("q_vectors", q_ids), ("b_vectors", b_ids)))
     top = max(int(np.abs(q).max(initial=0)), 1) * max(int(np.abs(b).max(initial=0)), 1) * max(row["dim"], 1)
+    own = q_ids[:, None] == b_ids[None, :]
     # whole numbers below 2 ** 53 are exact in floating point, where the product is fast
-    scores = (q.astype(float) @ b.T.astype(float)).astype(np.int64) if top < 1 << 53 else q @ b.T
-    return q_ids, b_ids, scores, q_ids[:, None] == b_ids[None, :]
+    near = q.astype(float) @ b.T.astype(float)
+    if top < 1 << 53:
+        return q_ids, b_ids, near.astype(np.int64), own
+    # sums of 64 bits wrap around and come out right if the result fits, which the rounded product tells up to its error
+    error = (np.abs(q.astype(float)) @ np.abs(b.T.astype(float))) * (row["dim"] + 2) * 2.0**-52
+    if ((np.abs(near) + error >= 2.0**63) & ~own).any():
+        raise OverflowError("a score does not fit 64 bits")
+    return q_ids, b_ids, q @ b.T, own
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -136,11 +145,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id and score of the k best rows for each row of vectors(vec_id, vector of long) with is_query."""
     blocks = vectors.mapInArrow(_pack(BLOCK), _BLOCK_SCHEMA)
     asked = vectors.where(is_query).select("vec_id", "vector").distinct()
-    largest = vectors.agg(F.max(F.array_max(F.transform("vector", lambda x: F.abs(x).cast("decimal(38,0)")))).alias("x"), F.max(F.size("vector")).alias("d"), F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()
+    largest = vectors.agg(F.max(F.array_max(F.transform("vector", lambda x: F.abs(x.cast("decimal(38,0)"))))).alias("x"), F.max(F.size("vector")).alias("d"), F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()
     groups = max(8, -(-largest["n"] // GROUP))
     queries = asked.repartition(max(1, -(-largest["q"] // (8 * QUERY_BLOCK))), "vec_id").mapInArrow(_pack(QUERY_BLOCK), _BLOCK_SCHEMA)
     # written once: another evaluation may pack other rows together, and passes know a query by its block and place
     queries = stored(queries.select("dim", F.monotonically_increasing_id().alias("q_part"), F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")))
+    # scores beyond 64 bits are errors, so the first range ends there
     bound = min(int(largest["x"] or 0) ** 2 * (largest["d"] or 0) + 1, (1 << 63) - 1)
     widths = [1]
     while widths[0] * BINS < 2 * bound + 1:

@@ -51,7 +51,7 @@ def test_nulls_repeats_and_clashing_columns(spark, tokenizers_path):
     rows_of = {2: 8, 3: 0, 5: 8, 6: 8, 7: 8, 8: 8, 10: 8}
     for number, result in applied(docs, tokenizers_path):
         if number == 9:
-            assert packing.unpack(result).count() == 4
+            assert sorted(str(x.doc_id) for x in packing.unpack(result).collect()) == ["3", "3", "4", "5", "None"]
         else:
             assert result.count() == rows_of[number], number
     groups = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.near_duplicates(docs).where("doc_id IS NOT NULL").collect()}

@@ -2,6 +2,7 @@ import datetime
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lexforge.llm import decontamination as dc
@@ -83,6 +84,19 @@ def test_top_k_of_repeats_nulls_and_large_components(spark):
     assert sorted(got[50]) == [(1, 0, 0), (1, 0, 256 * 256 * 10**8), (2, 0, 0), (2, 0, 256 * 256 * 10**8), (3, 1, -65536), (3, 8, 128 * 256 * 10**8)]
 
 
+@pytest.mark.parametrize("rows", [[(50, [1.0, 1.0]), (1, [1e30, 1.0])], [(50, [1e10, 0.0]), (1, [1e10, 0.0])]])
+def test_top_k_beyond_64_bits(spark, rows):
+    vectors = topk_search.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    with pytest.raises(Exception, match="does not fit 64 bits"):
+        topk_search.top_k(vectors, F.col("vec_id") % 50 == 0).collect()
+
+
+def test_top_k_of_empty_vectors_and_clashing_columns(spark):
+    df = spark.createDataFrame([(0, []), (1, []), (2, [1.0])], "vec_id long, embedding array<double>").withColumns({c: F.lit("clash") for c in ("dim", "part", "n", "ids", "vector", "score", "rank")})
+    got = topk_search.top_k(topk_search.integer_vectors(df, "vec_id", "embedding"), F.col("vec_id") % 50 == 0).collect()
+    assert [(x.query_id, x.rank, x.vec_id, x.score) for x in got] == [(0, 1, 1, 0)]
+
+
 def test_top_k_in_another_order_at_each_evaluation(spark):
     r = np.random.default_rng(7)
     usable = {i: r.integers(-50, 50, 4) for i in range(600)}

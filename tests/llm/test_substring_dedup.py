@@ -40,6 +40,15 @@ def test_removals(spark, docs):
     assert got == brute(rows, 100)
 
 
+def test_ids_at_both_ends(spark, docs):
+    r = random.Random(9)
+    text = lambda n: "".join(r.choice("abcd ") for _ in range(n))
+    line = text(180)
+    rows = [(i, text(40) + line + text(40) + line) for i in (-(2**63), 1 - 2**63, -1, 0, 2**60, 2**63 - 2, 2**63 - 1)]
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in substring_dedup.removal_digests(docs(rows)).collect()}
+    assert got == brute(rows, 100)
+
+
 def test_crowded_minimizers(spark, docs, monkeypatch):
     """Windows dealt out one by one give the same removals."""
     monkeypatch.setattr(substring_dedup, "MOST_RUNS", 1)
