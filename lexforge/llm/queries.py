@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, license_scan, near_duplicates, packing, piece_codec, substring_dedup, token_counts, topk_search, url_filter
+from . import alignment, decontamination, fertility, language_id, license_scan, near_duplicates, packing, periodic_runs, piece_codec, substring_dedup, token_counts, topk_search, url_filter
 from .common import table
 
 
@@ -85,7 +85,52 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_license_scan, op3_decontamination, op4_topk_search, op5_language_id, op6_token_counts, op7_substring_dedup, op8_piece_codec, op9_packing, op10_near_duplicates)}
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = fertility.judge_documents(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+    base = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judged.select(*base, "n_a", "n_b", "n_fallback", "entropy", "script", "reason")
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text; of documents whose crc32 is divisible by 10, the words from a place on repeat with a period, by the rest
+    of that number."""
+    words = F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    n = F.greatest(F.size("words"), F.lit(1)).cast("long")
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    whole = lambda c: c.cast("int")
+    times = whole(F.ceil((n - a) / p))
+    again = F.slice(F.flatten(F.array_repeat(F.slice("words", whole(a + 1), whole(p)), times)), F.lit(1), whole(n - a))
+    changed = F.array_join(F.concat(F.slice("words", F.lit(1), whole(a)), again), " ")
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("words", F.when(h % 10 == 0, words))
+    return held.select("doc_id", F.when(F.size("words") > 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(with_planted_periods(table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    said = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    best = found.withColumn("best", longest)
+    length, period = F.col("best.length"), -F.col("best.period")
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"), F.sha2(said.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_filter, op2_license_scan, op3_decontamination, op4_topk_search, op5_language_id, op6_token_counts, op7_substring_dedup, op8_piece_codec, op9_packing, op10_near_duplicates,
+        op11_quality_rules, op12_periodic_runs, op13_tokenizer_alignment,
+    )
+}
 
 ORACLES = {
     "op1_url_filter": """

@@ -7,7 +7,7 @@ import pytest
 from oracle import FOLDER, compare
 from pyspark.sql import functions as F
 
-from lexforge.llm import common, decontamination, language_id, license_scan, near_duplicates, packing, piece_codec, queries, substring_dedup, token_counts, topk_search, url_filter
+from lexforge.llm import alignment, common, decontamination, fertility, language_id, license_scan, near_duplicates, packing, periodic_runs, piece_codec, queries, substring_dedup, token_counts, topk_search, url_filter
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
@@ -16,7 +16,7 @@ def test_query_equals_sql(spark, name):
 
 
 def test_numbers_and_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def applied(docs, path):
@@ -30,6 +30,9 @@ def applied(docs, path):
     yield 8, piece_codec.encode_digests(docs, path("piece_bpe_32k.model"))
     yield 9, packing.pack(docs, path("piece_bpe_32k.model"))
     yield 10, near_duplicates.near_duplicates(docs)
+    yield 11, fertility.judge_documents(docs, path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
+    yield 12, periodic_runs.find_runs(queries.with_planted_periods(docs))
+    yield 13, alignment.align_tokenizers(docs, path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
 
 
 def test_empty_tables(spark, tokenizers_path):
@@ -48,7 +51,7 @@ def test_nulls_repeats_and_clashing_columns(spark, tokenizers_path):
     rows = [(1, None, "x"), (2, "", "x"), (3, "same text of six words here", "x"), (3, "same text of six words here", "x"), (4, long, "x"), (5, "\n\t ", None), (None, "words of a row without an id", "x"), (None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, digest string")
     docs = docs.withColumns({c: F.lit("clash") for c in ("n", "key", "shard", "spans", "__spans", "source", "part", "lang_pred", "score", "component")})
-    rows_of = {2: 8, 3: 0, 5: 8, 6: 8, 7: 8, 8: 8, 10: 8}
+    rows_of = {2: 8, 3: 0, 5: 8, 6: 8, 7: 8, 8: 8, 10: 8, 11: 8, 12: 8, 13: 8}
     for number, result in applied(docs, tokenizers_path):
         if number == 9:
             assert sorted(str(x.doc_id) for x in packing.unpack(result).collect()) == ["3", "3", "4", "5", "None"]
