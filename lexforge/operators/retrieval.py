@@ -8,11 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import excerpt, tokens
+from ..functions.text import excerpt
+from . import lexical
 
 # Sizes and thresholds of retrieval.
 CANDIDATES, RRF_K, RESULTS, LEAST_COVERAGE, LEAST_RELEVANCE = 20, 60, 8, 0.90, 0.55
-REWRITE_BOUNDS, EXPANSION_BOUNDS, EXCERPT = (8, 4, 60), (8, 10, 40), 280
+REWRITE_BOUNDS, EXPANSION_BOUNDS, EXCERPT = (8, 4, 60), (8, 10, 40), 300
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -60,16 +61,10 @@ def vector_candidates(articles: DataFrame, questions: DataFrame, k: int = CANDID
 
 
 def lexical_candidates(articles: DataFrame, questions: DataFrame, k: int = CANDIDATES, acronym: str | None = None) -> DataFrame:
-    """question_id, id, score and rank of the k articles(id, content) that share most words with questions(question_id,
-    question): the number of distinct question words that occur in the article, over the question's number of them; acronym: only articles
-    of that one."""
-    asked = questions.select("question_id", F.explode(tokens(F.col("question"))).alias("word"))
-    sizes = asked.groupBy("question_id").agg(F.count("*").alias("words"))
-    held = _of_acronym(articles, acronym).select("id", F.explode(tokens(F.col("content"))).alias("word"))
-    # only words that are asked for take part, so frequent other words never leave their scan
-    hits = held.join(asked, "word").groupBy("question_id", "id").agg(F.count("*").alias("shared"))
-    scored = hits.join(sizes, "question_id").select("question_id", "id", F.round(F.col("shared") / F.col("words"), 6).alias("score"))
-    return _best(scored, "score", k)
+    """question_id, id, score and rank of the k articles(id, content) that share most terms with questions(question_id,
+    question): the number of distinct terms of the question that stand in the article, then the share of its words that they
+    are; acronym: only articles of that one."""
+    return lexical.search_articles(_of_acronym(articles, acronym), questions, k).drop("matched")
 
 
 def _fused(vectors: DataFrame, words: DataFrame, k: int, n: int) -> DataFrame:
@@ -109,7 +104,7 @@ def public_search(articles: DataFrame, questions: DataFrame, limit: int = 20, ac
     if not 1 <= limit <= 100:
         raise ValueError("the limit must be from 1 to 100")
     best = lexical_candidates(articles, questions, limit, acronym)
-    return best.join(articles.select("id", excerpt(F.col("content"), EXCERPT, "…").alias("excerpt")), "id")
+    return best.join(articles.select("id", excerpt(F.col("content"), EXCERPT).alias("excerpt")), "id")
 
 
 def relevance(results: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import french
 from ..functions import text as T
 from ..functions.json_stream import partial_answer
 from ..operators import answers, corpus, documents, evaluation, layout, ledger, retrieval, rules
@@ -111,11 +112,10 @@ _CANDIDATES = f"""{_ARTICLES},
     q AS (SELECT item_id AS question_id, text AS question, embedding AS vector FROM benchmark LEFT JOIN embeddings ON vec_id = item_id),
     vs AS (SELECT question_id, id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(vector AS DOUBLE[])), 6) AS score FROM live, q WHERE embedding IS NOT NULL AND vector IS NOT NULL),
     v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS rank FROM vs) WHERE rank <= 20),
-    qw AS (SELECT DISTINCT question_id, unnest(string_split_regex(lower(strip_accents(question)), '[^a-z0-9]+')) AS word FROM q),
-    qk AS (SELECT * FROM qw WHERE length(word) >= 2),
-    aw AS (SELECT DISTINCT id, unnest(string_split_regex(lower(strip_accents(content)), '[^a-z0-9]+')) AS word FROM live),
-    ls AS (SELECT question_id, id, round(count(*) / n, 6) AS score FROM aw JOIN qk USING (word) JOIN (SELECT question_id, count(*) AS n FROM qk GROUP BY 1) USING (question_id) GROUP BY question_id, id, n),
-    l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS rank FROM ls) WHERE rank <= 20),
+    qk AS (SELECT DISTINCT question_id, unnest({french.terms_sql("question")}) AS word FROM q),
+    aw AS (SELECT id, len(t) AS length, unnest(t) AS word FROM (SELECT id, {french.terms_sql("content")} AS t FROM live)),
+    ls AS (SELECT question_id, id, count(DISTINCT word) AS matched, count(*) / any_value(length) AS share FROM aw JOIN qk USING (word) GROUP BY question_id, id),
+    l AS (SELECT question_id, id, round(matched + share, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY matched DESC, share DESC, id) AS rank FROM ls) WHERE rank <= 20),
     f AS (SELECT coalesce(v.question_id, l.question_id) AS question_id, coalesce(v.id, l.id) AS id, coalesce(v.score, 0) AS vector_score, coalesce(l.score, 0) AS lexical_score,
         round(coalesce(1 / (60 + v.rank), 0) + coalesce(1 / (60 + l.rank), 0), 9) AS rrf, v.rank AS vr, l.rank AS lr FROM v FULL JOIN l ON v.question_id = l.question_id AND v.id = l.id),
     h AS (SELECT question_id, id, vector_score, lexical_score, rrf, rank FROM

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import french
 from ..functions import text as T
 from ..operators import answers, corpus, deposits, documents, evaluation, ledger, retrieval
 from ..sources.readers import table
@@ -431,11 +432,11 @@ def repair_counts(spark: SparkSession, sf: str) -> DataFrame:
     return documents.repair_counts(table(spark, sf, "documents").select(F.substring("source", 4, 10).cast("long").alias("text_id"), content.alias("content")))
 
 
-@registered("""WITH q AS (SELECT item_id AS question_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(strip_accents(text)), '[^a-z0-9]+'), lambda w: length(w) >= 2))) AS word FROM benchmark),
-    a AS (SELECT doc_id AS id, text, unnest(list_distinct(list_filter(regexp_split_to_array(lower(strip_accents(text)), '[^a-z0-9]+'), lambda w: length(w) >= 2))) AS word FROM documents WHERE doc_id % 5 = 1),
-    s AS (SELECT question_id, id, any_value(text) AS text, count(*) AS n FROM q JOIN a USING (word) GROUP BY 1, 2),
-    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY round(n / (SELECT count(*) FROM q q2 WHERE q2.question_id = s.question_id), 6) DESC, id) AS INTEGER) AS rank FROM s)
-    SELECT question_id, id, rank, md5(CASE WHEN length(text) > 280 THEN text[:280] || '…' ELSE text END) AS excerpt FROM r WHERE rank <= 10""")
+@registered(f"""WITH q AS (SELECT DISTINCT item_id AS question_id, unnest({french.terms_sql("text")}) AS word FROM benchmark),
+    a AS (SELECT id, text, len(t) AS length, unnest(t) AS word FROM (SELECT doc_id AS id, text, {french.terms_sql("text")} AS t FROM documents WHERE doc_id % 5 = 1)),
+    s AS (SELECT question_id, id, any_value(text) AS text, count(DISTINCT word) AS matched, count(*) / any_value(length) AS share FROM q JOIN a USING (word) GROUP BY 1, 2),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY matched DESC, share DESC, id) AS INTEGER) AS rank FROM s)
+    SELECT question_id, id, rank, md5(text[:300]) AS excerpt FROM r WHERE rank <= 10""")
 def public_search(spark: SparkSession, sf: str) -> DataFrame:
     held = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("S"), (F.col("doc_id") % 5).cast("string")).alias("acronym"), F.col("text").alias("content"))
     questions = table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
