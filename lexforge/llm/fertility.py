@@ -16,11 +16,13 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
-from functools import cache, lru_cache
+from collections.abc import Iterator
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ LEAST_WORDS, MOST_REPEATED = 10, 0.20
 _SYMBOLS = b"#*$%&|<>"
 #: Words of a window that counts as repeated.
 _WINDOW = 5
+#: Bytes of texts whose new words are encoded together.
+LEARN_BYTES = 1_000_000
 #: Tokens at which a text is expected to reach its band's entropy; shorter ones, the same share of what their length allows.
 ENTROPY_TOKENS = 1024
 
@@ -55,17 +59,25 @@ BANDS = {
 }
 
 
-@lru_cache(1 << 16)
-def _script(letter: str) -> str:
-    return unicodedata.name(letter, "OTHER").split()[0]
+class _Scripts(dict):
+    """The script of every character met, "" of those that are no letters."""
+
+    def __missing__(self, c: str) -> str:
+        self[c] = script = unicodedata.name(c, "OTHER").split()[0] if c.isalpha() else ""
+        return script
+
+
+_SCRIPTS = _Scripts()
 
 
 def _script_of(word: str) -> tuple[str, int]:
     """The script of most letters of a word, the first by name among equals, and how many they are."""
     if word.isascii():
         return "LATIN", len(word) if word.isalpha() else sum(map(str.isalpha, word))
-    counts = Counter(_script(c) for c in word if c.isalpha())
-    return min(counts.items(), key=lambda x: (-x[1], x[0])) if counts else ("LATIN", 0)
+    of = list(map(_SCRIPTS.__getitem__, word))
+    names = set(of) - {""}
+    n, name = min(((-of.count(name), name) for name in names), default=(0, "LATIN"))
+    return name, -n
 
 
 class Meter:
@@ -78,8 +90,8 @@ class Meter:
 
     def _forget(self) -> None:
         self.places: dict[bytes, int] = {}
-        #: of every word: tokens of A and of B, fallen-back bytes, number of its script, letters
-        self.table = np.zeros((0, 5), np.int64)
+        #: of every word: tokens of A and of B, fallen-back bytes, bytes, number of its script, letters
+        self.table = np.zeros((0, 6), np.int64)
         self.cuts, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def learn(self, words: list[bytes]) -> None:
@@ -89,39 +101,52 @@ class Meter:
         fallen = np.bincount(np.repeat(np.arange(len(words)), n_b), self.b.fallback[ids], minlength=len(words)).astype(np.int64)
         scripts = [_script_of(t) for t in texts]
         numbers = [self.scripts.setdefault(s, len(self.scripts)) for s, _ in scripts]
-        self.table = np.concatenate([self.table, np.stack([n_a, n_b, fallen, np.array(numbers, np.int64), np.array([n for _, n in scripts], np.int64)], axis=1)])
+        self.table = np.concatenate([self.table, np.stack([n_a, n_b, fallen, np.array([len(w) for w in words], np.int64), np.array(numbers, np.int64), np.array([n for _, n in scripts], np.int64)], axis=1)])
         self.places.update(zip(words, range(len(self.places), len(self.places) + len(words))))
         self.cuts = np.concatenate([self.cuts, self.cuts[-1] + np.cumsum(n_b)])
         self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
 
-    def measure(self, word_lists: list[list[bytes]]) -> list[tuple[int, int, int, float, str]]:
-        """Of every text, given by its words: tokens of A and of B, fallen-back bytes, entropy, script."""
-        if len(self.places) > MEMO_ENTRIES or len(self.ids) > 20 * MEMO_ENTRIES:
-            self._forget()
-        known = len(self.places)
-        if new := set().union(*word_lists).difference(self.places):
-            # those that are not remembered come last
-            self.learn(sorted(new, key=lambda w: (len(w) > MEMO_CHARS, w)))
-        names, found = list(self.scripts), []
-        for words in word_lists:
-            if not words:
-                found.append((0, 0, 0, 0.0, "OTHER"))
-                continue
-            place, times = np.unique(np.fromiter(map(self.places.__getitem__, words), np.int64, len(words)), return_counts=True)
-            rows = self.table[place]
-            n_a, n_b, fallen = (rows[:, :3] * times[:, None]).sum(axis=0).tolist()
-            letters = np.bincount(rows[:, 3], rows[:, 4] * times, minlength=len(names))
-            script = min((-n, name) for n, name in zip(letters.tolist(), names))[1] if letters.any() else "OTHER"
-            counts = self.cuts[place + 1] - self.cuts[place]
-            ids = self.ids[np.repeat(self.cuts[place] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
-            shares = np.bincount(ids, np.repeat(times, counts))
-            shares = shares[shares > 0] / max(n_b, 1)
-            found.append((n_a, n_b, fallen, float(-(shares * np.log2(shares)).sum()) + 0.0, script))
-        kept = known + sum(len(w) <= MEMO_CHARS for w in new)
-        if kept < len(self.places):
-            self.places = {w: k for w, k in self.places.items() if k < kept}
-            self.table, self.cuts, self.ids = self.table[:kept], self.cuts[: kept + 1], self.ids[: self.cuts[kept]]
-        return found
+    def measure(self, texts: list[bytes]) -> Iterator[tuple]:
+        """Of every text: words, bytes of words, words in repeated windows, tokens of A and of B, fallen-back bytes, entropy,
+        script."""
+        at = 0
+        while at < len(texts):
+            word_lists, size = [], 0
+            while at < len(texts) and (not word_lists or size + len(texts[at]) <= LEARN_BYTES):
+                size += len(texts[at])
+                word_lists.append(texts[at].split())  # bytes are split at the six blanks of ASCII
+                at += 1
+            if len(self.places) > MEMO_ENTRIES or len(self.ids) > 20 * MEMO_ENTRIES:
+                self._forget()
+            known = len(self.places)
+            new = set().union(*word_lists).difference(self.places)
+            long = [w for w in new if len(w) > MEMO_CHARS]
+            if new:
+                self.learn([*new.difference(long), *long])  # those that are not remembered come last
+            names = list(self.scripts)
+            for words in word_lists:
+                yield self._measured(words, names)
+            if long:
+                kept = known + len(new) - len(long)
+                for w in long:
+                    del self.places[w]
+                self.table, self.cuts, self.ids = self.table[:kept], self.cuts[: kept + 1], self.ids[: self.cuts[kept]]
+
+    def _measured(self, words: list[bytes], names: list[str]) -> tuple:
+        if not words:
+            return 0, 0, 0, 0, 0, 0, 0.0, "OTHER"
+        numbers = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
+        place, times = np.unique(numbers, return_counts=True)
+        rows = self.table[place]
+        n_a, n_b, fallen, size = (times @ rows[:, :4]).tolist()
+        letters = np.bincount(rows[:, 4], rows[:, 5] * times, minlength=len(names))
+        script = min((-n, name) for n, name in zip(letters.tolist(), names))[1] if letters.any() else "OTHER"
+        counts = self.cuts[place + 1] - self.cuts[place]
+        ids = self.ids[np.repeat(self.cuts[place] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
+        shares = np.bincount(ids, np.repeat(times, counts))
+        shares = shares[shares > 0] / max(n_b, 1)
+        again = repeated_words(numbers) if len(place) < len(words) else 0
+        return len(words), size, again, n_a, n_b, fallen, float(-(shares * np.log2(shares)).sum()) + 0.0, script
 
 
 @cache
@@ -133,16 +158,12 @@ def meter_of(path_a: str, path_b: str) -> Meter:
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
-def repeated_words(words: list[bytes]) -> int:
-    """Words in windows of five that stand twice or more, the first time included."""
-    n = len(words) - _WINDOW + 1
+def repeated_words(numbers: np.ndarray) -> int:
+    """Words, given by numbers, in windows of five that stand twice or more, the first time included."""
+    n = len(numbers) - _WINDOW + 1
     if n < 2:
         return 0
-    numbers = {w: k for k, w in enumerate(dict.fromkeys(words), 1)}
-    if len(numbers) == len(words):
-        return 0
-    ids = np.fromiter(map(numbers.__getitem__, words), np.uint64, len(words))
-    spread = ids * np.uint64(0xFF51AFD7ED558CCD)
+    spread = (numbers.astype(np.uint64) + np.uint64(1)) * np.uint64(0xFF51AFD7ED558CCD)
     spread ^= spread >> np.uint64(32)
     hashes = sum(spread[k : k + n] * _FACTORS[k] for k in range(_WINDOW))
     order = np.argsort(hashes, kind="stable")
@@ -152,12 +173,13 @@ def repeated_words(words: list[bytes]) -> int:
         return 0
     a, b = a[same], b[same]
     again = np.zeros(n, bool)
-    if all((ids[a + k] == ids[b + k]).all() for k in range(_WINDOW)):
+    if all((numbers[a + k] == numbers[b + k]).all() for k in range(_WINDOW)):
         again[a] = again[b] = True
     else:  # different windows share a hash
-        counts = Counter(zip(*(ids[k : k + n].tolist() for k in range(_WINDOW))))
-        again[:] = [counts[w] > 1 for w in zip(*(ids[k : k + n].tolist() for k in range(_WINDOW)))]
-    edges = np.zeros(len(words) + 1, np.int64)
+        windows = list(zip(*(numbers[k : k + n].tolist() for k in range(_WINDOW))))
+        counts = Counter(windows)
+        again[:] = [counts[w] > 1 for w in windows]
+    edges = np.zeros(len(numbers) + 1, np.int64)
     at = np.flatnonzero(again)
     edges[at] += 1
     edges[at + _WINDOW] -= 1
@@ -184,12 +206,11 @@ def measure(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [t or b"" for t in batch.column(1).to_pylist()]
-            word_lists = [t.split() for t in texts]  # bytes are split at the six blanks of ASCII
+            chars = pc.fill_null(pc.utf8_length(batch.column(1).cast(pa.string())), 0).to_pylist()
             rows = []
-            for text, words, measured in zip(texts, word_lists, meter.measure(word_lists)):
-                chars = len(text.decode()) - (len(text) - sum(map(len, words)))
+            for text, n_chars, (n, size, again, *measured) in zip(texts, chars, meter.measure(texts)):
                 symbols = len(text) - len(text.translate(None, _SYMBOLS))
-                rows.append((len(words), chars, symbols, repeated_lines(text), repeated_words(words), *measured))
+                rows.append((n, n_chars - (len(text) - size), symbols, repeated_lines(text), again, *measured))
             names, kinds = zip(*(c.split() for c in _MEASURES.split(", ")))
             of = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
             columns = [pa.array(c, of[k]) for c, k in zip(zip(*rows) if rows else ([],) * len(names), kinds)]
