@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import scans
 
 # Thresholds of the checks and of header removal.
 SHORTEST, LONGEST, WITHOUT_PATH, MOST_DEPTHS = 40, 12_000, 0.02, 3
@@ -18,6 +19,8 @@ LEAST_PAGES, EDGE_LINES, REPEAT_SHARE = 4, 3, 0.3
 SCANNED_CHARS_PER_PAGE = 100
 #: Places of a version's chunks that are numbered together.
 PLACES = 10_000
+#: Lines of a document that are read together; what a reader carries on from them is handed to the next ones.
+BLOCK_LINES = 20_000
 
 
 def numbered_lines(df: DataFrame, text_col: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -25,12 +28,20 @@ def numbered_lines(df: DataFrame, text_col: str = "text", keys: tuple[str, ...]
     return df.select(*keys, F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
 
 
+def in_blocks(lines: DataFrame) -> DataFrame:
+    """lines(doc_id, line_no) with block, dealt out by document and block, so that a long document is many tasks' work."""
+    return scans.in_blocks(lines, "doc_id", F.floor(F.col("line_no") / BLOCK_LINES))
+
+
+def _paged(lines: DataFrame) -> DataFrame:
+    marker = F.regexp_extract("line", T.PAGE_MARKER, 1)
+    marked = scans.scanned(in_blocks(lines.withColumn("marker", marker)), "doc_id", "line_no", {"page_no": F.when(F.col("marker") != "", F.col("marker").cast("int"))})
+    return marked.where(F.col("marker") == "").drop("marker").withColumn("page_no", F.coalesce("page_no", F.lit(0)))
+
+
 def paged_lines(df: DataFrame) -> DataFrame:
     """doc_id, page_no, line_no and line of texts with page markers; lines before the first marker are on page 0."""
-    marked = numbered_lines(df).withColumn("marker", F.regexp_extract("line", T.PAGE_MARKER, 1))
-    so_far = Window.partitionBy("doc_id").orderBy("line_no")
-    page = F.last(F.when(F.col("marker") != "", F.col("marker").cast("int")), ignorenulls=True).over(so_far)
-    return marked.withColumn("page_no", F.coalesce(page, F.lit(0))).where(F.col("marker") == "").drop("marker")
+    return _paged(numbered_lines(df)).select("doc_id", "page_no", "line_no", "line")
 
 
 def assembled_text(pages: DataFrame) -> DataFrame:
@@ -79,30 +90,33 @@ def without_noise_lines(pages: DataFrame) -> DataFrame:
 
 
 def articles(df: DataFrame, first_page: int = 1, last_page: int | None = None) -> DataFrame:
-    """doc_id, seq, number, path, content and page of the articles of texts with page markers.
+    """doc_id, seq, number, path, content and page of the articles of texts with page markers."""
+    return articles_of_lines(numbered_lines(df), first_page, last_page)
+
+
+def articles_of_lines(lines: DataFrame, first_page: int = 1, last_page: int | None = None) -> DataFrame:
+    """`articles` of lines(doc_id, line_no, line), as a reader of text files gives them.
 
     The state that a reader would carry from line to line, which is the page, the open headings and the open article, is
-    the last of its kind so far; a heading closes those below it. Lines before the first article belong to none."""
+    the last of its kind so far; a heading closes those below it. Lines before the first article belong to none. An
+    article's lines are joined block by block first."""
     span = F.col("page_no").between(first_page, last_page if last_page is not None else 1 << 30)
-    lines = paged_lines(df).where(span).withColumn("line", T.clean_line(F.col("line"))).where(~F.col("line").rlike(T.CONTENTS_LINE))
-    lines = lines.withColumn("level", T.level_of(F.col("line"))).withColumn("number", F.when(F.col("level").isNull(), T.article_number(F.col("line"))))
-    so_far = Window.partitionBy("doc_id").orderBy("line_no")
-    at = lambda level: F.max(F.when(F.col("level") == level, F.col("line_no"))).over(so_far)
-    label = lambda level: F.last(F.when(F.col("level") == level, T.level_label(F.col("line"), level)), ignorenulls=True).over(so_far)
-    for level in T.LEVELS:
-        lines = lines.withColumn(f"{level}_at", at(level)).withColumn(f"{level}_label", label(level))
+    read = _paged(lines.select("doc_id", "line_no", "line")).where(span).withColumn("line", T.clean_line(F.col("line"))).where(~F.col("line").rlike(T.CONTENTS_LINE))
+    read = read.withColumn("level", T.level_of(F.col("line"))).withColumn("number", F.when(F.col("level").isNull(), T.article_number(F.col("line"))))
+    heading = lambda level: F.when(F.col("level") == level, F.struct(F.col("line_no").alias("at"), T.level_label(F.col("line"), level).alias("label")))
+    read = scans.scanned(read, "doc_id", "line_no", {level: heading(level) for level in T.LEVELS}, {"seq": F.col("number")})
     open_labels = []
     for i, level in enumerate(T.LEVELS):
-        later = [F.coalesce(F.col(f"{x}_at"), F.lit(-1)) for x in T.LEVELS[:i]]
+        later = [F.coalesce(F.col(f"{x}.at"), F.lit(-1)) for x in T.LEVELS[:i]]
         above = reduce(F.greatest, later) if later else F.lit(-1)
-        open_labels.append(F.when(F.col(f"{level}_at") > above, F.col(f"{level}_label")))
-    lines = lines.withColumn("path", F.concat_ws(" > ", *open_labels)).withColumn("seq", F.count("number").over(so_far))
-    body = lines.where((F.col("seq") > 0) & F.col("level").isNull())
+        open_labels.append(F.when(F.col(f"{level}.at") > above, F.col(f"{level}.label")))
+    body = read.withColumn("path", F.concat_ws(" > ", *open_labels)).where((F.col("seq") > 0) & F.col("level").isNull())
     part = F.when(F.col("number").isNotNull(), T.header_rest(F.col("line"))).otherwise(F.col("line"))
-    parts = F.array_sort(F.collect_list(F.struct("line_no", part.alias("part"))))
-    content = T.collapsed(F.array_join(F.transform(parts, lambda x: x["part"]), " "))
-    head = lambda c: F.min_by(c, "line_no")
-    return body.groupBy("doc_id", "seq").agg(head("number").alias("number"), head("path").alias("path"), content.alias("content"), head("page_no").alias("page"))
+    in_order = lambda of: F.array_join(F.transform(F.array_sort(F.collect_list(of)), lambda x: x["part"]), " ")
+    head = lambda c: F.min_by(c, "line_no").alias(c)
+    parts = body.groupBy("doc_id", "seq", "block").agg(F.min("line_no").alias("line_no"), head("number"), head("path"), head("page_no"), in_order(F.struct("line_no", part.alias("part"))).alias("part"))
+    whole = parts.groupBy("doc_id", "seq").agg(head("number"), head("path"), T.collapsed(in_order(F.struct("block", "part"))).alias("content"), F.min_by("page_no", "line_no").alias("page"))
+    return whole.select("doc_id", "seq", "number", "path", "content", "page")
 
 
 def _problem(code: str, level: str | Column, n: Column, sample: Column) -> list[Column]:
