@@ -1,4 +1,4 @@
-"""Vectors for articles as they arrive, and a stream's answers as far as they have come."""
+"""Vectors for articles as they arrive; what of a reply is shown is in `replies`."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.json_stream import partial_answer
+from .replies import shown_answers  # noqa: F401
 
 #: Texts a provider is given at once.
 BATCH = 16
@@ -40,15 +40,3 @@ def vectorise_stream(articles: DataFrame, embed: Callable[[list[str]], list[list
         embedded(waiting, embed, dims).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return articles.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def shown_answers(fragments: DataFrame) -> DataFrame:
-    """reply_id, seq and shown of fragments(reply_id, seq, fragment): what of the answer has safely arrived by each fragment
-    that lengthens it."""
-    from pyspark.sql import Window
-
-    so_far = Window.partitionBy("reply_id").orderBy("seq")
-    joined = fragments.withColumn("raw", F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "fragment")).over(so_far)), lambda x: x["fragment"]), ""))
-    answers = joined.select("reply_id", "seq", partial_answer(F.col("raw")).alias("shown"))
-    before = F.coalesce(F.lag("shown").over(so_far), F.lit(""))
-    return answers.withColumn("__before", before).where(F.length("shown") > F.length("__before")).drop("__before")
