@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
+
+#: Articles of a range that are read together, and the most ranges.
+RANGE, MOST_RANGES = 100_000, 200
 # Fixed values.
 TURNS, HIGHLIGHTS, JOURNAL_ROWS, REGISTER_ROWS = 6, 8, 50, 200
 
@@ -42,14 +46,15 @@ def article_of(articles: DataFrame, texts: DataFrame, acronym: str, number: str)
     return live.join(texts.where(F.col("acronym") == acronym).select(F.col("id").alias("text_id")), "text_id", "left_semi").orderBy("id").limit(1)
 
 
-def neighbours(articles: DataFrame) -> DataFrame:
-    """id, previous and next article in force of the same text, for articles in force and closed ones."""
+def neighbours(articles: DataFrame, parts: int | None = None) -> DataFrame:
+    """id, previous and next article in force of the same text, for articles in force and closed ones.
+
+    A text's articles are read in ranges of ids, each of which is told what stands at the ends of the others; parts: how
+    many, by default one for each RANGE articles."""
+    parts = parts or max(1, articles.count() // RANGE)
     live = F.when(F.col("repealed_on").isNull(), F.col("id"))
-    by = Window.partitionBy("text_id").orderBy("id")
-    before = F.last(live, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    # the other way round, as a frame that reaches to the end would be gone through anew for every row
-    after = F.last(live, ignorenulls=True).over(Window.partitionBy("text_id").orderBy(F.desc("id")).rowsBetween(Window.unboundedPreceding, -1))
-    return articles.select("id", before.alias("previous"), after.alias("next"))
+    blocks = scans.in_blocks(articles.select("text_id", "id", "repealed_on"), "text_id", scans.ranges(articles, "id", min(parts, MOST_RANGES)))
+    return scans.scanned(blocks, "text_id", "id", previous={"previous": live}, following={"next": live}).select("id", "previous", "next")
 
 
 def outline(articles: DataFrame) -> DataFrame:
@@ -105,8 +110,8 @@ def rating_summary(ratings: DataFrame) -> DataFrame:
 
 
 def latest_reviews(ratings: DataFrame, users: DataFrame) -> DataFrame:
-    """ratings(user_id, created_at, modified_at, …) with the email of their authors, if these still exist, the latest first."""
-    joined = ratings.join(users.select("user_id", "email"), "user_id", "left")
+    """ratings(user_id, created_at, modified_at, …) of users that exist, with their email, the latest first."""
+    joined = ratings.join(users.select("user_id", "email"), "user_id")
     return joined.orderBy(F.desc(F.coalesce("modified_at", "created_at")), "user_id")
 
 
@@ -130,16 +135,22 @@ def size_summary(articles: DataFrame) -> DataFrame:
 
 
 def text_spans(articles: DataFrame) -> DataFrame:
-    """text_id, n, the first and last number (by id) and the first and last page of articles(text_id, id, number, page)."""
-    return articles.groupBy("text_id").agg(F.count("*").alias("n"), F.min_by("number", "id").alias("first_number"), F.max_by("number", "id").alias("last_number"), F.min("page").alias("first_page"), F.max("page").alias("last_page"))
+    """text_id, n, the first and last number (by id) and the first and last page of articles(text_id, id, number, page); page 0
+    is none."""
+    return articles.groupBy("text_id").agg(F.count("*").alias("n"), F.min_by("number", "id").alias("first_number"), F.max_by("number", "id").alias("last_number"), F.min(F.when(F.col("page") > 0, F.col("page"))).alias("first_page"), F.max(F.when(F.col("page") > 0, F.col("page"))).alias("last_page"))
 
 
 def sampled(articles: DataFrame, size: int, seed: int) -> DataFrame:
-    """A reproducible sample of each text: its first and last article, and others in the order of a hash."""
-    by = Window.partitionBy("text_id")
-    ends = (F.col("id") == F.min("id").over(by)) | (F.col("id") == F.max("id").over(by))
-    order = by.orderBy(F.desc("__end"), F.xxhash64(F.lit(seed), F.col("id")))
-    return articles.withColumn("__end", ends).withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= size).drop("__end", "__r").orderBy("text_id", "id")
+    """A reproducible sample of each text: its first and last article, and others in the order of a hash.
+
+    Every task hands on no more than `size` articles of a text, and its first and last."""
+    ends = articles.groupBy("text_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).select("text_id", F.explode(F.array("a", "b")).alias("id")).distinct()
+    hashed = Window.partitionBy("text_id").orderBy(F.xxhash64(F.lit(seed), F.col("id")))
+    least = articles.select("text_id", "id").withColumn("__r", F.row_number().over(hashed)).where(F.col("__r") <= size).select("text_id", "id")
+    both = ends.withColumn("__end", F.lit(1)).unionByName(least.withColumn("__end", F.lit(0))).groupBy("text_id", "id").agg(F.max("__end").alias("__end"))
+    order = Window.partitionBy("text_id").orderBy(F.desc("__end"), F.xxhash64(F.lit(seed), F.col("id")))
+    chosen = both.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= size).select("text_id", "id")
+    return articles.join(chosen, ["text_id", "id"], "left_semi").select(*articles.columns).orderBy("text_id", "id")
 
 
 def versions_cited(citations: DataFrame, articles: DataFrame, texts: DataFrame) -> DataFrame:

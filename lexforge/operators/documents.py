@@ -119,31 +119,41 @@ def articles_of_lines(lines: DataFrame, first_page: int = 1, last_page: int | No
     return whole.select("doc_id", "seq", "number", "path", "content", "page")
 
 
-def _problem(code: str, level: str | Column, n: Column, sample: Column) -> list[Column]:
-    level = F.lit(level) if isinstance(level, str) else level
-    return [F.lit(code).alias("code"), level.alias("level"), n.cast("long").alias("n"), sample.alias("sample")]
+#: Numbers that a problem shows.
+SAMPLE = 20
+
+
+def _smallest(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, and sample: the SAMPLE smallest values of rows, which are distinct. Tasks hand on no more than that of each."""
+    ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(value))).where(F.col("__r") <= SAMPLE)
+    return ranked.groupBy(*by).agg(F.array_sort(F.collect_list(value)).alias("sample"))
 
 
 def problems(chunks: DataFrame) -> DataFrame:
-    """doc_id, code, level ("blocking" or "warning"), n and sample of the problems of articles(doc_id, number, path, content)."""
-    c = chunks.withColumn("series", T.series_of(F.col("number"))).withColumn("whole", T.integer_of(F.col("number"))).withColumn("repealed", T.is_repealed_text(F.col("content")))
-    sample = lambda x: F.slice(F.array_sort(F.collect_set(x)), 1, 20)
-    twice = c.groupBy("doc_id", "number").count().where("count > 1").groupBy("doc_id").agg(F.count("*").alias("n"), sample("number").alias("s"))
-    unread = c.where("series IS NULL").groupBy("doc_id").agg(F.count("*").alias("n"), sample("number").alias("s"))
-    short = c.where(~F.col("repealed") & (F.length("content") < SHORTEST)).groupBy("doc_id").agg(F.count("*").alias("n"), sample("number").alias("s"))
-    long = c.where(~F.col("repealed") & (F.length("content") > LONGEST)).groupBy("doc_id").agg(F.count("*").alias("n"), sample("number").alias("s"))
-    gone = c.where("repealed").groupBy("doc_id").agg(F.count("*").alias("n"), sample("number").alias("s"))
-    shares = c.groupBy("doc_id").agg(F.count_if(F.trim("path") == "").alias("n"), F.count("*").alias("all"), sample(F.when(F.trim("path") == "", F.col("number"))).alias("s")).where("n > 0")
-    depths = c.where("path <> ''").groupBy("doc_id").agg(F.countDistinct(F.size(F.split("path", " > "))).alias("n"), F.array().cast("array<string>").alias("s")).where(F.col("n") > MOST_DEPTHS)
-    holes = series_gaps(c.select("doc_id", "series", "whole")).groupBy("doc_id", "series").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set(F.concat("series", F.col("missing").cast("string")))), 1, 20).alias("s"))
-    n, s = F.col("n"), F.col("s")
-    found = [
-        twice.select("doc_id", *_problem("duplicate", "blocking", n, s)), unread.select("doc_id", *_problem("unreadable", "blocking", n, s)),
-        holes.select("doc_id", *_problem("gap", "blocking", n, s)), short.select("doc_id", *_problem("short", "blocking", n, s)),
-        long.select("doc_id", *_problem("long", "blocking", n, s)), gone.select("doc_id", *_problem("repealed", "warning", n, s)),
-        shares.select("doc_id", *_problem("no_path", F.when(n > WITHOUT_PATH * F.col("all"), "blocking").otherwise("warning"), n, s)), depths.select("doc_id", *_problem("depths", "warning", n, s)),
-    ]
-    return reduce(DataFrame.unionByName, found)
+    """doc_id, code, level ("blocking" or "warning"), n and sample (the SAMPLE smallest numbers, or missing ones) of the
+    problems of articles(doc_id, number, path, content).
+
+    One pass over the articles brings each number's down to a row; everything else is counted from those."""
+    repealed, length, depth = T.is_repealed_text(F.col("content")), F.length("content"), F.size(F.split("path", " > "))
+    numbers = chunks.groupBy("doc_id", "number").agg(
+        F.count("*").alias("all"), F.count_if(T.series_of(F.col("number")).isNull()).alias("unreadable"), F.count_if(~repealed & (length < SHORTEST)).alias("short"),
+        F.count_if(~repealed & (length > LONGEST)).alias("long"), F.count_if(repealed).alias("repealed"), F.count_if(F.trim("path") == "").alias("no_path"),
+        F.collect_set(F.when(F.col("path") != "", depth)).alias("depths"),
+    )
+    twice = F.when(F.col("all") > 1, 1).otherwise(0)
+    named = {"duplicate": twice, "unreadable": F.col("unreadable"), "short": F.col("short"), "long": F.col("long"), "repealed": F.col("repealed"), "no_path": F.col("no_path")}
+    found = numbers.select("doc_id", "number", F.explode(F.array(*(F.struct(F.lit(code).alias("code"), n.cast("long").alias("n")) for code, n in named.items()))).alias("f"))
+    found = found.where("f.n > 0").select("doc_id", "f.code", "f.n", "number")
+    counted = found.groupBy("doc_id", "code").agg(F.sum("n").alias("n"))
+    shown = counted.join(_smallest(found.where("number IS NOT NULL"), ["doc_id", "code"], "number"), ["doc_id", "code"], "left").withColumn("sample", F.coalesce("sample", F.array().cast("array<string>")))
+    sizes = numbers.groupBy("doc_id").agg(F.sum("all").alias("all"))
+    few = (F.col("code") == "repealed") | ((F.col("code") == "no_path") & (F.col("n") <= WITHOUT_PATH * F.col("all")))
+    listed = shown.join(sizes, "doc_id").select("doc_id", "code", F.when(few, "warning").otherwise("blocking").alias("level"), "n", "sample")
+    deep = numbers.select("doc_id", F.explode("depths").alias("depth")).distinct().groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > MOST_DEPTHS)
+    deep = deep.select("doc_id", F.lit("depths").alias("code"), F.lit("warning").alias("level"), "n", F.array().cast("array<string>").alias("sample"))
+    holes = series_gaps(numbers.select("doc_id", T.series_of(F.col("number")).alias("series"), T.integer_of(F.col("number")).alias("whole"))).withColumn("number", F.concat("series", F.col("missing").cast("string")))
+    gaps = holes.groupBy("doc_id", "series").agg(F.count("*").alias("n")).join(_smallest(holes, ["doc_id", "series"], "number"), ["doc_id", "series"])
+    return listed.unionByName(deep).unionByName(gaps.select("doc_id", F.lit("gap").alias("code"), F.lit("blocking").alias("level"), "n", "sample"))
 
 
 def series_gaps(numbers: DataFrame) -> DataFrame:

@@ -66,7 +66,7 @@ def versions_cited(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.versions_cited(_cited(spark, sf), _articles(spark, sf), _texts(spark, sf)).select("message_id", F.array_join("versions", ", ").alias("versions"))
 
 
-@registered("""SELECT event_id, user_id, event_id % 4 = 0 AS revised, email FROM events LEFT JOIN (SELECT c_custkey AS user_id, c_name || '@Example.org' AS email FROM customer) USING (user_id) WHERE event_type = 'click'""")
+@registered("""SELECT event_id, user_id, event_id % 4 = 0 AS revised, email FROM events JOIN (SELECT c_custkey AS user_id, c_name || '@Example.org' AS email FROM customer) USING (user_id) WHERE event_type = 'click'""")
 def reviews_with_users(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").where("event_type = 'click'")
     rated = e.select("event_id", "user_id", F.col("ts").alias("created_at"), F.when(F.col("event_id") % 4 == 0, F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("modified_at"))
@@ -411,7 +411,7 @@ def rewrites_guarded(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select(i.alias("id"), retrieval.guarded(made, o, retrieval.REWRITE_BOUNDS).alias("kept"))
 
 
-@registered("""SELECT CAST(substr(source, 4) AS BIGINT) AS text_id, count(*) AS n, min(doc_id) AS first_number, max(doc_id) AS last_number, CAST(min(doc_id % 90) AS INTEGER) AS first_page, CAST(max(doc_id % 90) AS INTEGER) AS last_page FROM documents GROUP BY 1""")
+@registered("""SELECT CAST(substr(source, 4) AS BIGINT) AS text_id, count(*) AS n, min(doc_id) AS first_number, max(doc_id) AS last_number, CAST(min(nullif(doc_id % 90, 0)) AS INTEGER) AS first_page, CAST(max(nullif(doc_id % 90, 0)) AS INTEGER) AS last_page FROM documents GROUP BY 1""")
 def text_spans(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select(F.substring("source", 4, 10).cast("long").alias("text_id"), F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("number"), (F.col("doc_id") % 90).cast("int").alias("page"))
     spans = corpus.text_spans(d)
@@ -441,3 +441,19 @@ def public_search(spark: SparkSession, sf: str) -> DataFrame:
     held = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("S"), (F.col("doc_id") % 5).cast("string")).alias("acronym"), F.col("text").alias("content"))
     questions = table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
     return retrieval.public_search(held, questions, 10, "S1").withColumn("excerpt", F.md5("excerpt")).select("question_id", "id", "rank", "excerpt")
+
+
+@registered("""WITH c AS (
+        SELECT CAST(substr(source, 4) AS BIGINT) AS doc_id, CASE WHEN doc_id % 13 = 0 THEN 'annexe' || doc_id % 3 ELSE CAST(doc_id % 50 AS VARCHAR) END AS number, array_to_string(list_transform(range(doc_id % 6), lambda x: 'p'), ' > ') AS path FROM documents),
+    t AS (SELECT doc_id, number FROM c GROUP BY ALL HAVING count(*) > 1),
+    d AS (SELECT doc_id, count(DISTINCT len(string_split(path, ' > '))) AS n FROM c WHERE path <> '' GROUP BY doc_id)
+    SELECT doc_id, 'duplicate' AS code, 'blocking' AS level, count(*) AS n, array_to_string(list_slice(list_sort(list(number)), 1, 20), ',') AS sample FROM t GROUP BY doc_id
+    UNION ALL SELECT doc_id, 'unreadable', 'blocking', count(*), array_to_string(list_sort(list_distinct(list(number))), ',') FROM c WHERE number LIKE 'annexe%' GROUP BY doc_id
+    UNION ALL SELECT doc_id, 'depths', 'warning', n, '' FROM d WHERE n > 3""")
+def article_checks(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("doc_id")
+    number = F.when(i % 13 == 0, F.concat(F.lit("annexe"), (i % 3).cast("string"))).otherwise((i % 50).cast("string"))
+    path = F.array_join(F.array_repeat(F.lit("p"), (i % 6).cast("int")), " > ")
+    chunks = table(spark, sf, "documents").select(F.substring("source", 4, 10).cast("long").alias("doc_id"), number.alias("number"), path.alias("path"), F.lit("a text that is long enough to be no problem").alias("content"))
+    found = documents.problems(chunks).where(F.col("code").isin("duplicate", "unreadable", "depths"))
+    return found.select("doc_id", "code", "level", "n", F.array_join("sample", ",").alias("sample"))
