@@ -41,6 +41,8 @@ _UNSEEN = 1e-8
 _LONG = 30
 #: Words whose segmentations are laid out at once.
 _TOGETHER = 4096
+#: Texts of a column that are in memory as such at once.
+_PART = 1000
 
 
 @cache
@@ -262,6 +264,12 @@ class Scorer:
         return languages, scores
 
 
+    def predict_column(self, texts: pa.Array) -> tuple[list[str], list[float]]:
+        """`predict` of a column, a part at a time."""
+        parts = [self.predict(texts.slice(at, _PART).to_pylist()) for at in range(0, len(texts), _PART)]
+        return [x for p in parts for x in p[0]], [x for p in parts for x in p[1]]
+
+
 #: The scorer of the model used last in this worker, so that tasks that follow one another share what it remembers.
 _LAST: dict[str, Scorer] = {}
 
@@ -281,7 +289,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         scorer = _scorer(shared.value)
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            languages, scores = scorer.predict(batch.column(1).to_pylist())
+            languages, scores = scorer.predict_column(batch.column(1))
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(languages, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
         return one
@@ -300,7 +308,7 @@ def keep_determined(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
         scorer = _scorer(shared.value)
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            languages, scores = scorer.predict(batch.column(at).to_pylist())
+            languages, scores = scorer.predict_column(batch.column(at))
             return batch.filter(pa.array([language != UNDETERMINED and score > least for language, score in zip(languages, scores)], pa.bool_()))
 
         return one

@@ -40,6 +40,8 @@ from .signature_tree import LEAF, SignatureTree, bitmaps, link, needed
 
 #: Min-hash keys of a set, each of two minima; sets, and bytes of them, that one group of step 2 joins, about.
 KEYS, CHUNK, CHUNK_BYTES = 3, 256, 16_000_000
+#: Rows whose shingle sets a task holds at once when it profiles them.
+SLICE = 2000
 #: The largest block of spans that is met at once in step 3; a span is a bitmap and a few numbers.
 BLOCK = 1024
 #: Shingles of a span, at most, and bits of its bitmap; where groups are tested beyond their nearest pair, it has FINE bits.
@@ -74,7 +76,7 @@ def _profiles(docs: DataFrame, words: int) -> DataFrame:
     """A row for each document (doc_id, n, digest, keys), and one for each shingle in several sets of a batch (h, c)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             ids, sizes, digests, keys, sets = [], [], [], [], []
             for doc_id, s in _sets(batch, words):
                 digest = _digest(s)
