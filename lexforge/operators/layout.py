@@ -1,24 +1,28 @@
 """Reading order of word boxes, and repair of words broken by hyphens.
 
-Both depend on what came before on the same page or in the same document, so they run on one page's or
-one document's rows at a time; Spark deals pages and documents out.
+The order of words depends on what came before on the same page, so that runs on one page's rows at a time; Spark
+deals pages out. Hyphens are repaired by joins and running values over all lines.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Collection
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.kept import kept
+from . import scans
+from .documents import BLOCK_LINES
 
 # Column detection and the words by which a doubtful hyphen is kept.
 LEAST_WORDS, STEP, GUTTER, CENTRE, SIDE = 20, 2.0, 18.0, (0.35, 0.65), 0.2
 LINE_TOLERANCE = 3.0
-KEPT_AFTER = "ci non main sous demi semi mi quasi ex vis au par contre avant apres nu grand celui celle ceux celles lui elle elles eux soi".split()
-KEPT_BEFORE = "ci la meme memes même mêmes ce il ils elle elles on vous nous y dessus dessous apres après joint jointe contre delà dela".split()
+KEPT_AFTER = ["ci", "non", "main", "sous", "demi", "semi", "mi", "quasi", "ex", "vis", "au", "par", "contre", "avant", "apres", "nu", "grand", "celui", "celle", "ceux", "celles", "lui", "elle", "elles", "eux", "soi"]
+KEPT_BEFORE = ["ci", "la", "meme", "memes", "même", "mêmes", "ce", "il", "ils", "elle", "elles", "on", "vous", "nous", "y", "dessus", "dessous", "apres", "après", "joint", "jointe", "contre", "delà", "dela"]
 
 
 def gutters(words: DataFrame) -> DataFrame:
@@ -73,64 +77,137 @@ def page_lines(words: DataFrame, tolerance: float = LINE_TOLERANCE) -> DataFrame
     return placed.groupBy("doc_id", "page_no").applyInPandas(lines, "doc_id long, page_no int, line_no int, line string")
 
 
-_LETTERS = "A-Za-zÀ-ÿ"
-_BROKEN, _NEXT = re.compile(rf"([{_LETTERS}]{{2,}})-$"), re.compile(r"^([a-zà-ÿ]+)(.*)$", re.S)
-_INLINE = re.compile(rf"([{_LETTERS}]{{2,}})- ([a-zà-ÿ]+)")
-_WHOLE, _COMPOUND = re.compile(rf"(?<![-\w])[{_LETTERS}]{{2,}}(?![-\w])"), re.compile(rf"[{_LETTERS}]+-[{_LETTERS}]+")
+# A word broken at a line's end, what goes on with it, a word broken within a line, a compound, and a whole word.
+BROKEN = r"[A-Za-zÀ-ÿ]{2,}-$"
+GOES_ON = r"^[a-zà-ÿ]+"
+INLINE = r"([A-Za-zÀ-ÿ]{2,})- ([a-zà-ÿ]+)"
+COMPOUND = r"[A-Za-zÀ-ÿ]+-[A-Za-zÀ-ÿ]+"
+WHOLE = r"^[A-Za-zÀ-ÿ]{2,}$"
+BETWEEN_WORDS = r"[^-\p{L}\p{N}_]+"
+_TAIL, _ONE_LETTER, _INLINE = re.compile("[A-Za-zÀ-ÿ]{2,}(?=-$)"), r"^\s*[a-zà-ÿ]-\s*$", re.compile(INLINE)
+_HEAD, _WORDS = re.compile(GOES_ON), re.compile(r"[-\w]+")
 
+Found = Collection[str]
 
-class Hyphens:
-    """Decides by a document's own words whether two halves are one word or a compound."""
 
-    def __init__(self, text: str):
-        self.whole = {w.lower() for w in _WHOLE.findall(text)}
-        self.compound = {w.lower() for w in _COMPOUND.findall(text)}
+def _union(left: str, right: str, found: Found) -> str:
+    """Two halves as the document's own words have it: one word if that stands elsewhere, a compound if that does, or if
+    either half is one that usually keeps its hyphen. found: the document's words among those that `halves` asks for."""
+    one, two = (left + right).lower(), f"{left}-{right}".lower()
+    compound = one not in found and (two in found or left.lower() in KEPT_AFTER or right.lower() in KEPT_BEFORE)
+    return f"{left}-{right}" if compound else left + right
 
-    def joined(self, left: str, right: str) -> str:
-        a, b = left.lower(), right.lower()
-        if a + b in self.whole:
-            return left + right
-        keep = f"{a}-{b}" in self.compound or a in KEPT_AFTER or b in KEPT_BEFORE
-        return f"{left}-{right}" if keep else left + right
+
+def halves(chain: list[str]) -> set[str]:
+    """The words, whole and compound, that may have to be looked up to join the lines of a chain. A line that is but a piece of
+    a word leaves two readings of what stands before the next one."""
+    asked, ends = set(), {chain[0].rstrip()}
+    for line in chain[1:]:
+        rest, after = line.lstrip(), set()
+        right = _HEAD.match(rest)[0]
+        for text in ends:
+            if tail := _TAIL.search(text):
+                asked |= {(tail[0] + right).lower(), f"{tail[0]}-{right}".lower()}
+                after |= {tail[0] + rest.rstrip(), f"-{rest.rstrip()}"}
+            else:
+                after.add(rest.rstrip())
+        ends = {text if (tail := _TAIL.search(text)) is None else text[max(0, tail.start() - 1) :] for text in after}
+    return asked
+
+
+def joined_chain(chain: list[str], found: Found) -> tuple[list[str], int]:
+    """The lines of a chain, each moved up behind the hyphen before it and leaving a blank line, and how many were."""
+    out, at, n = list(chain), 0, 0
+    for k in range(1, len(chain)):
+        rest, text = chain[k].lstrip(), out[at].rstrip()
+        if tail := _TAIL.search(text):
+            right = _HEAD.match(rest)[0]
+            out[at] = text[: tail.start()] + _union(tail[0], right, found) + rest[len(right) :]
+            out[k], n = "", n + 1
+        else:
+            at = k
+    return out, n
+
+
+def joined_inline(text: str, found: Found) -> str:
+    return _INLINE.sub(lambda m: _union(m[1], m[2], found), text)
+
+
+def _asked_inline(text: str) -> list[str]:
+    return [w for a, b in _INLINE.findall(text) for w in ((a + b).lower(), f"{a}-{b}".lower())]
 
 
 def repair_pages(pages: list[str]) -> tuple[list[str], int]:
-    """Pages with words that end in a hyphen joined to what follows, over page ends too, and the number of repairs.
-
-    The line that follows moves up whole and leaves a blank one; this goes on while the joined line again ends so."""
-    judge, lines = Hyphens(" ".join(pages)), [(p, line) for p, page in enumerate(pages) for line in page.split("\n")]
-    texts, repairs = [line for _, line in lines], 0
-    filled = [i for i, t in enumerate(texts) if t.strip()]
-    k = 0
-    while k + 1 < len(filled):
-        here, after = filled[k], filled[k + 1]
-        end, start = _BROKEN.search(texts[here].rstrip()), _NEXT.match(texts[after].lstrip())
-        if not (end and start):
-            k += 1
-            continue
-        texts[here] = texts[here].rstrip()[: end.start()] + judge.joined(end[1], start[1]) + start[2]
-        texts[after] = ""
-        del filled[k + 1]
-        repairs += 1
-    for i, text in enumerate(texts):
-        texts[i], n = _INLINE.subn(lambda m: judge.joined(m[1], m[2]), text)
+    """What `without_hyphens` makes of one document's pages, and the number of repairs."""
+    whole = " ".join(pages)
+    found = {w.lower() for w in _WORDS.findall(whole) if re.match(WHOLE, w)} | {w.lower() for w in re.findall(COMPOUND, whole)}
+    places = [(p, k) for p, page in enumerate(pages) for k in range(page.count("\n") + 1)]
+    texts = dict(zip(places, "\n".join(pages).split("\n")))
+    chains: list[list[tuple[int, int]]] = []
+    for place in (x for x in places if texts[x].strip()):
+        before = texts[chains[-1][-1]].rstrip() if chains else ""
+        if re.search(BROKEN, before) or re.match(_ONE_LETTER, before):
+            if _HEAD.match(texts[place].lstrip()):
+                chains[-1].append(place)
+                continue
+        chains.append([place])
+    repairs = 0
+    for chain in chains:
+        lines, n = joined_chain([texts[x] for x in chain], found)
+        texts |= dict(zip(chain, lines))
         repairs += n
-    out: list[list[str]] = [[] for _ in pages]
-    for (p, _), text in zip(lines, texts):
-        out[p].append(text)
-    return ["\n".join(page) for page in out], repairs
+    repairs += sum(len(_INLINE.findall(t)) for t in texts.values())
+    rows = [[joined_inline(t, found) for (q, _), t in texts.items() if q == p] for p in range(len(pages))]
+    return ["\n".join(r) for r in rows], repairs
 
 
-def without_hyphens(pages: DataFrame) -> DataFrame:
-    """doc_id, page_no, text and repairs (of the document) of pages(doc_id, page_no, text), cleaned and repaired."""
-    clean = pages.select("doc_id", "page_no", T.clean_line(F.col("text")).alias("text"))
+def _known_words(pages: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows of asked(doc_id, id, word) whose word stands in the document, whole or as a compound, by id: id and found."""
+    words = F.filter(F.split("text", BETWEEN_WORDS), lambda w: w.rlike(WHOLE))
+    held = pages.select("doc_id", F.explode(F.array_distinct(F.transform(F.concat(words, F.regexp_extract_all("text", F.lit(COMPOUND), F.lit(0))), F.lower))).alias("word"))
+    # only words that are asked for take part, so a document's others never leave their scan where those are few
+    met = held.join(asked.select("doc_id", "word").distinct(), ["doc_id", "word"]).distinct()
+    return asked.join(met, ["doc_id", "word"]).groupBy("doc_id", "id").agg(F.collect_set("word").alias("found"))
 
-    def document(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("page_no")
-        texts, repairs = repair_pages(rows["text"].fillna("").tolist())
-        return rows.assign(text=texts, repairs=repairs)
 
-    return clean.groupBy("doc_id").applyInPandas(document, "doc_id long, page_no int, text string, repairs int")
+def without_hyphens(pages: DataFrame) -> DataFrame:
+    """doc_id, page_no, text and repairs (of the document) of pages(doc_id, page_no, text), cleaned, with words that end in a
+    hyphen joined to what follows, over page ends too.
+
+    Lines that each go on with a broken word form chains, which are islands in the order of lines; the line that follows
+    moves up whole and leaves a blank one. The words that decide are looked up in the document's own by joins, first those of
+    chains, then those of words broken within a line. No task holds a document; a chain is in the end one line."""
+    clean = kept(pages.select("doc_id", "page_no", F.coalesce(T.clean_line(F.col("text")), F.lit("")).alias("text")))
+    lines = clean.select("doc_id", "page_no", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("place", F.struct("page_no", "line_no"))
+    bare = F.regexp_replace("line", r"(?U)^\s+|\s+$", "")
+    filled = lines.where(bare != "").withColumns({"broken": bare.rlike(BROKEN) | bare.rlike(_ONE_LETTER), "goes_on": bare.rlike(GOES_ON)})
+    blocks = scans.in_blocks(filled, "doc_id", F.struct("page_no", F.floor(F.col("line_no") / BLOCK_LINES).alias("part")))
+    linked = scans.scanned(blocks, "doc_id", "place", previous={"after": F.col("broken")})
+    headed = scans.scanned(linked, "doc_id", "place", last={"head": F.when(~(F.col("goes_on") & F.coalesce("after", F.lit(False))), F.col("place"))})
+    chains = headed.where(F.col("broken") | (F.col("head") != F.col("place"))).groupBy("doc_id", F.col("head").alias("id")).agg(F.array_sort(F.collect_list(F.struct("place", "line"))).alias("members"))
+    chains = kept(chains.where(F.size("members") > 1).withColumn("lines", F.col("members.line")))
+    asked_of = F.pandas_udf(lambda s: s.map(lambda chain: sorted(halves(list(chain)))), "array<string>")
+    asked = chains.select("doc_id", "id", F.explode(asked_of("lines")).alias("word"))
+    decided = chains.join(_known_words(clean, asked), ["doc_id", "id"], "left").withColumn("found", F.coalesce("found", F.array().cast("array<string>")))
+
+    def moved(chain: pd.Series, found: pd.Series) -> pd.DataFrame:
+        out = [joined_chain(list(c), frozenset(f)) for c, f in zip(chain, found)]
+        return pd.DataFrame({"lines": [x for x, _ in out], "n": [n for _, n in out]})
+
+    moved = F.pandas_udf(moved, "lines array<string>, n long")
+    joined = decided.withColumn("moved", moved("lines", "found"))
+    new = joined.select("doc_id", F.explode(F.arrays_zip(F.col("members.place").alias("place"), F.col("moved.lines").alias("line"))).alias("x")).select("doc_id", F.col("x.place").alias("place"), F.col("x.line").alias("new"))
+    texts = kept(lines.join(new, ["doc_id", "place"], "left").select("doc_id", "place", F.coalesce("new", "line").alias("line")))
+    inline = texts.where(F.col("line").rlike(INLINE)).withColumnRenamed("place", "id")
+    asked_inline = F.pandas_udf(lambda s: s.map(_asked_inline), "array<string>")
+    words = _known_words(clean, inline.select("doc_id", "id", F.explode(F.array_distinct(asked_inline("line"))).alias("word")))
+    mend = F.pandas_udf(lambda lines, found: pd.Series([joined_inline(t, frozenset(f)) for t, f in zip(lines, found)], dtype=object), "string")
+    mended = inline.join(words, ["doc_id", "id"], "left").select("doc_id", F.col("id").alias("place"), mend("line", F.coalesce("found", F.array().cast("array<string>"))).alias("mended"), F.size(F.regexp_extract_all("line", F.lit(INLINE), F.lit(0))).cast("long").alias("n"))
+    counts = joined.select("doc_id", F.col("moved.n").alias("n")).unionAll(mended.select("doc_id", "n")).groupBy("doc_id").agg(F.sum("n").cast("int").alias("repairs"))
+    final = texts.join(mended, ["doc_id", "place"], "left").select("doc_id", "place", F.coalesce("mended", "line").alias("line"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"])
+    whole = final.groupBy("doc_id", F.col("place.page_no").alias("page_no")).agg(F.array_join(in_order, "\n").alias("text"))
+    return whole.join(counts, "doc_id", "left").select("doc_id", "page_no", "text", F.coalesce("repairs", F.lit(0)).alias("repairs"))
 
 
 def cleaned_pages(pages: DataFrame) -> DataFrame:
