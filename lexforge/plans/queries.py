@@ -534,7 +534,35 @@ def checklist_points(spark: SparkSession, sf: str) -> DataFrame:
     return answers.checklist(articles, spark.createDataFrame(rows, "article_id long, position int, mark string, status string, finding string")).select("position", "mark", "status", "finding")
 
 
-@registered()
+_L = "A-Za-zÀ-ÿ"
+_KEEPS = "{one}.word IS NULL AND ({two}.word IS NOT NULL OR lower({left}) IN (" + ", ".join(f"'{w}'" for w in layout.KEPT_AFTER) + ") OR lower({right}) IN (" + ", ".join(f"'{w}'" for w in layout.KEPT_BEFORE) + "))"
+
+
+@registered(f"""WITH RECURSIVE
+    p AS (SELECT doc_id, regexp_replace(text, '(\\p{{L}}{{4}})(\\p{{Ll}}{{3}})', '\\1-' || chr(10) || '\\2', 'g') AS text FROM documents),
+    w AS (SELECT doc_id, unnest(list_concat(list_filter(string_split_regex(text, '[^-\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[{_L}]{{2,}}')), regexp_extract_all(text, '[{_L}]+-[{_L}]+'))) AS word FROM p),
+    v AS (SELECT DISTINCT doc_id, lower(word) AS word FROM w),
+    l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM p),
+    f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i, regexp_extract(line, '^([a-zà-ÿ]+)', 1) AS r, lead(line) OVER (PARTITION BY doc_id ORDER BY k) AS next FROM l WHERE trim(line) <> ''),
+    n AS (SELECT *, regexp_matches(line, '[{_L}]{{2,}}-$') AND coalesce(regexp_matches(next, '^[a-zà-ÿ]+'), false) AS links, regexp_extract(next, '^([a-zà-ÿ]+)', 1) AS next_r FROM f),
+    g AS (SELECT *, coalesce(lag(links) OVER (PARTITION BY doc_id ORDER BY i), false) AS linked, coalesce(lag(links) OVER (PARTITION BY doc_id ORDER BY i), false) AND regexp_full_match(line, '[{_L}]+-') AS piece, rtrim(line, '-') AS body FROM n),
+    d AS (
+        SELECT g.doc_id, g.i, g.links, b.left_, {_KEEPS.format(one="o", two="t", left="b.left_", right="g.next_r")} AS keeps
+        FROM g JOIN (SELECT doc_id, i, regexp_extract(line, '([{_L}]{{2,}})-$', 1) AS left_ FROM g WHERE links AND NOT piece) b ON b.doc_id = g.doc_id AND b.i = g.i
+            LEFT JOIN v o ON o.doc_id = g.doc_id AND o.word = lower(b.left_ || g.next_r) LEFT JOIN v t ON t.doc_id = g.doc_id AND t.word = lower(b.left_ || '-' || g.next_r)
+        UNION ALL
+        SELECT b.doc_id, b.i, true, b.left_, {_KEEPS.format(one="o", two="t", left="b.left_", right="b.next_r")}
+        FROM (SELECT g.doc_id, g.i, g.next_r, CASE WHEN d.keeps THEN g.body ELSE d.left_ || g.body END AS left_ FROM d JOIN g ON g.doc_id = d.doc_id AND g.i = d.i + 1 WHERE g.links AND g.piece) b
+            LEFT JOIN v o ON o.doc_id = b.doc_id AND o.word = lower(b.left_ || b.next_r) LEFT JOIN v t ON t.doc_id = b.doc_id AND t.word = lower(b.left_ || '-' || b.next_r)),
+    c AS (SELECT g.*, d.keeps, sum(CASE WHEN linked THEN 0 ELSE 1 END) OVER (PARTITION BY g.doc_id ORDER BY g.i) AS chain FROM g LEFT JOIN d ON d.doc_id = g.doc_id AND d.i = g.i),
+    m AS (SELECT doc_id, min(k) AS k, string_agg(CASE WHEN links THEN left(line, length(line) - 1) || CASE WHEN keeps THEN '-' ELSE '' END ELSE line END, '' ORDER BY i) AS line, count_if(links) AS n FROM c GROUP BY doc_id, chain),
+    x AS (SELECT l.doc_id, l.k, coalesce(m.line, '') AS line, coalesce(m.n, 0) AS n FROM l LEFT JOIN m ON m.doc_id = l.doc_id AND m.k = l.k),
+    y AS (SELECT *, regexp_extract_all(line, '{layout.INLINE}', 1) AS a, regexp_extract_all(line, '{layout.INLINE}', 2) AS b, string_split_regex(line, '{layout.INLINE}') AS parts FROM x),
+    z AS (SELECT doc_id, k, j, parts[j] AS part, a[j] AS a, b[j] AS b FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS j FROM y)),
+    q AS (
+        SELECT z.doc_id, z.k, string_agg(part || CASE WHEN a IS NULL THEN '' WHEN {_KEEPS.format(one="o", two="t", left="a", right="b")} THEN a || '-' || b ELSE a || b END, '' ORDER BY j) AS line, count(a) AS n
+        FROM z LEFT JOIN v o ON o.doc_id = z.doc_id AND o.word = lower(a || b) LEFT JOIN v t ON t.doc_id = z.doc_id AND t.word = lower(a || '-' || b) GROUP BY z.doc_id, z.k)
+    SELECT q.doc_id, 1 AS page_no, string_agg(q.line, chr(10) ORDER BY q.k) AS text, CAST(sum(q.n + x.n) AS INTEGER) AS repairs FROM q JOIN x ON x.doc_id = q.doc_id AND x.k = q.k GROUP BY q.doc_id""")
 def hyphen_repair(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     return layout.without_hyphens(docs.select("doc_id", F.lit(1).alias("page_no"), F.regexp_replace("text", r"(\p{L}{4})(\p{Ll}{3})", "$1-\n$2").alias("text")))
