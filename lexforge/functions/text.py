@@ -156,6 +156,14 @@ def rate_pattern(percent: str) -> str:
     return rf"(?iuU)(?<![\d.,]){whole}{tail}\s*(?:%|pour\s*cent)"
 
 
+_RATE = r"(?iuU)(?<![\d.,])(\d+(?:[.,]\d+)?)(?![.,]?\d)\s*(?:%|pour\s*cent)"
+
+
+def stated_rates(c: Column) -> Column:
+    """The rates that a text states, as written but with a point, each once; one rate is never part of another."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(_RATE), F.lit(1)), lambda x: F.translate(x, ",", ".")))
+
+
 def amount_pattern(amount: int) -> str:
     """Pattern by which an amount stands in a text, however its digits are grouped."""
     return "(?U)" + r"[\s., ]*".join(str(amount))
@@ -200,7 +208,14 @@ def phone_number(c: Column) -> Column:
 
 
 def reference_key(acronym: Column, number: Column) -> Column:
-    return F.concat_ws(" ", F.upper(F.trim(acronym)), F.trim(number))
+    """"ACRONYM number"; null unless both are there, as a number alone stands in many texts."""
+    return F.when((F.trim(acronym) != "") & (F.trim(number) != ""), F.concat_ws(" ", F.upper(F.trim(acronym)), F.trim(number)))
+
+
+def expected_reference(written: Column) -> Column:
+    """`reference_key` of a reference written as acronym, white space and number; null if it is ambiguous."""
+    parts = F.split(F.regexp_replace(written, r"(?U)^\s+|\s+$", ""), r"(?U)\s+", 2)
+    return reference_key(F.get(parts, F.lit(0)), F.get(parts, F.lit(1)))
 
 
 def xml_escaped(c: Column) -> Column:

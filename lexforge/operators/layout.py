@@ -10,7 +10,7 @@ import re
 from collections.abc import Collection
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -41,8 +41,6 @@ def gutters(words: DataFrame) -> DataFrame:
     a, b = F.greatest(first, F.lit(0)), F.least(last, most)
     crossed = inside.where(a <= b).select(*keys, F.explode(F.sequence(a, b)).alias("k")).distinct()
     free = steps.join(crossed, [*keys, "k"], "left_anti")
-    from pyspark.sql import Window
-
     runs = free.withColumn("run", F.col("k") - F.row_number().over(Window.partitionBy(*keys).orderBy("k")))
     runs = runs.groupBy(*keys, "run").agg(F.min("x").alias("left"), F.max("x").alias("right"))
     widest = runs.groupBy(*keys).agg(F.max_by(F.struct("left", "right"), F.struct(F.col("right") - F.col("left"), -F.col("left"))).alias("r"))
@@ -217,6 +215,31 @@ def cleaned_pages(pages: DataFrame) -> DataFrame:
     return without_hyphens(without_repeated_edges(pages))
 
 
+# Repeated lines that the diagnostics of cleaning show, and their characters in a warning.
+SHOWN_LINES, WARNED_LINES, WARNED_CHARS = 10, 3, 150
+
+
+def cleaning_diagnostics(pages: DataFrame) -> DataFrame:
+    """doc_id, removed (the first repeated lines by which headers and footers were told, sorted) and repairs of
+    pages(doc_id, page_no, text)."""
+    from .documents import edge_lines, repeated_edges
+
+    keys = repeated_edges(edge_lines(pages))
+    ranked = keys.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("key"))).where(F.col("r") <= SHOWN_LINES)
+    removed = ranked.groupBy("doc_id").agg(F.array_sort(F.collect_list("key")).alias("removed"))
+    repaired = cleaned_pages(pages).groupBy("doc_id").agg(F.max("repairs").alias("repairs"))
+    return repaired.join(removed, "doc_id", "left").select("doc_id", F.coalesce("removed", F.array().cast("array<string>")).alias("removed"), "repairs")
+
+
+def arrival_warnings(diagnostics: DataFrame, columns: DataFrame) -> DataFrame:
+    """doc_id, position, code and shown of what a reviewer is told before the problems of articles: headers and footers that
+    were removed come first, then pages in two columns. columns: as `gutters` gives them."""
+    two = columns.groupBy("doc_id").agg(F.count("gutter").alias("two"), F.count("*").alias("pages")).where("two > 0")
+    lines = F.left(F.array_join(F.slice("removed", 1, WARNED_LINES), " | "), F.lit(WARNED_CHARS))
+    headers = diagnostics.where(F.size("removed") > 0).select("doc_id", F.lit(0).alias("position"), F.lit("headers_removed").alias("code"), lines.alias("shown"))
+    return headers.unionByName(two.select("doc_id", F.lit(1).alias("position"), F.lit("two_columns").alias("code"), F.concat_ws("/", "two", "pages").alias("shown")))
+
+
 def simulated_vector(content: Column, dims: int) -> Column:
     """A unit vector that depends on nothing but the text: chained SHA-256 digests read as 32-bit numbers."""
     import hashlib

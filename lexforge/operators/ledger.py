@@ -107,6 +107,17 @@ def requests_to_accept(requests: DataFrame, pending: DataFrame, users: DataFrame
     return joined.select("request_id", "user_id", outcome.when(F.col("waits") | (F.col("turn") > 1), "already_pending").otherwise("pending").alias("outcome"))
 
 
+def requests_with_users(requests: DataFrame, users: DataFrame) -> DataFrame:
+    """The pending ones of requests(request_id, user_id, code, status, asked_at) of users that exist, with email, the oldest first."""
+    return requests.where("status = 'pending'").join(users.select("user_id", "email"), "user_id").orderBy("asked_at", "request_id")
+
+
+def parted(rows: DataFrame, chosen: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows that are chosen, and all others, those of which nothing is known among them."""
+    known = F.coalesce(chosen, F.lit(False))
+    return rows.where(known), rows.where(~known)
+
+
 def downgraded(users: DataFrame, who: DataFrame, catalogue: DataFrame) -> DataFrame:
     """users with those of who(user_id) on the free plan, keeping no more credits than it has."""
     u = with_plan(users, catalogue).join(who.select("user_id").distinct().withColumn("down", F.lit(True)), "user_id", "left")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import amount_pattern, grouped_digits, rate_pattern
+from ..functions.text import amount_pattern, grouped_digits, rate_pattern, stated_rates
 
 AMOUNT = "decimal(38,10)"
 # The declared rates, brackets and tariffs, and the articles that carry them.
@@ -35,8 +35,7 @@ def shown(c: Column) -> Column:
 
 
 def rates(spark: SparkSession) -> DataFrame:
-    rows = [(name, rate, article, rate_pattern(rate)) for name, rate, article in RATES]
-    return spark.createDataFrame(rows, "name string, rate string, number string, pattern string").withColumn("rate", F.col("rate").cast("decimal(10,4)"))
+    return spark.createDataFrame(RATES, "name string, rate string, number string").withColumns({"written": F.col("rate"), "rate": F.col("rate").cast("decimal(10,4)")})
 
 
 def brackets(spark: SparkSession) -> DataFrame:
@@ -54,10 +53,12 @@ def tariffs(spark: SparkSession) -> DataFrame:
 
 
 def verified_rates(declared: DataFrame, articles: DataFrame) -> DataFrame:
-    """declared(name, rate, number, pattern) with legal: whether the article in force with that number states the rate."""
+    """declared(name, rate, number, written) with legal: whether the article in force with that number states the rate as it is
+    written, with a point or a comma. An article's rates are taken from it once, however many ask for them."""
     first = articles.groupBy("number").agg(F.min_by("content", "id").alias("content"))
-    joined = declared.join(first, "number", "left")
-    return joined.withColumn("legal", F.coalesce(F.expr("content rlike pattern"), F.lit(False))).drop("content", "pattern")
+    stated = first.select("number", stated_rates(F.col("content")).alias("stated"))
+    joined = declared.join(stated, "number", "left")
+    return joined.withColumn("legal", F.coalesce(F.array_contains("stated", F.col("written")), F.lit(False))).drop("stated", "written")
 
 
 def verified_brackets(declared: DataFrame, content: Column) -> Column:

@@ -358,10 +358,16 @@ def tax_tariff(spark: SparkSession, sf: str) -> DataFrame:
     return rules.tariff(bases, rules.tariffs(spark))
 
 
-@registered("SELECT * FROM (VALUES ('vat', true, NULL), ('company', false, 'rate not stated'), ('surcharge', false, 'article missing')) AS t(name, available, reason)")
+@registered("""WITH c AS (SELECT doc_id % 500 AS number, arg_min(doc_id % 40 || CASE WHEN doc_id % 3 = 0 THEN '.5' ELSE '' END, doc_id) AS stated FROM documents GROUP BY 1),
+    r AS (SELECT p_partkey AS name, p_partkey % 600 AS number, p_partkey % 40 || CASE WHEN p_partkey % 2 = 0 THEN '.5' ELSE '' END AS rate FROM part)
+    SELECT 'r' || name AS name, coalesce(stated = rate, false) AS available, CASE WHEN stated IS NULL THEN 'article missing' WHEN stated <> rate THEN 'rate not stated' END AS reason FROM r LEFT JOIN c USING (number)""")
 def rate_availability(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [(1, "142", "Le taux est fixé à 17,5 pour cent."), (2, "17", "Le taux est de 33,5 % ou de 130 %.")]
-    return rules.availability(rules.rates(spark), spark.createDataFrame(rows, "id long, number string, content string"))
+    i, k = F.col("doc_id"), F.col("p_partkey")
+    stated = F.concat(F.lit(" Le taux est de "), (i % 40).cast("string"), F.when(i % 3 == 0, ",5").otherwise(""), F.when(i % 2 == 0, " %").otherwise(" pour cent"), F.lit(", non de 1"), (i % 40).cast("string"), F.lit(",25."))
+    articles = table(spark, sf, "documents").select(i.alias("id"), (i % 500).cast("string").alias("number"), F.concat(F.translate("text", "0123456789", ""), stated).alias("content"))
+    written = F.concat((k % 40).cast("string"), F.when(k % 2 == 0, ".5").otherwise(""))
+    declared = table(spark, sf, "part").select(F.concat(F.lit("r"), k.cast("string")).alias("name"), written.cast("decimal(10,4)").alias("rate"), written.alias("written"), (k % 600).cast("string").alias("number"))
+    return rules.availability(declared, articles)
 
 
 def _users(spark: SparkSession, sf: str) -> DataFrame:
@@ -385,9 +391,21 @@ def quota_refresh(spark: SparkSession, sf: str) -> DataFrame:
     return done.select("user_id", "plan", "quota", F.col("quota_set_on").cast("string").alias("quota_set_on"))
 
 
-@registered(f"""WITH {_USERS} SELECT code, CASE WHEN price <> 0 THEN round((price - credits * 25) / price, 6) END AS margin, price = 0 OR trial OR (price - credits * 25) / price >= 0.5 AS acceptable, CAST(floor(price * 0.5 / 25) AS BIGINT) AS most_credits FROM f""")
+_OFFERS = "offers AS (SELECT 'p' || p_partkey AS code, CASE WHEN p_partkey % 9 = 0 THEN 0 ELSE p_size * 100 END AS price, p_partkey % 60 AS credits, p_partkey % 5 = 0 AS trial, p_partkey % 7 > 0 AS active, p_size AS position FROM part)"
+
+
+def _offers(spark: SparkSession, sf: str) -> DataFrame:
+    """A catalogue with a plan for each part."""
+    k = F.col("p_partkey")
+    return table(spark, sf, "part").select(
+        F.concat(F.lit("p"), k.cast("string")).alias("code"), F.when(k % 9 == 0, 0).otherwise(F.col("p_size") * 100).cast("int").alias("price"), (k % 60).cast("int").alias("credits"),
+        (k % 5 == 0).alias("trial"), (k % 7 > 0).alias("active"), F.col("p_size").cast("int").alias("position"),
+    )
+
+
+@registered(f"""WITH {_OFFERS} SELECT code, CASE WHEN price <> 0 THEN round((price - credits * 25) / price, 6) END AS margin, price = 0 OR trial OR (price - credits * 25) / price >= 0.5 AS acceptable, CAST(floor(price * 0.5 / 25) AS BIGINT) AS most_credits FROM offers""")
 def plan_margin(spark: SparkSession, sf: str) -> DataFrame:
-    return ledger.margins(ledger.plans(spark))
+    return ledger.margins(_offers(spark, sf))
 
 
 _ACTIVE = f"(plan = 'gratuit' OR plan_ends IS NULL OR plan_ends >= {_DAY})"
@@ -493,9 +511,12 @@ def page_numbers_listed(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", F.array_join(listed_numbers(F.col("html"), r"track\(([0-9]+)\)"), ",").alias("numbers"))
 
 
-@registered("SELECT '0,1,2,3,9,12' AS pages")
+@registered("""SELECT p_partkey AS id, array_to_string(list_sort(list_distinct(list_concat(range(p_partkey % 7, p_partkey % 7 + p_size % 5 + 1), [p_partkey % 11], range(p_size, p_size + 3)))), ',') AS pages FROM part""")
 def page_ranges(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.range(1).select(F.array_join(page_numbers(F.lit(" 0-3, 12,9,2-3")), ",").alias("pages"))
+    k, n = F.col("p_partkey"), F.col("p_size")
+    said = lambda *c: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in c))
+    written = said(" ", k % 7, "-", k % 7 + n % 5, ", ", k % 11, " ,", n, "-", n + 2)
+    return table(spark, sf, "part").select(k.alias("id"), F.array_join(page_numbers(written), ",").alias("pages"))
 
 
 @registered("SELECT doc_id, strip_accents(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS form FROM documents")
@@ -510,28 +531,42 @@ def profile_fields(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select(i.alias("user_id"), T.initials(F.replace(F.col("c_name"), F.lit("#"), F.lit(" ")), F.lit("a@b")).alias("initials"), T.phone_number(phone).alias("phone"), T.reference_key(F.lit(" acte"), i.cast("string")).alias("reference"))
 
 
+#: Headers of articles with a number in the place of {}, and their canonical numbers.
 _HEADERS = [
-    ("Article 92", "92"), ("ARTICLE 18 bis :", "18 bis"), ("Art.50 - 1.- Le texte", "50-1"), ("»Article 191", "191"), ("Article premier.- Objet", "1"), ("Article L 6. Ter", "L 6 ter"),
-    ("Article 558 _bis", "558 bis"), ("Article C46 -", "C 46"), ("Article 93 mnonies bis", "93 nonies bis"), ("Article 124 A.- Impôt", "124 A"), ("Art. 5 du présent acte", None), ("voir l'Article 5", None),
+    ("Article {}", "{}"), ("ARTICLE {} bis :", "{} bis"), ("Art.{} - 1.- Le texte", "{}-1"), ("»Article {}", "{}"), ("Article premier.- Objet", "1"), ("Article L {}. Ter", "L {} ter"),
+    ("Article {} _bis", "{} bis"), ("Article C{} -", "C {}"), ("Article {} mnonies bis", "{} nonies bis"), ("Article {} A.- Impôt", "{} A"), ("Art. {} du présent acte", None), ("voir l'Article {}", None),
 ]
+_NUMBERS = "[" + ", ".join(f"'{b}'" if b else "NULL" for _, b in _HEADERS) + "]"
 
 
-@registered("SELECT * FROM (VALUES " + ", ".join("('" + a.replace("'", "''") + "', " + (f"'{b}'" if b else "CAST(NULL AS VARCHAR)") + ")" for a, b in _HEADERS) + ") AS t(line, number)")
+@registered(f"SELECT doc_id, replace(({_NUMBERS})[doc_id % {len(_HEADERS)} + 1], '{{}}', CAST(doc_id AS VARCHAR)) AS number FROM documents")
 def article_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(a,) for a, _ in _HEADERS], "line string").select("line", T.article_number(F.col("line")).alias("number"))
+    i = F.col("doc_id")
+    header = F.get(F.array(*(F.lit(a) for a, _ in _HEADERS)), (i % len(_HEADERS)).cast("int"))
+    line = F.concat(F.replace(header, F.lit("{}"), i.cast("string")), F.when(i % len(_HEADERS) == 0, F.concat(F.lit("\n"), F.col("text"))).otherwise(""))
+    return table(spark, sf, "documents").select("doc_id", T.article_number(F.substring_index(line, "\n", 1)).alias("number"))
 
 
-@registered("SELECT * FROM (VALUES ('Bonjour !', 'greeting'), ('MERCI beaucoup.', 'thanks'), ('Qui êtes-vous ?', 'identity'), ('bonjour, quelle est la durée ?', NULL), ('', NULL)) AS t(message, kind)")
+@registered("""SELECT conv_id, turn, CASE (conv_id + turn) % 5 WHEN 0 THEN 'greeting' WHEN 1 THEN 'thanks' WHEN 2 THEN 'identity' END AS kind FROM conversations""")
 def courtesy_messages(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [("Bonjour !",), ("MERCI beaucoup.",), ("Qui êtes-vous ?",), ("bonjour, quelle est la durée ?",), ("",)]
-    return spark.createDataFrame(rows, "message string").select("message", T.courtesy_kind(F.col("message")).alias("kind"))
+    n = (F.col("conv_id") + F.col("turn")) % 5
+    message = F.when(n == 0, "Bonjour !").when(n == 1, "MERCI beaucoup.").when(n == 2, "Qui êtes-vous ?").when(n == 3, F.concat(F.lit("bonjour, "), F.col("text"))).otherwise(F.col("text"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.courtesy_kind(message).alias("kind"))
 
 
-@registered("SELECT * FROM (VALUES (0, '1°', 'conforming', 'stated'), (1, '2°', 'to_check', 'Not verified.'), (2, '10°', 'gap', 'absent')) AS t(position, mark, status, finding)")
+@registered("""WITH l AS (SELECT doc_id, any_value(quality) AS quality, any_value(toxic) AS toxic FROM labels GROUP BY doc_id),
+    p AS (SELECT d.doc_id, unnest([0, 1, 2]) AS position, unnest(['1°', '2°', '10°']) AS mark, unnest([
+        CASE WHEN l.doc_id IS NULL THEN 'to_check' WHEN quality = 1 THEN 'conforming' ELSE 'gap' END, 'to_check', CASE WHEN l.doc_id IS NULL OR toxic = 1 THEN 'to_check' ELSE 'gap' END]) AS status,
+        unnest([CASE WHEN l.doc_id IS NULL THEN 'Not verified.' ELSE 'stated' END, 'Not verified.', CASE WHEN l.doc_id IS NULL THEN 'Not verified.' ELSE 'absent' END]) AS finding FROM documents d LEFT JOIN l USING (doc_id))
+    SELECT doc_id AS article_id, CAST(position AS INTEGER) AS position, mark, status, finding FROM p""")
 def checklist_points(spark: SparkSession, sf: str) -> DataFrame:
-    articles = spark.createDataFrame([(1, "Les statuts mentionnent : 1° la forme ; 2° sa dénomination, prévue au 6°) ; • 10°) la durée.")], "article_id long, content string")
-    rows = [(1, 0, "[1°] forme", "conforming", "stated"), (1, 1, "1", "gap", "again"), (1, 2, "10", "gap", "absent")]
-    return answers.checklist(articles, spark.createDataFrame(rows, "article_id long, position int, mark string, status string, finding string")).select("position", "mark", "status", "finding")
+    said = F.concat(F.lit("Les statuts mentionnent : 1° la forme "), F.translate(F.left("text", F.lit(40)), ":;°0123456789", ""), F.lit(" ; 2° sa dénomination, prévue au 6°) ; • 10°) la durée."))
+    articles = table(spark, sf, "documents").select(F.col("doc_id").alias("article_id"), said.alias("content"))
+    labels = table(spark, sf, "labels").groupBy("doc_id").agg(F.first("quality").alias("quality"), F.first("toxic").alias("toxic"))
+    reply = lambda position, mark, status, finding: F.struct(F.lit(position).alias("position"), F.lit(mark).alias("mark"), status.alias("status"), F.lit(finding).alias("finding"))
+    rows = F.array(reply(0, "[1°] forme", F.when(F.col("quality") == 1, "conforming").otherwise("gap"), "stated"), reply(1, "1", F.lit("gap"), "again"), reply(2, "10", F.when(F.col("toxic") == 1, "odd").otherwise("gap"), "absent"))
+    replies = labels.select(F.col("doc_id").alias("article_id"), F.inline(rows))
+    return answers.checklist(articles, replies).select("article_id", "position", "mark", "status", "finding")
 
 
 _L = "A-Za-zÀ-ÿ"

@@ -9,7 +9,7 @@ from ..functions import french
 from ..functions import text as T
 from ..operators import answers, corpus, deposits, documents, evaluation, ledger, retrieval
 from ..sources.readers import table
-from .queries import _ARTICLES, _TEXTS, _articles, _date, _texts, registered
+from .queries import _ARTICLES, _OFFERS, _TEXTS, _articles, _date, _offers, _texts, registered
 
 _TODAY = "2024-06-01"
 _PLAN_CODES = ["gratuit", "essentiel", "cabinet", "essai"]
@@ -46,12 +46,13 @@ def vectors_written(spark: SparkSession, sf: str) -> DataFrame:
     return held.select("id", F.when(F.size("embedding") == 1, "new").when(F.col("embedding").isNotNull(), "old").otherwise("none").alias("vector"))
 
 
-@registered("SELECT conv_id AS conversation_id, count(*) AS n, md5(string_agg(role || ':' || text, '|' ORDER BY turn)) AS said FROM conversations GROUP BY conv_id")
+@registered("""WITH c AS (SELECT l_orderkey AS message_id, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_partkey) AS cited FROM lineitem GROUP BY 1)
+    SELECT conv_id AS conversation_id, count(*) AS n, md5(string_agg(role || ':' || text || '[' || coalesce(cited, '') || ']', '|' ORDER BY turn)) AS said FROM conversations LEFT JOIN c ON message_id = conv_id * 10 + turn GROUP BY conv_id""")
 def conversations_nested(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations")
-    messages = c.select(F.col("conv_id").alias("conversation_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), "role", "text")
-    nested = corpus.conversations_nested(c.select(F.col("conv_id").alias("conversation_id")).distinct(), messages, _cited(spark, sf).where("false"))
-    said = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["text"])), "|")
+    messages = c.select(F.col("conv_id").alias("conversation_id"), (F.col("conv_id") * 10 + F.col("turn")).alias("message_id"), "role", "text")
+    nested = corpus.conversations_nested(c.select(F.col("conv_id").alias("conversation_id")).distinct(), messages, _cited(spark, sf))
+    said = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["text"], F.lit("["), F.array_join(m["citations"], ","), F.lit("]"))), "|")
     return nested.select("conversation_id", F.size("messages").cast("long").alias("n"), F.md5(said).alias("said"))
 
 
@@ -155,9 +156,9 @@ def catalogue_changes(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.catalogue_changes(ledger.plans(spark), changes)
 
 
-@registered(f"SELECT code, position FROM {_PLAN_ROWS} WHERE code <> 'essai' ORDER BY position")
+@registered(f"WITH {_OFFERS} SELECT code, position FROM offers WHERE active AND NOT trial")
 def catalogue_shown(spark: SparkSession, sf: str) -> DataFrame:
-    return ledger.visible_catalogue(ledger.plans(spark), True).select("code", "position")
+    return ledger.visible_catalogue(_offers(spark, sf), True).select("code", "position")
 
 
 @registered("""SELECT 'conversations' AS part, count(DISTINCT conv_id) AS n FROM conversations WHERE conv_id <> 5 UNION ALL SELECT 'messages', count(*) FROM conversations WHERE conv_id <> 5
@@ -277,12 +278,12 @@ def changes_to_summarise(spark: SparkSession, sf: str) -> DataFrame:
     return answers.to_summarise(diff).drop("status")
 
 
-_ITEMS = "items AS (SELECT doc_id AS article_id, unnest([1, 2]) AS position, unnest(['1°', '2°']) AS mark, unnest([lang || ' first', 'second ' || doc_id]) AS label FROM documents)"
+_ITEMS = "items AS (SELECT doc_id AS article_id, unnest([1, 2]) AS position, unnest(['1°', '2°']) AS mark, unnest(['le ' || regexp_replace(text[:40], '[^a-zA-Z]', 'x', 'g'), 'second ' || doc_id]) AS label FROM documents)"
 
 
 def _enumerations(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
-    return d.select(F.col("doc_id").alias("article_id"), F.concat(F.lit("Joined: 1° "), F.col("lang"), F.lit(" first; 2° second "), F.col("doc_id").cast("string"), F.lit(".")).alias("content"))
+    return d.select(F.col("doc_id").alias("article_id"), F.concat(F.lit("Joined: 1° le "), F.regexp_replace(F.left("text", F.lit(40)), "[^a-zA-Z]", "x"), F.lit("; 2° second "), F.col("doc_id").cast("string"), F.lit(".")).alias("content"))
 
 
 @registered(f"WITH {_ITEMS} SELECT article_id, CAST(position AS INTEGER) AS position, 'item_' || position AS key, mark, upper(label[1:1]) || label[2:] AS question FROM items")
