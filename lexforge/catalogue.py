@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import ledgers, registers  # noqa: F401  (they register their queries)
+from .plans import ledgers, more, registers  # noqa: F401  (they register their queries)
 from .plans.queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
