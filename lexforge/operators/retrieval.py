@@ -5,6 +5,13 @@ Everything works on many questions at once: a question_id partitions every ranki
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,22 +49,68 @@ def _of_acronym(articles: DataFrame, acronym: str | None) -> DataFrame:
     return articles if acronym is None else articles.where(F.col("acronym") == acronym)
 
 
-#: Parts of the articles that each meet all questions, so that no one task does.
-PARTS = 32
+#: Bytes of questions' vectors that meet the articles in one pass, and scores that a task holds at once.
+QUESTION_BYTES, SCORES = 64 << 20, 1 << 22
+
+
+class _Best:
+    """The k best articles so far of every question of one length, ties to the smaller id."""
+
+    def __init__(self, matrix: np.ndarray, k: int):
+        self.matrix, self.k = matrix, k
+        self.scores, self.ids = np.full((len(matrix), k), -np.inf), np.full((len(matrix), k), np.iinfo(np.int64).max)
+
+    def meet(self, ids: np.ndarray, units: np.ndarray) -> None:
+        step = max(1, SCORES // max(len(self.matrix), 1))
+        for at in range(0, len(ids), step):
+            scores = self.matrix @ units[at : at + step].T
+            scores = np.copysign(np.floor(np.abs(scores) * 1e6 + 0.5) / 1e6, scores)  # to six digits, half up
+            both = np.concatenate([self.scores, scores], axis=1)
+            own = np.concatenate([self.ids, np.broadcast_to(ids[at : at + step], scores.shape)], axis=1)
+            order = np.lexsort((own, -both), axis=1)[:, : self.k]
+            self.scores, self.ids = np.take_along_axis(both, order, axis=1), np.take_along_axis(own, order, axis=1)
+
+
+def _met(block: Broadcast, k: int):
+    """mapInArrow: a task's best articles for each question of a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {matrix.shape[1]: (ids, _Best(matrix, k)) for ids, matrix in block.value}
+        for batch in batches:
+            ids, lists = np.asarray(batch.column(0)), batch.column(1)
+            offsets, values = np.asarray(lists.offsets), np.asarray(lists.values)
+            dims = np.diff(offsets)
+            for dim in best.keys() & set(dims.tolist()):
+                rows = np.flatnonzero(dims == dim)
+                best[dim][1].meet(ids[rows], values[(offsets[rows][:, None] + np.arange(dim)).ravel()].reshape(len(rows), dim))
+        for asked, found in best.values():
+            row, place = np.nonzero(found.scores > -np.inf)
+            yield pa.RecordBatch.from_arrays([asked.take(pa.array(row)), pa.array(found.ids[row, place]), pa.array(found.scores[row, place])], ["question_id", "id", "score"])
+
+    return run
 
 
 def vector_candidates(articles: DataFrame, questions: DataFrame, k: int = CANDIDATES, acronym: str | None = None) -> DataFrame:
     """question_id, id, score and rank of the k articles(id, embedding) nearest to each of questions(question_id, vector);
     acronym: only articles of that one.
 
-    Every vector is brought to length one once, so that a pair costs one product. Questions are a stated set, small against
-    the articles; Spark broadcasts them if their size allows it, and otherwise they meet the articles in parts. The window
-    keeps k rows a question in each task before anything is shuffled."""
-    unit = lambda df, name: df.where(F.col("unit").isNotNull()).select("*", F.size("unit").alias("dims")).withColumnRenamed("unit", name)
-    usable = unit(_of_acronym(articles, acronym).select("id", _unit(F.col("embedding")).alias("unit")), "a").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)))
-    asked = unit(questions.select("question_id", _unit(F.col("vector")).alias("unit")), "q").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
-    product = F.aggregate(F.zip_with("a", "q", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return _best(usable.join(asked, ["dims", "part"]).select("question_id", "id", F.round(product, 6).alias("score")), "score", k)
+    Questions are a stated set. Their vectors go to the tasks in blocks of at most QUESTION_BYTES, each of which is one pass
+    over the articles: a matrix product for every batch of them, of which a task keeps the k best of each question. So what is
+    broadcast has a bound, nothing is shuffled but results, and no pair of an article and a question is ever a row."""
+    unit = lambda df, key, vector: df.select(key, _unit(F.col(vector)).alias("unit")).where(F.col("unit").isNotNull())
+    usable = unit(_of_acronym(articles, acronym).withColumn("id", F.col("id").cast("long")), "id", "embedding")
+    asked = unit(questions, "question_id", "vector")
+    size = asked.agg(F.coalesce(F.sum(8 * F.size("unit")), F.lit(0)).alias("bytes")).first()["bytes"]
+    blocks = max(1, -(-2 * size // QUESTION_BYTES)) if size > QUESTION_BYTES else 1
+    schema, passes = f"question_id {dict(asked.dtypes)['question_id']}, id long, score double", []
+    for number in range(blocks):
+        held = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("question_id", "unit"), F.lit(blocks)) == number)
+        table = held.toArrow()
+        dims = np.asarray(pc.list_value_length(table["unit"]))
+        parts = [(table.filter(pa.array(dims == dim))) for dim in np.unique(dims).tolist() if dim]
+        block = [(t["question_id"].combine_chunks(), np.array(t["unit"].combine_chunks().flatten()).reshape(len(t), -1)) for t in parts]
+        passes.append(usable.mapInArrow(_met(usable.sparkSession.sparkContext.broadcast(block), k), schema))
+    return _best(reduce(DataFrame.unionAll, passes), "score", k)
 
 
 def lexical_candidates(articles: DataFrame, questions: DataFrame, k: int = CANDIDATES, acronym: str | None = None) -> DataFrame:

@@ -97,20 +97,23 @@ def proportional(bases: DataFrame, rate: str = "30", surcharge: str | None = "10
 def progressive(bases: DataFrame, scale: DataFrame, surcharge: str | None = "10") -> DataFrame:
     """id, seq, label and amount: a line for each bracket of scale(seq, floor, ceiling, rate) that the base reaches, and the
     total with its surcharge as seq 0."""
-    valid = bases.select("id", amount(F.col("amount")).alias("base")).where("base IS NOT NULL")
-    part = F.least("base", F.coalesce("ceiling", "base")) - F.col("floor")
-    # a few brackets beside every base
-    reached = valid.join(F.broadcast(scale), F.col("base") > F.col("floor")).withColumn("part", (part * F.col("rate") / 100).cast(AMOUNT))
-    label = F.when(F.col("ceiling").isNotNull(), F.concat(F.lit("up to "), grouped_digits(F.col("ceiling")))).otherwise(F.concat(F.lit("beyond "), grouped_digits(F.col("floor"))))
+    # the brackets as an array in one row: neither a join of ranges nor a shuffle, and each base's parts are added in its row
+    held = scale.agg(F.array_sort(F.collect_list(F.struct("floor", "seq", "ceiling", F.col("rate").cast(AMOUNT).alias("rate")))).alias("scale"))
+    valid = bases.select("id", amount(F.col("amount")).alias("base")).where("base IS NOT NULL").join(held)
+    reached = F.filter("scale", lambda b: F.col("base") > b["floor"])
+    part = lambda b: ((F.least(F.col("base"), F.coalesce(b["ceiling"], F.col("base"))) - b["floor"]) * b["rate"].cast("decimal(10,4)") / 100).cast(AMOUNT)
+    label = lambda b: F.when(b["ceiling"].isNotNull(), F.concat(F.lit("up to "), grouped_digits(b["ceiling"]))).otherwise(F.concat(F.lit("beyond "), grouped_digits(b["floor"])))
+    lines = valid.select("id", F.transform(reached, lambda b: F.struct(b["seq"].alias("seq"), label(b).alias("label"), part(b).alias("part"))).alias("lines"))
     factor = 1 + F.lit(surcharge or "0").cast("decimal(10,4)") / 100
-    sums = reached.groupBy("id").agg(F.sum("part").cast(AMOUNT).alias("principal"))
-    totals = valid.select("id").join(sums, "id", "left").select("id", F.lit(0).alias("seq"), F.lit("total").alias("label"), shown(F.coalesce("principal", F.lit(0).cast(AMOUNT)) * factor).alias("amount"))
-    return reached.select("id", "seq", label.alias("label"), shown(F.col("part")).alias("amount")).unionByName(totals)
+    total = F.aggregate("lines", F.lit(0).cast(AMOUNT), lambda s, x: (s + x["part"]).cast(AMOUNT)) * factor
+    shown_lines = F.transform("lines", lambda x: F.struct(x["seq"].alias("seq"), x["label"].alias("label"), shown(x["part"]).alias("amount")))
+    first = F.array(F.struct(F.lit(0).alias("seq"), F.lit("total").alias("label"), shown(total).alias("amount")))
+    return lines.select("id", F.inline(F.concat(first, shown_lines)))
 
 
 def tariff(bases: DataFrame, categories: DataFrame) -> DataFrame:
     """id, category, theoretical, due and bound ("low", "high" or null) of bases(id, category, amount)."""
-    valid = bases.select("id", "category", amount(F.col("amount")).alias("base")).where("base IS NOT NULL").join(F.broadcast(categories), "category")
+    valid = bases.select("id", "category", amount(F.col("amount")).alias("base")).where("base IS NOT NULL").join(categories, "category")
     due = (F.col("base") * F.col("rate") / 100).cast(AMOUNT)
     bound = F.when(due < F.col("low"), "low").when(due > F.col("high"), "high")
     return valid.select("id", "category", shown(due).alias("theoretical"), shown(F.least(F.greatest(due, "low"), "high")).alias("due"), bound.alias("bound"))

@@ -48,3 +48,31 @@ def test_index_of_odd_vectors(spark, tmp_path):
     cells.add(rows.where("id >= 90"), path)
     got = cells.search(path, spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0])], "question_id int, vector array<double>"), 2, 3).orderBy("rank").collect()
     assert [(x.question_id, x.id) for x in got] == [(1, 0), (1, 1)]
+
+
+def test_vector_candidates_in_blocks(spark, monkeypatch):
+    """Questions in several passes, with broadcasts by Spark switched off, equal vectors, several lengths, nulls and zeros."""
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    rows = [(i, r.integers(-2, 3, 4).astype(float).tolist()) for i in range(300)] + [(i, [1.0, float(i)]) for i in range(300, 320)] + [(900, None), (901, [0.0] * 4), (902, [])]
+    asked = [(q, r.normal(size=4).tolist()) for q in range(40)] + [(50, [1.0, 0.0]), (51, None), (52, [0.0, 0.0]), (53, [1.0] * 9)]
+    articles, questions = spark.createDataFrame(rows, "id long, embedding array<double>"), spark.createDataFrame(asked, "question_id long, vector array<double>")
+    want = {}
+    for q, v in asked:
+        for i, u in rows:
+            if u and v and len(u) == len(v) and any(u) and any(v):
+                score = float(np.dot(u, v) / np.linalg.norm(u) / np.linalg.norm(v))
+                want.setdefault(q, []).append((-round(score, 6), i))
+    want = {q: [i for _, i in sorted(x)[:7]] for q, x in want.items()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for size in (1 << 20, 200):
+            monkeypatch.setattr(retrieval, "QUESTION_BYTES", size)
+            monkeypatch.setattr(retrieval, "SCORES", 500)
+            got = {}
+            for x in retrieval.vector_candidates(articles.repartition(3), questions, 7).orderBy("question_id", "rank").collect():
+                got.setdefault(x.question_id, []).append(x.id)
+            assert got == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
