@@ -40,6 +40,7 @@ from .signature_tree import LEAF, SignatureTree, bitmaps, link, needed
 
 #: Min-hash keys of a set, each of two minima; sets, and bytes of them, that one group of step 2 joins, about.
 KEYS, CHUNK, CHUNK_BYTES = 3, 256, 16_000_000
+_ORDERS = [np.uint64(mixed(np.array([100 + k], np.uint64))[0] | np.uint64(1)) for k in range(2 * KEYS)]
 #: Rows whose shingle sets a task holds at once when it profiles them.
 SLICE = 2000
 #: The largest block of spans that is met at once in step 3; a span is a bitmap and a few numbers.
@@ -77,15 +78,17 @@ def _profiles(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
-            ids, sizes, digests, keys, sets = [], [], [], [], []
+            ids, sizes, digests, minima, sets = [], [], [], [], []
             for doc_id, s in _sets(batch, words):
-                digest = _digest(s)
-                minima = [int(mixed(s, 100 + k).min()) for k in range(2 * KEYS)] if len(s) else []
                 ids.append(doc_id)
                 sizes.append(len(s))
-                digests.append(digest)
-                keys.append(np.array([mixed(np.array([a], np.uint64), b & 0xFFFF)[0] for a, b in zip(minima[::2], minima[1::2])], np.uint64).view(np.int64))
+                digests.append(_digest(s))
+                # hashes are mixed already, so multiples by odd numbers order them each in another way
+                minima.append([(s * f).min() for f in _ORDERS] if len(s) else [0] * len(_ORDERS))
                 sets.append(s)
+            pairs = np.array(minima, np.uint64).reshape(-1, KEYS, 2)
+            combined = mixed(pairs[:, :, 0] ^ mixed(pairs[:, :, 1], 100)).view(np.int64)
+            keys = [k if size else k[:0] for k, size in zip(combined, sizes)]
             seen, counts = np.unique(np.concatenate(list(dict(zip(digests, sets)).values()) or [np.zeros(0, np.uint64)]), return_counts=True)
             shared = counts >= 3
             n, m = len(ids), int(shared.sum())

@@ -45,7 +45,9 @@ def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw + np.uint64(1)) * power[: len(raw)], dtype=np.uint64)])
     hashed = mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
     n = min(words, len(hashed))
-    run = np.full(len(hashed) - n + 1, n, np.uint64)
+    size = len(hashed) - n + 1
+    # words' hashes are mixed already: a sum of multiples by odd numbers, which differ by place, tells orders apart
+    run = np.full(size, n, np.uint64)
     for k in range(n):
-        run = mixed(run ^ hashed[k : k + len(run)], k + 1)
-    return np.unique(run)
+        run += hashed[k : k + size] * np.uint64((2 * k + 1) * _BASE & _MASK)
+    return np.unique(mixed(run))
