@@ -50,7 +50,7 @@ _WRITTEN_OUT = 1 << 12
 
 def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and the sums of their values."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, values = keys[order], values[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
     return keys[first], np.add.reduceat(values, first) if len(first) else values
@@ -122,11 +122,9 @@ class Aligner:
             links.append((times_x[:, None] * times_y).ravel())
             owners.append(np.full(len(pairs[-1]), chunk_of[g]))
         pairs, owners, links = (np.concatenate(x) for x in (pairs, owners, links))
-        order = np.lexsort((pairs, owners))
-        pairs, owners, links = pairs[order], owners[order], links[order]
-        first = np.flatnonzero(np.concatenate([[True], (pairs[1:] != pairs[:-1]) | (owners[1:] != owners[:-1])])[: len(pairs)])
-        links = np.add.reduceat(links, first) if len(first) else links
-        pairs, owners = pairs[first], owners[first]
+        width = len(self.a.bytes) * size_b
+        keys, links = _summed(owners * width + pairs, links)
+        owners, pairs = keys // width, keys % width
         n_groups = np.bincount(chunk_of, minlength=len(chunks))
         n_links = np.zeros(len(chunks), np.int64)
         np.add.at(n_links, chunk_of, products)
@@ -169,8 +167,8 @@ class Aligner:
                 self._forget()
             known = len(self.places)
             if new := set().union(*cut).difference(self.places):
-                # those that are not remembered come last
-                self.learn(sorted(new, key=lambda c: (len(c) > MEMO_CHARS, c)))
+                long = [c for c in new if len(c) > MEMO_CHARS]
+                self.learn([*new.difference(long), *long])  # those that are not remembered come last
             rows, owners, chunks = [], [], []
             for k, parts in enumerate(cut):
                 place = np.fromiter(map(self.places.__getitem__, parts), np.int64, len(parts))
