@@ -18,14 +18,16 @@ ENDINGS = (
     "e es ee ees s x er ers ez al ale ales aux el elle elles ement ements ment ments issement issements ation ations ateur ateurs atrice atrices ition itions ution utions "
     "ence ences ance ances isme ismes iste istes able ables ible ibles ique iques if ifs ive ives eur eurs euse euses eux ite ites age ages ant ants ante antes"
 )
-#: The shortest stem of three letters or more before an ending; read alike by Java and by RE2.
+#: The shortest stem of three letters or more before an ending, as RE2 reads it; and the same of a word turned round, where the
+#: longest ending comes first and is looked for at one place only.
 STEM_PATTERN = f"^([a-z0-9]{{3,}}?)(?:{'|'.join(ENDINGS.split())})$"
+_TURNED = f"^(?:{'|'.join(sorted((e[::-1] for e in ENDINGS.split()), key=lambda e: (-len(e), e)))})(?=.{{3}})"
 WORD_BREAK = "[^a-z0-9]+"
 
 
 def stem(word: Column) -> Column:
     """A word of plain small letters less its longest known ending."""
-    return F.regexp_replace(word, STEM_PATTERN, "$1")
+    return F.reverse(F.regexp_replace(F.reverse(word), _TURNED, ""))
 
 
 def terms(c: Column) -> Column:
