@@ -26,12 +26,15 @@ from pyspark.sql import functions as F
 from .components import stored
 
 BINS = 4096
-#: Vectors of a block, and queries of one.
-BLOCK, QUERY_BLOCK = 4096, 512
+#: Vectors of a block, and queries of one, at most; and the bytes of their components, but for single vectors that are longer.
+BLOCK, QUERY_BLOCK, BLOCK_BYTES = 4096, 512, 1 << 22
+#: Query blocks whose histograms a task holds at a time, 16 MB each.
+HELD = 8
 #: Vectors of a group of blocks, about: query blocks are copied to each group, which is the work of one task or of a few.
 GROUP = 32 * BLOCK
 
-_BLOCK_SCHEMA = "dim int, part long, n int, ids binary, vectors binary"
+#: bytes: of a component.
+_BLOCK_SCHEMA = "dim int, part long, n int, bytes int, ids binary, vectors binary"
 
 
 def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int = 256) -> DataFrame:
@@ -42,6 +45,12 @@ def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int = 25
     return used.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, lambda x: whole(scale * x.cast("double"))).alias("vector"))
 
 
+def _narrow(values: np.ndarray) -> int:
+    """Bytes that hold each of values."""
+    low, high = int(values.min(initial=0)), int(values.max(initial=0))
+    return next(n for n in (2, 4, 8) if -(1 << 8 * n - 1) <= low and high < 1 << 8 * n - 1)
+
+
 def _pack(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -51,28 +60,31 @@ def _pack(size: int):
             rows: list[tuple] = []
             for dim in np.unique(dims).tolist():
                 where = np.flatnonzero(dims == dim)
-                for at in range(0, len(where), size):
-                    chosen = where[at : at + size]
+                step = max(1, min(size, BLOCK_BYTES // max(8 * dim, 1)))
+                for at in range(0, len(where), step):
+                    chosen = where[at : at + step]
                     vectors = values[(offsets[chosen][:, None] + np.arange(dim)).ravel()]
-                    rows.append((dim, int(ids[chosen[0]]), len(chosen), ids[chosen].astype("<i8").tobytes(), vectors.astype("<i8").tobytes()))
+                    n = _narrow(vectors)
+                    rows.append((dim, int(ids[chosen[0]]), len(chosen), n, ids[chosen].astype("<i8").tobytes(), vectors.astype(f"<i{n}").tobytes()))
             if rows:
-                kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["dim", "part", "n", "ids", "vectors"])
+                kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["dim", "part", "n", "bytes", "ids", "vectors"])
 
     return run
 
 
 def _pairs(queries: DataFrame, blocks: DataFrame, states: DataFrame, groups: int) -> DataFrame:
-    """Every block of queries beside every block of vectors of its dimension, in a task's order of query blocks."""
+    """Every block of queries beside every block of vectors of its dimension, in any order: pairs are made one at a time and
+    never kept."""
     q = queries.join(states, "q_part").withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    b = blocks.select("dim", F.pmod(F.xxhash64("part"), F.lit(groups)).cast("int").alias("group"), F.col("ids").alias("b_ids"), F.col("vectors").alias("b_vectors"))
-    return q.join(b, ["dim", "group"]).sortWithinPartitions("q_part")
+    b = blocks.select("dim", F.pmod(F.xxhash64("part"), F.lit(groups)).cast("int").alias("group"), F.col("bytes").alias("b_bytes"), F.col("ids").alias("b_ids"), F.col("vectors").alias("b_vectors"))
+    return q.join(b, ["dim", "group"])
 
 
 def _scores(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Query ids, vector ids, scores, and which pairs are a row with itself."""
     q_ids, b_ids = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["b_ids"], "<i8")
-    q, b = (np.frombuffer(row[k], "<i8").reshape(len(i), row["dim"]) for k, i in (("q_vectors", q_ids), ("b_vectors", b_ids)))
+    q, b = (np.frombuffer(row[f"{k}_vectors"], f"<i{row[f'{k}_bytes']}").astype(np.int64).reshape(len(i), row["dim"]) for k, i in (("q", q_ids), ("b", b_ids)))
     top = max(int(np.abs(q).max(initial=0)), 1) * max(int(np.abs(b).max(initial=0)), 1) * max(row["dim"], 1)
     own = q_ids[:, None] == b_ids[None, :]
     # whole numbers below 2 ** 53 are exact in floating point, where the product is fast
@@ -93,23 +105,26 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def _histograms(k: int):
-    """Per query, the counts of its highest bins of the current range until k are counted, over all of a task's blocks."""
+    """Per query, the counts of its highest bins of the current range until k are counted, over blocks of a task: over all of
+    them if the task sees few blocks of queries or sees each at a stretch, as joins give them. A bin that is left out has k
+    scores above it in these blocks alone."""
 
-    def flush(part: int, ids: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    def flush(part: int, counts: np.ndarray) -> pa.RecordBatch:
         after = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1] - counts  # in higher bins
         row, bin_ = np.nonzero((counts > 0) & (after < k))
         arrays = [pa.array(np.full(len(row), part)), pa.array(row.astype(np.int32)), pa.array(bin_.astype(np.int32)), pa.array(counts[row, bin_])]
         return pa.RecordBatch.from_arrays(arrays, ["q_part", "q_row", "bin", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, ids, counts = None, None, None
+        held: dict[int, np.ndarray] = {}
         for row in _rows(batches):
-            if row["q_part"] != part:
-                if part is not None:
-                    yield flush(part, ids, counts)
-                part, ids = row["q_part"], np.frombuffer(row["q_ids"], "<i8")
+            ids, _, scores, own = _scores(row)
+            if (counts := held.pop(row["q_part"], None)) is None:
+                if len(held) == HELD:
+                    part = next(iter(held))
+                    yield flush(part, held.pop(part))
                 counts = np.zeros((len(ids), BINS), np.int64)
-            _, _, scores, own = _scores(row)
+            held[row["q_part"]] = counts  # the latest stands last
             low = np.array(row["low"], np.int64)[:, None]
             # a difference of two numbers of 64 bits fits 64 bits without a sign
             bins = (scores.view(np.uint64) - low.view(np.uint64)) // np.uint64(row["width"])
@@ -117,8 +132,8 @@ def _histograms(k: int):
             bins = np.where(kept, bins, 0).astype(np.int64)
             flat = (np.arange(len(ids))[:, None] * BINS + bins)[kept]
             counts += np.bincount(flat, minlength=counts.size).reshape(counts.shape)
-        if part is not None:
-            yield flush(part, ids, counts)
+        for part, counts in held.items():
+            yield flush(part, counts)
 
     return run
 
@@ -149,7 +164,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     groups = max(8, -(-largest["n"] // GROUP))
     queries = asked.repartition(max(1, -(-largest["q"] // (8 * QUERY_BLOCK))), "vec_id").mapInArrow(_pack(QUERY_BLOCK), _BLOCK_SCHEMA)
     # written once: another evaluation may pack other rows together, and passes know a query by its block and place
-    queries = stored(queries.select("dim", F.monotonically_increasing_id().alias("q_part"), F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")))
+    queries = stored(queries.select("dim", F.monotonically_increasing_id().alias("q_part"), F.col("n").alias("q_n"), F.col("bytes").alias("q_bytes"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")))
     # scores beyond 64 bits are errors, so the first range ends there
     bound = min(int(largest["x"] or 0) ** 2 * (largest["d"] or 0) + 1, (1 << 63) - 1)
     widths = [1]

@@ -74,6 +74,20 @@ def test_top_k(spark):
     assert not got
 
 
+@pytest.mark.parametrize("held", [1, 8])
+def test_top_k_of_long_vectors_in_many_blocks(spark, monkeypatch, held):
+    # blocks are of few vectors, and with one histogram at a time a block of queries is counted in several turns
+    monkeypatch.setattr(topk_search, "HELD", held)
+    monkeypatch.setattr(topk_search, "BLOCK_BYTES", 16 * 8 * 768)
+    x = np.random.default_rng(5).normal(size=(200, 768))
+    x[::7] *= 4000.0  # wider components
+    vectors = topk_search.integer_vectors(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    whole = np.floor(256 * x).astype(np.int64)
+    scores = whole @ whole.T
+    want = {(q, r + 1, int(i), int(scores[q, i])) for q in range(0, 200, 3) for r, i in enumerate(sorted((i for i in range(200) if i != q), key=lambda i: (-scores[q, i], i))[:5])}
+    assert {tuple(r) for r in topk_search.top_k(vectors, F.col("vec_id") % 3 == 0).collect()} == want
+
+
 def test_top_k_of_repeats_nulls_and_large_components(spark):
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (None, [9.0, 9.0]), (50, [1e8, 0.0]), (50, [0.0, 1.0])] + [(i, [i / 16, -1.0]) for i in range(1, 9)] + [(3, [3 / 16, -1.0])]
     vectors = topk_search.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
