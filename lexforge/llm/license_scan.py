@@ -86,14 +86,19 @@ def statements(text: Column) -> Column:
 
 
 def judged_texts(texts: DataFrame, threshold: float = THRESHOLD, known: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
-    """key, license and score of the rows of texts(key, text, n), distinct texts that stand n times, with a statement that comes
-    near enough to a template."""
+    """key (a hash of the text), license and score of the rows of texts(text) with a statement that comes near enough to a
+    template, a row for each distinct text. Statements are known by hashes of 128 bits; of a text, only the counts of its words
+    are written, once for all its copies."""
     spark = texts.sparkSession
-    of = stored(texts.select("key", "n", F.explode(statements(F.col("text"))).alias("said")).select("key", "n", "said", F.sha2("said", 256).alias("id")))
-    distinct = of.groupBy("id").agg(F.min("said").alias("said"), F.sum("n").alias("n"))
-    words = distinct.select("id", "n", F.explode(_words(F.col("said"))).alias("word")).groupBy("id", "n", "word").agg(F.count("*").alias("tf"))
-    words = stored(words)
-    total = of.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    said = texts.select(F.sha2("text", 256).alias("key"), F.explode(statements(F.col("text"))).alias("said"))
+    said = said.select("key", F.unhex(F.md5("said")).alias("id"), "said")
+    # each row of a statement counts its words and, once for each text, the empty word: that is how often the statement stands
+    words = said.select("key", "id", F.explode(F.array_append(_words(F.col("said")), F.lit(""))).alias("word"))
+    words = stored(words.groupBy("id", "word", F.when(F.col("word") == "", F.col("key")).alias("key")).agg(F.count("*").alias("c")))
+    of = words.where("word = ''").select("key", "id", "c")
+    times = of.groupBy("id").agg(F.sum("c").alias("n"))
+    total = times.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    words = words.where("word != ''").join(times, "id").select("id", "n", "word", F.expr("c div n").alias("tf"))
     rarity = words.groupBy("word").agg(F.sum("n").alias("df"))
     idf = lambda df: F.log((F.col("total") + 1) / (df + 1)) + 1
     weighted = words.join(rarity, "word").join(F.broadcast(total)).select("id", "word", (F.col("tf") * idf(F.col("df"))).alias("w"))  # total: one row
@@ -118,8 +123,7 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, known: tuple[tu
     as (license, text); if None, those of `templates`."""
     docs = docs.drop("license", "license_score", "license_via")
     key_of = F.when(F.col("text").rlike(TRIGGER), F.sha2(F.col("text"), 256))
-    texts = docs.select("text").where(F.col("text").rlike(TRIGGER)).groupBy(F.sha2("text", 256).alias("key")).agg(F.min("text").alias("text"), F.count("*").alias("n"))
-    own = stored(judged_texts(stored(texts), threshold, known))
+    own = stored(judged_texts(docs.select("text").where(F.col("text").rlike(TRIGGER)), threshold, known))
     files = docs.where(F.regexp_extract("path", r"([^/]*)$", 1).rlike(_LICENSE_FILE)).select("path", key_of.alias("key")).join(own, "key")
     order = F.struct("path", (-F.col("score")).alias("s"), "license")
     per_dir = files.groupBy(directory_of(F.col("path")).alias("at")).agg(F.min_by(F.struct("license", "score"), order).alias("f"))
@@ -129,7 +133,9 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, known: tuple[tu
     near = above.join(per_dir, "at").groupBy("dir").agg(F.max_by("f", F.length("at")).alias("f"))
     taken = list(docs.columns)
     key, dir_, mine, theirs = names = [free_name(n, taken + ["license", "license_score", "license_via"]) for n in ("key", "dir", "mine", "theirs")]
-    joined = docs.withColumns({key: key_of, dir_: directory_of(F.col("path"))})
+    # rows without a key or a directory would all meet in one task; no key starts with a line break, and no directory holds one
+    none = F.concat(F.lit("\n"), F.xxhash64("path", "text").cast("string"))
+    joined = docs.withColumns({key: F.coalesce(key_of, none), dir_: F.coalesce(directory_of(F.col("path")), none)})
     joined = joined.join(own.select(F.col("key").alias(key), F.struct("license", "score").alias(mine)), key, "left")
     joined = joined.join(near.select(F.col("dir").alias(dir_), F.col("f").alias(theirs)), dir_, "left")
     via = F.when(F.col(mine).isNotNull(), "own").when(F.col(theirs).isNotNull(), "directory").otherwise("none")
