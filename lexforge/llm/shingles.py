@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
+#: Bytes of the longest words that are hashed by a polynomial modulo 2 ** 64: long words can be made whose polynomials agree
+#: for any base.
+LONGEST = 64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _LOWER = bytes(range(256)).lower()
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_factors = [np.zeros(0, np.uint64)]
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -32,6 +38,14 @@ def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _place_factors(n: int) -> np.ndarray:
+    """Odd numbers without pattern, one for each of n places: no two sets of few places have the same sum of them, so a run
+    that repeats words is told from the same words in another order."""
+    if len(_factors[0]) < n:
+        _factors[0] = mixed(np.arange(2 * n, dtype=np.uint64), 1) | np.uint64(1)
+    return _factors[0]
+
+
 def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
     """Sorted distinct hashes of the runs of `words` words of text, A-Z lower-cased, words being split at white space
     of ASCII; of all words as one run if there are fewer; empty without words."""
@@ -44,10 +58,11 @@ def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
     power, inverse = _power_tables(len(raw) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw + np.uint64(1)) * power[: len(raw)], dtype=np.uint64)])
     hashed = mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+    for i in np.flatnonzero(ends - starts > LONGEST).tolist():
+        hashed[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=8).digest(), "little")
     n = min(words, len(hashed))
     size = len(hashed) - n + 1
-    # words' hashes are mixed already: a sum of multiples by odd numbers, which differ by place, tells orders apart
-    run = np.full(size, n, np.uint64)
+    run, factors = np.full(size, n, np.uint64), _place_factors(n)
     for k in range(n):
-        run += hashed[k : k + size] * np.uint64((2 * k + 1) * _BASE & _MASK)
+        run += hashed[k : k + size] * factors[k]
     return np.unique(mixed(run))

@@ -55,6 +55,19 @@ def test_components(spark, docs):
         assert got == brute(texts)
 
 
+def test_words_that_repeat_within_shingles(spark, docs):
+    """Texts of two or three words, whose shingles are the same few words in another order, and long words whose polynomials
+    agree modulo 2 ** 64."""
+    r = random.Random(7)
+    texts = ["a b b b a", "b a b a b", "a b b b a b a b", " ".join(["a b"] * 6), "b a a a b b b a b a"]
+    texts += [" ".join(r.choice(w) for _ in range(r.randint(4, 40))) for w in ("ab", "abc") for _ in range(60)]
+    thue_morse = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    texts += [f"{thue_morse} tail", f"{thue_morse.translate(str.maketrans('ab', 'ba'))} tail"]
+    texts = list(enumerate(texts))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in nd.near_duplicates(docs(texts)).collect()}
+    assert got == brute(texts)
+
+
 def test_small_blocks_and_no_early_links(spark, docs, monkeypatch):
     """Blocks of a few rows, so that every path for large buckets is taken; no early links, so that the rest finds all."""
     monkeypatch.setattr(nd, "BLOCK", 4)
