@@ -59,3 +59,14 @@ def test_plan_against_the_sequential_rule(spark, monkeypatch, block):
         texts, n = sequential(pages)
         want |= {(d, p): (t, n) for p, t in enumerate(texts)}
     assert got == want and sum(n for _, n in want.values()) > 100
+
+
+def test_lines_never_become_rows(spark, monkeypatch):
+    """What is kept between jobs is rows of pages, of few chains over their ends, and of words asked of other pages."""
+    text = "\n".join(f"le com-\nmis{i % 7}saire dit ci- dessus" for i in range(2000))
+    pages = spark.createDataFrame([(d, p, text) for d, n in ((1, 1), (2, 3), (3, 1)) for p in range(n)], "doc_id long, page_no int, text string")
+    rows, kept = [], layout.kept
+    monkeypatch.setattr(layout, "kept", lambda df: (made := kept(df), rows.append(made.count()))[0])
+    found = layout.without_hyphens(pages).collect()
+    assert {(x.doc_id, x.repairs) for x in found} == {(1, 4000), (2, 12_000), (3, 4000)} and len(found) == 5
+    assert max(rows) <= 20
