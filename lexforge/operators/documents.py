@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.kept import kept
 from . import scans
 
 # Thresholds of the checks and of header removal.
@@ -56,12 +57,24 @@ def scanned_documents(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg((F.sum(F.length(F.trim("text"))) < SCANNED_CHARS_PER_PAGE * F.count("*")).alias("scanned"))
 
 
+def _with_edges(pages: DataFrame) -> DataFrame:
+    """doc_id, page_no, lines, and low and high: the places of the last of a page's first EDGE_LINES non-blank lines, and of the
+    first of its last ones; null without any."""
+    held = pages.select("doc_id", "page_no", F.split("text", "\n").alias("lines"))
+    filled = F.filter(F.transform("lines", lambda x, i: F.when(F.trim(x) != "", i)), lambda i: i.isNotNull())
+    held = held.withColumn("filled", filled)
+    low, high = F.get("filled", F.least(F.lit(EDGE_LINES), F.size("filled")) - 1), F.get("filled", F.greatest(F.size("filled") - EDGE_LINES, F.lit(0)))
+    return held.select("doc_id", "page_no", "lines", low.alias("low"), high.alias("high"))
+
+
+def _is_edge(line: Column, line_no: Column) -> Column:
+    return (F.trim(line) != "") & ((line_no <= F.col("low")) | (line_no >= F.col("high")))
+
+
 def edge_lines(pages: DataFrame) -> DataFrame:
     """doc_id, page_no, line_no, line and edge: whether it is among the first or last non-blank lines of its page."""
-    lines = numbered_lines(pages, keys=("doc_id", "page_no")).withColumn("blank", F.trim("line") == "")
-    by = Window.partitionBy("doc_id", "page_no", "blank")
-    top, bottom = F.row_number().over(by.orderBy("line_no")), F.row_number().over(by.orderBy(F.desc("line_no")))
-    return lines.withColumn("edge", ~F.col("blank") & (F.least(top, bottom) <= EDGE_LINES))
+    lines = _with_edges(pages).select("doc_id", "page_no", "low", "high", F.posexplode("lines").alias("line_no", "line"))
+    return lines.withColumn("edge", _is_edge(F.col("line"), F.col("line_no"))).drop("low", "high")
 
 
 def repeated_edges(lines: DataFrame) -> DataFrame:
@@ -74,14 +87,18 @@ def repeated_edges(lines: DataFrame) -> DataFrame:
     return counts.join(pages, "doc_id").where(F.col("n") >= least).select("doc_id", "key", "n")
 
 
-def without_repeated_edges(pages: DataFrame) -> DataFrame:
-    """pages(doc_id, page_no, text) less repeated edge lines and lines that PDF writers sign with."""
-    lines = edge_lines(pages).withColumn("key", T.repetition_key(F.col("line")))
-    repeated = repeated_edges(lines).select("doc_id", "key", F.lit(True).alias("repeated"))
-    kept = lines.join(repeated, ["doc_id", "key"], "left").where(~(F.col("edge") & F.coalesce("repeated", F.lit(False))) & ~T.is_writer_signature(F.col("line")))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"])
-    rest = kept.groupBy("doc_id", "page_no").agg(F.array_join(ordered, "\n").alias("text"))
-    return pages.select("doc_id", "page_no").join(rest, ["doc_id", "page_no"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+def repeated_keys(pages: DataFrame) -> DataFrame:
+    """doc_id and keys, sorted, of `repeated_edges`: few a document, as each is that of many pages."""
+    return kept(repeated_edges(edge_lines(pages)).groupBy("doc_id").agg(F.array_sort(F.collect_set("key")).alias("keys")))
+
+
+def without_repeated_edges(pages: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """pages(doc_id, page_no, text) less repeated edge lines and lines that PDF writers sign with. keys: their `repeated_keys`,
+    where these are known."""
+    held = _with_edges(pages).join(repeated_keys(pages) if keys is None else keys, "doc_id", "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<string>")))
+    gone = lambda line, i: _is_edge(line, i) & F.array_contains("keys", T.repetition_key(line))
+    left = F.filter("lines", lambda line, i: ~gone(line, i) & ~T.is_writer_signature(line))
+    return held.select("doc_id", "page_no", F.coalesce(F.array_join(left, "\n"), F.lit("")).alias("text"))
 
 
 def without_noise_lines(pages: DataFrame) -> DataFrame:
