@@ -82,3 +82,15 @@ def test_two_columns(spark):
     got = layout.page_lines(spark.createDataFrame(words, "doc_id long, page_no int, x0 double, x1 double, top double, text string, width double"))
     lines = [r.line for r in got.orderBy("line_no").collect()]
     assert lines == [f"l{t}" for t in range(0, 240, 20)] + [f"r{t}" for t in range(0, 240, 20)]
+
+
+def test_words_of_a_page_are_brought_together_once(spark):
+    """Pages in one and two columns, uneven tops and few words; neither gutters nor lines need a second shuffle of words."""
+    rows = [(1, p, 40.0 + 260 * c + 70 * i, 100.0 + 260 * c + 70 * i, 20.0 * k + 0.7 * i, f"w{c}{k}{i}", 620.0) for p in (1, 2) for k in range(12) for c in range(2) for i in range(2) if p == 1 or k < 4]
+    words = spark.createDataFrame(rows, "doc_id long, page_no int, x0 double, x1 double, top double, text string, width double").repartition(3)
+    found = layout.page_lines(words)
+    got = [(x.page_no, x.line) for x in found.orderBy("page_no", "line_no").collect()]
+    assert got == [(1, f"w{c}{k}0 w{c}{k}1") for c in range(2) for k in range(12)] + [(2, f"w0{k}0 w0{k}1 w1{k}0 w1{k}1") for k in range(4)]
+    assert [(x.page_no, x.gutter) for x in layout.gutters(words).orderBy("page_no").collect()] == [(1, 258.0), (2, None)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1 and "Join" not in plan
