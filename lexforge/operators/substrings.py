@@ -11,8 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of the longest grams.
-GRAM = 3
+from ..sources.kept import kept
+
+#: Characters of the longest grams, and fields of a gram that one task compares, about.
+GRAM, BLOCK = 3, 20_000
 
 
 def _grams(text: Column, sizes: range) -> Column:
@@ -27,9 +29,18 @@ def containing(rows: DataFrame, key: str, fields: dict[str, Column], terms: Data
     asked = terms.select("term").where("term <> ''").distinct()
     texts = rows.select(key, F.explode(F.array_distinct(F.array(*fields.values()))).alias("text")).where("text <> ''")
     keyed = asked.withColumn("gram", F.explode(_grams(F.col("term"), range(1, GRAM + 1)))).where(F.length("gram") == F.least(F.length("term"), F.lit(GRAM)))
-    # only grams that some term has take part
-    postings = texts.withColumn("gram", F.explode(_grams(F.col("text"), range(1, GRAM + 1)))).join(keyed.select("gram").distinct(), "gram", "left_semi")
+    # only grams that some term has take part; so short, they are no more than the alphabet makes, and no field is dealt by them
+    wanted = F.broadcast(keyed.select("gram").distinct())
+    postings = texts.withColumn("gram", F.explode(_grams(F.col("text"), range(1, GRAM + 1)))).join(wanted, "gram", "left_semi")
     counts = postings.groupBy("gram").agg(F.count("*").alias("n"))
     # a gram that no field has rules its term out
-    rarest = keyed.join(counts, "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).where("g.n > 0").select("term", F.col("g.gram").alias("gram"))
-    return postings.join(rarest, "gram").where(F.contains("text", "term")).select("term", key).distinct()
+    rarest = keyed.join(counts, "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).where("g.n > 0")
+    fields, asked = _dealt(postings, kept(rarest.select("term", "g.gram", F.ceil(F.col("g.n") / BLOCK).cast("int").alias("blocks"))), key)
+    return fields.join(asked, ["gram", "block"]).where(F.contains("text", "term")).select("term", key).distinct()
+
+
+def _dealt(postings: DataFrame, rarest: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Both with block: the fields of a frequent gram are dealt out over its blocks, each of which meets all of its terms."""
+    large = F.broadcast(rarest.where("blocks > 1").select("gram", "blocks").distinct())  # each has over BLOCK fields
+    fields = postings.join(large, "gram", "left").withColumn("block", F.pmod(F.xxhash64(key, "text"), F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks")
+    return fields, rarest.select("term", "gram", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))

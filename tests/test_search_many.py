@@ -23,6 +23,20 @@ def test_a_common_gram_is_not_read(spark):
     assert found.count() == 200
 
 
+def test_a_gram_of_every_field_is_many_tasks_work(spark, monkeypatch):
+    """Terms without a rare gram match every field: its fields are dealt out, none is lost, and none is met twice."""
+    monkeypatch.setattr(substrings, "BLOCK", 100, raising=False)
+    people = spark.range(3000).select(F.col("id").alias("user_id"), F.concat(F.lit("u"), F.col("id").cast("string"), F.lit("@x.org")).alias("email"))
+    terms = spark.createDataFrame([("x.o",), ("@",), ("u7",), ("x.org",)], "term string")
+    found = substrings.containing(people, "user_id", {"email": F.col("email")}, terms)
+    counts = {x.term: x["count"] for x in found.groupBy("term").count().collect()}
+    assert counts == {"x.o": 3000, "@": 3000, "x.org": 3000, "u7": 1 + 10 + 100}
+    postings = people.select("user_id", F.lit("x.o").alias("gram"), F.col("email").alias("text"))
+    fields, asked = substrings._dealt(postings, spark.createDataFrame([("x.o", "x.o", 30)], "term string, gram string, blocks int"), "user_id")
+    sizes = [x["count"] for x in fields.groupBy("gram", "block").count().collect()]
+    assert len(sizes) == 30 and max(sizes) < 200 and asked.count() == 30
+
+
 def test_index_recall_and_additions(spark, tmp_path):
     rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
     path = str(tmp_path / "index")
