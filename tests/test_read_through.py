@@ -60,7 +60,7 @@ def _plan(df):
 
 
 def test_no_join_moves_the_contents_of_articles(spark):
-    for query in (queries.lexical_topk,):
+    for query in (queries.lexical_topk, queries.hybrid_rrf):
         lines = _plan(query(spark, SF))
         place = lambda line: len(line) - len(line.lstrip(" :+-"))
         at = next(i for i, line in enumerate(lines) if "MapInArrow" in line and "content" in line)
