@@ -67,3 +67,7 @@ def test_no_join_moves_the_contents_of_articles(spark):
         below = [line for line in lines[at + 1 :]]
         below = below[: next((i for i, line in enumerate(below) if place(line) <= place(lines[at])), len(below))]
         assert below and not any("Join" in line for line in below)
+
+
+def test_the_gate_searches_once(spark):
+    assert not any("MapInArrow" in line for line in _plan(queries.relevance_gate(spark, SF)))
