@@ -106,9 +106,60 @@ def without_noise_lines(pages: DataFrame) -> DataFrame:
     return pages.withColumn("text", F.array_join(kept, "\n"))
 
 
+def _noted(lines: DataFrame) -> DataFrame:
+    """What lines(doc_id, line_no, line) say, read once before they are dealt out: marker (a page's number, else empty), listed
+    (a line of a table of contents), level and label of a heading, number of an article header, and part, what is left of it."""
+    held = lines.select("doc_id", "line_no", F.regexp_extract("line", T.PAGE_MARKER, 1).alias("marker"), T.clean_line(F.col("line")).alias("line"))
+    held = held.withColumns({"listed": F.col("line").rlike(T.CONTENTS_LINE), "level": T.level_of(F.col("line"))})
+    label = F.coalesce(*(F.when(F.col("level") == level, T.level_label(F.col("line"), level)) for level in T.LEVELS))
+    held = held.withColumns({"label": label, "number": F.when(F.col("level").isNull(), T.article_number(F.col("line")))})
+    return held.withColumn("part", F.when(F.col("number").isNotNull(), T.header_rest(F.col("line"))).otherwise(F.col("line"))).drop("line")
+
+
+def _page() -> Column:
+    return F.when(F.col("marker") != "", F.col("marker").cast("int"))
+
+
+def _headings() -> dict[str, Column]:
+    return {level: F.when(F.col("level") == level, F.struct(F.col("line_no").alias("at"), "label")) for level in T.LEVELS}
+
+
+def _spanned(paged: DataFrame, first_page: int, last_page: int | None) -> DataFrame:
+    span = F.coalesce("page_no", F.lit(0)).between(first_page, last_page if last_page is not None else 1 << 30)
+    return paged.where((F.col("marker") == "") & span & ~F.col("listed"))
+
+
+def _body(read: DataFrame) -> DataFrame:
+    """The lines that belong to an article, with its path."""
+    open_labels = []
+    for i, level in enumerate(T.LEVELS):
+        later = [F.coalesce(F.col(f"{x}.at"), F.lit(-1)) for x in T.LEVELS[:i]]
+        above = reduce(F.greatest, later) if later else F.lit(-1)
+        open_labels.append(F.when(F.col(f"{level}.at") > above, F.col(f"{level}.label")))
+    return read.withColumn("path", F.concat_ws(" > ", *open_labels)).where((F.col("seq") > 0) & F.col("level").isNull())
+
+
+def _head(c: str) -> Column:
+    return F.min_by(c, "line_no").alias(c)
+
+
+def _in_order(by: str) -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, "part"))), lambda x: x["part"]), " ")
+
+
 def articles(df: DataFrame, first_page: int = 1, last_page: int | None = None) -> DataFrame:
-    """doc_id, seq, number, path, content and page of the articles of texts with page markers."""
-    return articles_of_lines(numbered_lines(df), first_page, last_page)
+    """doc_id, seq, number, path, content and page of the articles of texts with page markers.
+
+    A text of at most BLOCK_LINES lines is one block, with nothing before it: its lines are dealt out by document, once, and read
+    in order. Longer ones are read as `articles_of_lines` does."""
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1
+    so_far = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda c: F.last(c, ignorenulls=True).over(so_far)
+    paged = _noted(numbered_lines(df.where(lines <= BLOCK_LINES))).withColumn("page_no", last(_page()))
+    read = _spanned(paged, first_page, last_page).withColumns({level: last(c) for level, c in _headings().items()} | {"seq": F.count("number").over(so_far)})
+    short = _body(read).groupBy("doc_id", "seq").agg(_head("number"), _head("path"), T.collapsed(_in_order("line_no")).alias("content"), F.min_by(F.coalesce("page_no", F.lit(0)), "line_no").alias("page"))
+    long = kept(df.select("doc_id", "text").where(lines > BLOCK_LINES))  # few, and read several times
+    return short.unionByName(articles_of_lines(numbered_lines(long), first_page, last_page))
 
 
 def articles_of_lines(lines: DataFrame, first_page: int = 1, last_page: int | None = None) -> DataFrame:
@@ -117,22 +168,10 @@ def articles_of_lines(lines: DataFrame, first_page: int = 1, last_page: int | No
     The state that a reader would carry from line to line, which is the page, the open headings and the open article, is
     the last of its kind so far; a heading closes those below it. Lines before the first article belong to none. An
     article's lines are joined block by block first."""
-    span = F.col("page_no").between(first_page, last_page if last_page is not None else 1 << 30)
-    read = _paged(lines.select("doc_id", "line_no", "line")).where(span).withColumn("line", T.clean_line(F.col("line"))).where(~F.col("line").rlike(T.CONTENTS_LINE))
-    read = read.withColumn("level", T.level_of(F.col("line"))).withColumn("number", F.when(F.col("level").isNull(), T.article_number(F.col("line"))))
-    heading = lambda level: F.when(F.col("level") == level, F.struct(F.col("line_no").alias("at"), T.level_label(F.col("line"), level).alias("label")))
-    read = scans.scanned(read, "doc_id", "line_no", {level: heading(level) for level in T.LEVELS}, {"seq": F.col("number")})
-    open_labels = []
-    for i, level in enumerate(T.LEVELS):
-        later = [F.coalesce(F.col(f"{x}.at"), F.lit(-1)) for x in T.LEVELS[:i]]
-        above = reduce(F.greatest, later) if later else F.lit(-1)
-        open_labels.append(F.when(F.col(f"{level}.at") > above, F.col(f"{level}.label")))
-    body = read.withColumn("path", F.concat_ws(" > ", *open_labels)).where((F.col("seq") > 0) & F.col("level").isNull())
-    part = F.when(F.col("number").isNotNull(), T.header_rest(F.col("line"))).otherwise(F.col("line"))
-    in_order = lambda of: F.array_join(F.transform(F.array_sort(F.collect_list(of)), lambda x: x["part"]), " ")
-    head = lambda c: F.min_by(c, "line_no").alias(c)
-    parts = body.groupBy("doc_id", "seq", "block").agg(F.min("line_no").alias("line_no"), head("number"), head("path"), head("page_no"), in_order(F.struct("line_no", part.alias("part"))).alias("part"))
-    whole = parts.groupBy("doc_id", "seq").agg(head("number"), head("path"), T.collapsed(in_order(F.struct("block", "part"))).alias("content"), F.min_by("page_no", "line_no").alias("page"))
+    paged = scans.scanned(in_blocks(_noted(lines)), "doc_id", "line_no", {"page_no": _page()})
+    read = scans.scanned(_spanned(paged, first_page, last_page), "doc_id", "line_no", _headings(), {"seq": F.col("number")})
+    parts = _body(read).groupBy("doc_id", "seq", "block").agg(F.min("line_no").alias("line_no"), _head("number"), _head("path"), F.min_by(F.coalesce("page_no", F.lit(0)), "line_no").alias("page_no"), _in_order("line_no").alias("part"))
+    whole = parts.groupBy("doc_id", "seq").agg(_head("number"), _head("path"), T.collapsed(_in_order("block")).alias("content"), F.min_by("page_no", "line_no").alias("page"))
     return whole.select("doc_id", "seq", "number", "path", "content", "page")
 
 

@@ -42,3 +42,25 @@ def test_one_huge_document_is_many_tasks_work(spark, monkeypatch):
     assert len(found) == 1000
     assert [(r.number, r.path, r.page, len(r.content.split())) for r in found[:2]] == [("0", "Titre 1", 3, 100), ("1", "Titre 1", 3, 100)]
     assert (found[999].number, found[999].path) == ("999", "Titre 100")
+
+
+def test_only_long_texts_are_read_in_blocks(spark, monkeypatch):
+    """Before, the lines of every text were dealt out by blocks, twice, and joined with what stands before these."""
+    monkeypatch.setattr(documents, "BLOCK_LINES", 4)
+    seen, read = [], documents.articles_of_lines
+    monkeypatch.setattr(documents, "articles_of_lines", lambda lines, *span: seen.append(lines) or read(lines, *span))
+    text = "===PAGE 2===\nTITRE I\nArticle 1 : un\nsuite"
+    texts = spark.createDataFrame([(1, text), (2, text + "\nfin"), (3, None), (4, "")], "doc_id long, text string")
+    got = documents.articles(texts).orderBy("doc_id").collect()
+    assert [tuple(x) for x in got] == [(1, 1, "1", "Titre I", "un suite", 2), (2, 1, "1", "Titre I", "un suite fin", 2)]
+    assert {x.doc_id for x in seen[0].collect()} == {2}
+
+
+def test_cleaning_looks_at_every_character(spark):
+    """Only lines with a character that cleaning may change are translated."""
+    from lexforge.functions import text as T
+
+    shown = dict(zip(T.EXOTIC_SPACES + T.EXOTIC_DASHES, " " * len(T.EXOTIC_SPACES) + "-" * len(T.EXOTIC_DASHES))) | T.KNOWN_GLYPHS
+    chars = [chr(c) for c in [*range(0x20, 0x3100), *range(0xE000, 0x10000), 0x1F600]]
+    got = spark.createDataFrame([(c,) for c in chars], "c string").select("c", T.clean_line(F.col("c")).alias("clean")).collect()
+    assert all(x.clean == shown.get(x.c, " " if 0xE000 <= ord(x.c) <= 0xF8FF else x.c) for x in got)
