@@ -16,19 +16,23 @@ from .shingles import mixed
 GRAM = 32
 #: Windows that are looked at together; places must fit the 24 bits kept for them.
 _BLOCK = 1 << 20
-_BASE = 0x9E3779B97F4A7C15
+_BASE, _SECOND = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _MASK = (1 << 64) - 1
 #: Entries of the table of frequent grams.
 _TABLE = 1 << 20
 
 
 def gram_hashes(raw: np.ndarray) -> np.ndarray:
-    """Hash of every gram, by doubling: a gram of 2n bytes is its first n bytes' hash times a power, plus the rest's."""
-    h, n, base = raw.astype(np.uint64) + np.uint64(1), 1, _BASE
-    while n < GRAM:
-        h = h[:-n] * np.uint64(base) + h[n:]
-        n, base = 2 * n, base * base & _MASK
-    return mixed(h)
+    """Hash of every gram: of its first 16 bytes' number and its last ones', each made of two words of 8 bytes."""
+    if len(raw) < GRAM:
+        return np.zeros(0, np.uint64)
+    words = np.ndarray(len(raw) - 7, "<u8", np.ascontiguousarray(raw), strides=(1,)).astype(np.uint64)
+    h = words[:-8] * np.uint64(_BASE)
+    h += words[8:]
+    h ^= h >> np.uint64(29)  # so that words which differ in their high bytes alone differ in the low ones, too
+    h *= np.uint64(_SECOND)
+    h[:-16] += h[16:] >> np.uint64(32) | h[16:] << np.uint64(32)
+    return mixed(h[:-16])
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -53,8 +57,12 @@ def runs(text: bytes, length: int, frequent: np.ndarray) -> Iterator[tuple[np.nd
     raw = np.frombuffer(text, np.uint8)
     for at in range(0, len(raw) - length + 1, _BLOCK):
         hashes = gram_hashes(raw[at : at + _BLOCK + length - 1])
-        placed = (hashes >> np.uint64(1) & np.uint64(_MASK ^ 0xFFFFFF)) | np.arange(len(hashes), dtype=np.uint64)
-        placed |= frequent[hashes & np.uint64(_TABLE - 1)].astype(np.uint64) << np.uint64(63)
+        placed = hashes >> np.uint64(1)
+        placed &= np.uint64(_MASK ^ 0xFFFFFF)
+        placed |= np.arange(len(hashes), dtype=np.uint64)
+        last = frequent[(hashes & np.uint64(_TABLE - 1)).view(np.int64)].astype(np.uint64)
+        last <<= np.uint64(63)
+        placed |= last
         least = _least(placed, length - GRAM + 1) & np.uint64(0xFFFFFF)
         first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
         yield hashes[least[first].astype(np.int64)], first + at, np.diff(np.append(first, len(least)))

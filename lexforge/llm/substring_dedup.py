@@ -62,22 +62,27 @@ def _encoded(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
 
 
 def _frequent_grams(docs: DataFrame) -> np.ndarray:
-    """The table of grams that stand often."""
+    """The table of grams that stand often. They are known by the low 32 bits of their hashes, of which the table has the
+    last ones; some that share them with others may count as frequent, which changes only the dealing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        size = 0
 
         def counted() -> pa.RecordBatch:
-            seen, counts = np.unique(np.concatenate(held or [np.zeros(0, np.uint64)]), return_counts=True)
+            grams = np.sort(np.concatenate(held or [np.zeros(0, np.uint32)]))
+            again, counts = np.unique(grams[1:][grams[1:] == grams[:-1]], return_counts=True)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(seen[counts > 1].view(np.int64)), pa.array(counts[counts > 1].astype(np.int64) - 1)], ["gram", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(again.astype(np.int64)), pa.array(counts.astype(np.int64))], ["gram", "c"])
 
         for batch in batches:
             for _, text in _encoded(batch):
                 for at in range(0, len(text) - minimizers.GRAM + 1, SCAN_BYTES):
-                    held.append(minimizers.gram_hashes(np.frombuffer(text[at : at + SCAN_BYTES + minimizers.GRAM - 1], np.uint8)))
-                    if sum(map(len, held)) > SCAN_BYTES:
+                    held.append(minimizers.gram_hashes(np.frombuffer(text[at : at + SCAN_BYTES + minimizers.GRAM - 1], np.uint8)).astype(np.uint32))
+                    size += len(held[-1])
+                    if size > SCAN_BYTES:
                         yield counted()
+                        size = 0
         yield counted()
 
     found = _texts(docs).mapInArrow(run, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT)
@@ -90,18 +95,26 @@ def _minimizer_counts(docs: DataFrame, frequent, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, forms = [], []
+            found, nexts, windows = ([np.zeros(0, np.uint64)] for _ in range(3))
             for _, text in _encoded(batch):
                 for hashes, firsts, counts in minimizers.runs(text, length, frequent.value):
                     found.append(hashes)
-                    # a run's form, as far as its own and its neighbours' minimizers tell
-                    forms.append(mixed(hashes ^ mixed(np.append(hashes[1:], counts[-1:].view(np.uint64))) ^ counts.view(np.uint64), 7))
-            hashes, forms = (np.concatenate(x or [np.zeros(0, np.uint64)]) for x in (found, forms))
-            seen, counts = np.unique(hashes, return_counts=True)
-            distinct = np.unique(forms, return_index=True)[1]
-            keys, several = np.unique(hashes[distinct], return_counts=True)
-            different = np.ones(len(seen), np.int64)
-            different[np.searchsorted(seen, keys)] = several
+                    nexts += hashes[1:], counts[-1:].view(np.uint64)
+                    windows.append(counts.view(np.uint64))
+            hashes = np.concatenate(found)
+            # a run's form, as far as its own and its neighbours' minimizers tell
+            forms = mixed(hashes ^ mixed(np.concatenate(nexts)) ^ np.concatenate(windows), 7)
+            order = np.argsort(hashes)
+            hashes, forms = hashes[order], forms[order]
+            first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])[: len(hashes)])
+            counts, seen = np.diff(first, append=len(hashes)), hashes[first]
+            # only minimizers that stand twice can have several forms
+            twice = np.repeat(counts > 1, counts)
+            group = np.repeat(np.arange(len(first)), counts)[twice]
+            order = np.lexsort((forms[twice], group))
+            kept = forms[twice][order]
+            new = np.append(True, (kept[1:] != kept[:-1]) | (group[1:] != group[:-1]))[: len(kept)]
+            different = np.maximum(np.bincount(group[new], minlength=len(first)), 1)
             yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(np.minimum(counts, 2).astype(np.int64)), pa.array(different)], ["key", "c", "runs"])
 
     return _texts(docs).mapInArrow(run, "key long, c long, runs long").groupBy("key").agg(F.sum("c").alias("c"), F.sum("runs").alias("runs")).where("c > 1").select("key", "runs")

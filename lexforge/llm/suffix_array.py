@@ -1,171 +1,123 @@
 """Suffix arrays by induced sorting, and permuted longest common prefixes, over numpy arrays.
 
-Over bytes, the scans of induced sorting go bucket by bucket rather than entry by entry: what a bucket
-already holds is induced from at once, as are the entries that this adds to the same bucket, until it adds
-none. The reduced strings, whose symbols are the names of substrings and whose buckets are therefore small,
-are a third as long at most; they are scanned entry by entry, level below level, until all names differ.
+A suffix falls or rises by whether the next one is smaller. The leftmost of rising ones are sorted by their
+substrings, and these by their names, level below level, until all names differ; a level is half as long as the
+one above at most. From the order of the leftmost, that of all falling suffixes is induced: such a suffix is its
+symbols down to the next leftmost rising one, whose rank is known. From the order of the falling ones, that of
+all rising ones is induced in the same way. A bucket scan takes these steps suffix by suffix; here all suffixes of
+a kind take a step at once, and only those that are still level take another. Equal symbols in a row are one step, so
+there are as many steps as symbols in the longest part that falls or rises throughout and stands twice, at most.
 """
 
 from __future__ import annotations
 
-from itertools import accumulate
-
 import numpy as np
 
 
-def _types(s: np.ndarray) -> np.ndarray:
-    """True for suffixes that are smaller than the next one; the last symbol must be the smallest and stand once."""
-    rises = np.sign(np.diff(s.astype(np.int64)))
-    at = np.where(rises != 0, np.arange(len(rises)), len(rises))
-    following = np.minimum.accumulate(at[::-1])[::-1]
-    return np.append(np.append(rises, 1)[following] > 0, True)
-
-
-def _spread(chars: np.ndarray, values: np.ndarray, sa: np.ndarray, ends: np.ndarray, step: int) -> None:
-    """Put values, in order, at the moving ends of the buckets of their symbols."""
-    order = np.argsort(chars, kind="stable")
-    chars, values = chars[order], values[order]
-    first = np.flatnonzero(np.concatenate([[True], chars[1:] != chars[:-1]]))
-    counts = np.diff(np.append(first, len(chars)))
-    rank = np.arange(len(chars)) - np.repeat(first, counts)
-    sa[ends[chars] + step * rank] = values
-    ends[chars[first]] += step * counts
-
-
-def _induce(s: np.ndarray, smaller: np.ndarray, starts: np.ndarray, stops: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """The suffix array that follows from the leftmost-smaller suffixes in the order given."""
-    sa = np.full(len(s), -1, np.int64)
-    order = np.argsort(s[seeds], kind="stable")
-    seeds = seeds[order]
-    held = np.bincount(s[seeds], minlength=len(starts))
-    at = np.cumsum(held)
-    heads, used = starts.copy(), np.flatnonzero(stops > starts)
-    for c in used.tolist():
-        done = starts[c]
-        while done < heads[c]:
-            block, done = sa[done : heads[c]], heads[c]
-            before = block[block > 0] - 1
-            before = before[~smaller[before]]
-            if len(before):
-                _spread(s[before], before, sa, heads, 1)
-        block = seeds[at[c] - held[c] : at[c]]
-        before = block[block > 0] - 1
-        before = before[~smaller[before]]
-        if len(before):
-            _spread(s[before], before, sa, heads, 1)
-    tails = stops - 1
-    for c in used[::-1].tolist():
-        done = stops[c] - 1
-        while done > tails[c]:
-            block, done = sa[tails[c] + 1 : done + 1][::-1], tails[c]
-            before = block[block > 0] - 1
-            before = before[smaller[before]]
-            if len(before):
-                _spread(s[before], before, sa, tails, -1)
-        block = sa[starts[c] : heads[c]][::-1]
-        before = block[block > 0] - 1
-        before = before[smaller[before]]
-        if len(before):
-            _spread(s[before], before, sa, tails, -1)
-    sa[0] = len(s) - 1
-    return sa
-
-
-def _scanned(s: list[int], smaller: list[bool], counts: list[int], seeds: list[int]) -> list[int]:
-    """`_induce`, entry by entry."""
-    sa = [-1] * len(s)
-    tails = list(accumulate(counts))
-    heads = [0, *tails[:-1]]
-    at = tails.copy()
-    for j in reversed(seeds):
-        at[s[j]] -= 1
-        sa[at[s[j]]] = j
-    for j in sa:
-        if j > 0 and not smaller[j - 1]:
-            c = s[j - 1]
-            sa[heads[c]] = j - 1
-            heads[c] += 1
-    for i in range(len(s) - 1, -1, -1):
-        j = sa[i] - 1
-        if j >= 0 and smaller[j]:
-            c = s[j]
-            tails[c] -= 1
-            sa[tails[c]] = j
-    return sa
-
-
-def sorted_names(names: np.ndarray, levels: list[int] | None = None) -> list[int]:
-    """Suffix array of a reduced string by induced sorting, level below level; its last symbol is the smallest and stands
-    once. levels: takes the length of each level."""
-    if levels is not None:
-        levels.append(len(names))
-    smaller, s = _types(names), names.tolist()
-    leftmost = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
-    counts, types, seeds = np.bincount(names).tolist(), smaller.tolist(), leftmost.tolist()
-    if len(seeds) < 2:
-        return _scanned(s, types, counts, seeds)
-    rough = np.array(_scanned(s, types, counts, seeds), np.int64)
-    place = np.full(len(s), -1, np.int64)
-    place[leftmost] = np.arange(len(leftmost))
-    ranked = place[rough]
-    reduced = _named(names, leftmost, ranked[ranked >= 0])
-    order = np.argsort(reduced) if int(reduced.max()) + 1 == len(reduced) else np.array(sorted_names(reduced, levels))
-    return _scanned(s, types, counts, leftmost[order].tolist())
-
-
-def _named(s: np.ndarray, leftmost: np.ndarray, ranked: np.ndarray) -> np.ndarray:
-    """Names of the leftmost-smaller substrings, which are ranked, by their order; equal ones share a name."""
-    lengths = np.diff(np.append(leftmost, len(s) - 1)) + 1
-    a, b = ranked[:-1], ranked[1:]
-    same = lengths[a] == lengths[b]
-    open_, step = np.flatnonzero(same), 0
-    while len(open_):
-        open_ = open_[step < lengths[a[open_]]]
-        unequal = s[leftmost[a[open_]] + step] != s[leftmost[b[open_]] + step]
-        same[open_[unequal]] = False
-        open_, step = open_[~unequal], step + 1
-    names = np.empty(len(leftmost), np.int64)
-    names[ranked] = np.cumsum(np.concatenate([[0], ~same]))
-    return names
+def _types(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether suffixes are smaller than the next one, and where the next other symbol stands; the last symbol must be the
+    smallest and stand once, and is followed by itself."""
+    n = len(s)
+    ends = np.flatnonzero(s[1:] != s[:-1])  # the last places of equal symbols in a row
+    counts = np.diff(ends, prepend=-1)
+    rises = s[ends] < s[ends + 1]
+    return np.append(np.repeat(rises, counts), True), np.append(np.repeat(ends + 1, counts), n - 1)
+
+
+def _sorted(places: np.ndarray, codes: np.ndarray, follow: np.ndarray, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """places by the codes there, at the places that follow, and so on, and for each whether it differs from the one before.
+    A code that stands once ends that; last: later places where equal ones end, too."""
+    bits = int(codes.max()).bit_length()
+    at, key = places, codes[places]
+    if two := 2 * bits < 64:
+        at = follow[places]
+        key = key << bits | codes[at]
+    order = np.argsort(key)
+    places, at, key = places[order], at[order], key[order]
+    differs = np.append(True, key[1:] != key[:-1])
+    level, fresh = np.arange(len(places)), differs
+    while True:
+        # only those that are level with a neighbour go on
+        go = ~(fresh & np.append(fresh[1:], True))
+        if last is not None and two:
+            go &= ~last[at]
+        level, at, fresh, two = level[go], follow[at[go]], fresh[go], True
+        if not len(level):
+            return places, differs
+        group, code = np.cumsum(fresh), codes[at]
+        order = np.argsort(group << bits | code) if int(group[-1]).bit_length() + bits < 64 else np.lexsort((code, group))
+        at, code = at[order], code[order]
+        places[level] = places[level[order]]
+        fresh = np.append(True, fresh[1:] | (code[1:] != code[:-1]))
+        differs[level] = fresh
+
+
+def _codes(s: np.ndarray, rises: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    """Numbers that are ordered by symbol, then falling before rising, then by inner."""
+    return (s.astype(np.int64) << 1 | rises) << int(inner.max()).bit_length() | inner
 
 
 def suffix_array(s: np.ndarray, levels: list[int] | None = None) -> np.ndarray:
     """Suffix array of s, whose last symbol is 0 and stands nowhere else. levels: takes the length of each level below."""
-    if len(s) <= 2:
+    n = len(s)
+    if n <= 2:
         return np.argsort(s, kind="stable")
-    smaller = _types(s)
-    stops = np.cumsum(np.bincount(s))
-    starts = np.concatenate([[0], stops[:-1]])
-    leftmost = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
-    if len(leftmost) < 2:
-        return _induce(s, smaller, starts, stops, leftmost)
-    rough = _induce(s, smaller, starts, stops, leftmost)
-    place = np.full(len(s), -1, np.int64)
-    place[leftmost] = np.arange(len(leftmost))
-    ranked = place[rough]
-    names = _named(s, leftmost, ranked[ranked >= 0])
-    order = np.argsort(names) if int(names.max()) + 1 == len(names) else np.array(sorted_names(names, levels))
-    return _induce(s, smaller, starts, stops, leftmost[order])
+    rises, follow = _types(s)
+    leftmost = np.flatnonzero(rises[1:] & ~rises[:-1]) + 1
+    row = follow - np.arange(n)  # of equal symbols, the more the smaller where they rise
+    row = np.where(rises, row.max() - row, row)
+    is_leftmost = np.zeros(n, bool)
+    is_leftmost[leftmost] = True
+    ranked, differs = _sorted(leftmost, _codes(s, rises, row), follow, is_leftmost)
+    place = np.empty(n, np.int64)
+    place[ranked] = np.cumsum(differs) - 1
+    ranks = place[leftmost]
+    if not differs.all():
+        if levels is not None:
+            levels.append(len(ranks))
+        names, ranks = ranks, np.empty(len(leftmost), np.int64)
+        ranks[suffix_array(names, levels)] = np.arange(len(names))
+    inner = row.copy()
+    inner[leftmost] = ranks
+    falling, _ = _sorted(np.flatnonzero(~rises), _codes(s, rises, inner), follow)
+    inner = row
+    inner[falling] = np.arange(len(falling))
+    rising, _ = _sorted(np.flatnonzero(rises), _codes(s, rises, inner), follow)
+    # a symbol's falling suffixes come before its rising ones
+    size = int(s.max()) + 1
+    fall, rise = np.bincount(s[falling], minlength=size), np.bincount(s[rising], minlength=size)
+    sa = np.empty(n, np.int64)
+    sa[np.arange(len(falling)) + (np.cumsum(rise) - rise)[s[falling]]] = falling
+    sa[np.arange(len(rising)) + np.cumsum(fall)[s[rising]]] = rising
+    return sa
 
 
 def permuted_common_prefixes(s: np.ndarray, sa: np.ndarray) -> np.ndarray:
     """For each place, how many symbols its suffix shares with the one before it in the suffix array.
 
     Where the symbols before both suffixes agree too, the length is one less than at the place before; only the other
-    places are compared symbol by symbol."""
+    places are compared, some symbols at a time."""
     n = len(s)
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
     reducible = np.zeros(n, bool)
     i = np.flatnonzero((before[1:] > 0)) + 1
     reducible[i] = (s[i - 1] == s[before[i] - 1]) & (before[i - 1] == before[i] - 1)
+    # as many symbols to a word as fit, the first in the lowest bits; the last symbol, which stands once, ends every comparison
+    bits = max(1, int(s.max()).bit_length())
+    width = min(63 // bits, n)
+    words = np.zeros(n + width - 1, np.int64)
+    words[:n] = s
+    for k in range(1, width):
+        words[: n - k] |= s[k:].astype(np.int64) << bits * k
     found = np.zeros(n, np.int64)
-    todo = np.flatnonzero(~reducible & (before >= 0))
-    step = 0
+    irreducible = np.flatnonzero(~reducible & (before >= 0))
+    todo, step = irreducible, 0
     while len(todo):
-        todo = todo[np.maximum(todo, before[todo]) + step < n]
-        todo = todo[s[todo + step] == s[before[todo] + step]]
-        step += 1
+        todo = todo[words[todo + step] == words[before[todo] + step]]
+        step += width
         found[todo] = step
+    unlike = words[irreducible + found[irreducible]] ^ words[before[irreducible] + found[irreducible]]
+    found[irreducible] += np.bitwise_count((unlike & -unlike) - 1) // bits
     last = np.maximum.accumulate(np.where(~reducible, np.arange(n), 0))
     return np.where(reducible, found[last] - (np.arange(n) - last), found)

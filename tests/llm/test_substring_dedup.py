@@ -112,3 +112,44 @@ def test_suffix_array():
             while l[a + k] == l[b + k]:
                 k += 1
             assert common[b] == k
+
+
+def test_suffix_array_takes_steps_of_many_suffixes():
+    """No level is scanned suffix by suffix: the lines run do not grow with the text."""
+    import sys
+
+    r = random.Random(6)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9))) for _ in range(500)]
+    raw = " ".join(r.choice(words) for _ in range(20_000)).encode()
+    s, levels, lines = np.append(np.frombuffer(raw, np.uint8).astype(np.int64) + 2, 0), [], 0
+
+    def trace(frame, event, arg):
+        nonlocal lines
+        lines += event == "line"
+        return trace if "suffix_array" in frame.f_code.co_filename else None
+
+    before = sys.gettrace()
+    sys.settrace(trace)
+    try:
+        sa = suffix_array(s, levels)
+        common = permuted_common_prefixes(s, sa)
+    finally:
+        sys.settrace(before)
+    assert len(levels) >= 2 and lines < 20_000
+    padded = raw + b"\0"
+    for a, b in zip(sa[:-1:11].tolist(), sa[1::11].tolist()):
+        n = int(common[b])
+        assert padded[a : a + n] == padded[b : b + n] and padded[a + n] < padded[b + n]
+
+
+def test_suffix_array_of_regular_texts():
+    """Long rows of one symbol, periods, and parts that fall or rise throughout."""
+    fall = list(range(250, 200, -1))
+    for x in ([7] * 700, [5, 6] * 300, [6, 5] * 300, fall * 12, fall[::-1] * 12, ([3] * 40 + [1]) * 15, ([3] * 40 + [4] * 40 + [1]) * 8, [9, 9, 8, 9, 9, 8, 8] * 80):
+        s = np.array(x + [0])
+        l, sa = s.tolist(), suffix_array(s)
+        assert sa.tolist() == sorted(range(len(l)), key=lambda i: l[i:])
+        common = permuted_common_prefixes(s, sa)
+        for a, b in zip(sa.tolist(), sa[1:].tolist()):
+            n = int(common[b])
+            assert l[a : a + n] == l[b : b + n] and l[a + n] < l[b + n]
