@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages, each over all that the one before kept.
 
 Each stage takes (spark, docs, sf_dir). All but the last return the columns of documents, whatever further ones
-there are. Empty tables give no rows.
+there are. Empty tables give no rows. Texts go to Python in batches bounded by bytes, in every stage.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexforge.llm import decontamination, language_id, near_duplicates, piece_codec, substring_dedup
-from lexforge.llm.common import table
+from lexforge.llm.common import bound_batches, table
 from lexforge.llm.components import stored
 
 
@@ -28,23 +28,27 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays. Rows with the same id are one document, and
     stay or go together; rows without an id go where their group has one, else one of them stays. Texts without words stay."""
+    bound_batches(spark)
     return near_duplicates.first_of_each(docs).select(*docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose the bytes of strings of 100 bytes that stand earlier too, in the order of ids; documents stay. Rows with the
     same id are one document; rows without an id, and null texts, lose nothing."""
+    bound_batches(spark)
     return substring_dedup.remove_repeats(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, up to its budget of edits, go. Each row is judged by its own text; null and empty
     texts stay."""
+    bound_batches(spark)
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Number of pieces, and digests of ids, spans and decoded text, of every row that is left; a null text is empty."""
+    bound_batches(spark)
     return piece_codec.encode_digests(docs, _pieces()).drop("decoded")
 
 

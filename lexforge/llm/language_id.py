@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MEMO_CHARS, MEMO_ENTRIES, map_batches
+from .common import MEMO_CHARS, MEMO_ENTRIES, bound_batches, map_batches, remembered
 
 #: Distinct labelled texts a language is learned from, and the most languages there may be.
 SAMPLE_TEXTS, MOST_LANGUAGES = 3000, 2000
@@ -189,6 +189,7 @@ def fit(counts: dict[str, dict[str, int]], vocabulary: list[str]) -> Model:
 
 def train(labelled: DataFrame, path: str, texts: int = SAMPLE_TEXTS) -> Model:
     """A model of the languages of labelled(text, lang), from the `texts` distinct texts of each with the smallest hashes."""
+    bound_batches(labelled.sparkSession)
     known = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     hashed = known.select("lang", F.xxhash64("text").alias("h")).distinct()
     order = Window.partitionBy("lang").orderBy("h")  # Spark keeps no more than `texts` rows a language and task of this
@@ -270,19 +271,14 @@ class Scorer:
         return [x for p in parts for x in p[0]], [x for p in parts for x in p[1]]
 
 
-#: The scorer of the model used last in this worker, so that tasks that follow one another share what it remembers.
-_LAST: dict[str, Scorer] = {}
-
-
 def _scorer(model: Model) -> Scorer:
-    if model.name not in _LAST:
-        _LAST.clear()
-        _LAST[model.name] = Scorer(model)
-    return _LAST[model.name]
+    """The scorer of a model; tasks that follow one another in a worker share what it remembers."""
+    return remembered(model.name, lambda: Scorer(model))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score (the posterior of lang_pred under equal priors) of every row of docs(doc_id, text)."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: vocabulary x languages
 
     def make():
@@ -295,12 +291,13 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         return one
 
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_batches(columns, make, "doc_id long, lang_pred string, score double")
+    return map_batches(columns, make, "doc_id long, lang_pred string, score double", remembers=True)
 
 
 def keep_determined(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows of docs, with all their columns, whose language is determined with a score above `least`: each row by its own
     text, without a shuffle."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
@@ -313,4 +310,4 @@ def keep_determined(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
 
         return one
 
-    return map_batches(docs, make, docs.schema)
+    return map_batches(docs, make, docs.schema, remembers=True)

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -250,3 +251,26 @@ def test_undetermined(docs, tokenizers_path):
     model = language_id.fit({"en": {"the": 5}, "fr": {"le": 5}}, language_id.fixed_vocabulary(tokenizers_path("piece_bpe_32k.model")))
     got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(docs([None, "", "123 !?", "the the"]), model).collect()}
     assert [got[i] for i in range(3)] == [("und", 0.0)] * 3 and got[3][0] == "en" and 0.5 < got[3][1] <= 1
+
+
+def test_batches_are_bounded_by_bytes(spark, tokenizers_path):
+    """Documents reach Python a few megabytes at a time, however long they are; a bound that the session names stays."""
+    key, wide = "spark.sql.execution.arrow.maxBytesPerBatch", F.concat(F.lit("the " * 12_500), "doc_id")
+    model = language_id.fit({"en": {"the": 5}, "fr": {"le": 5}}, language_id.fixed_vocabulary(tokenizers_path("piece_bpe_32k.model")))
+    docs = spark.range(300).toDF("doc_id").withColumn("text", wide).coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64()), pa.array([batch.nbytes], pa.int64())], ["n", "size"])
+
+    before = spark.conf.get(key, None)
+    try:
+        for ask in (language_id.keep_determined, language_id.identify):
+            spark.conf.unset(key)
+            assert ask(docs, model).count() == 300
+            found = docs.mapInArrow(sizes, "n long, size long").collect()
+            assert sum(r.n for r in found) == 300 and max(r.size for r in found) < 5_000_000
+        spark.conf.set(key, "1m")
+        assert language_id.keep_determined(docs, model).count() == 300 and spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
